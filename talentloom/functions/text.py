@@ -107,14 +107,12 @@ def tagged_fields(c: Column | str) -> dict[str, Column]:
     kind = F.lower(tagged_line(c, "Work Type"))
     segments = F.split(tagged_line(c, "Location"), ",")
     before_last = F.slice(segments, F.lit(1), F.size(segments) - 1)
-    term_rank = None
-    for term, level in EDUCATION_TERMS.items():
-        branch = DEGREE_RANKS[level]
-        term_rank = (
-            (lambda x, t=term, b=branch: F.when(F.lower(strip(x)) == t, b))
-            if term_rank is None
-            else (lambda x, t=term, b=branch, prev=term_rank: prev(x).when(F.lower(strip(x)) == t, b))
-        )
+    def term_rank(term: Column) -> Column:
+        level = None
+        for word, name in EDUCATION_TERMS.items():
+            level = (F if level is None else level).when(F.lower(strip(term)) == word, DEGREE_RANKS[name])
+        return level
+
     ranks = F.transform(F.split(tagged_line(c, "Education"), ","), term_rank)
     years = F.regexp_extract(text_or_empty(tagged_line(c, "Experience Requirement")), r"(\d+)", 1)
     return {

@@ -1,15 +1,16 @@
 """The layered skill match as joins on typed keys.
 
-A candidate (or one of a candidate's jobs) owns keys, and a required name asks
-for keys; a name is met by the best key both sides share.
+A token gives keys and a required name asks for keys; a candidate meets a name
+with the best key both sides share.
 
-    key kind   owner has it for                          layer
-    t:token    every raw token                           0 exact, 3 fuzzy
-    c:skill    every canonical skill, and implied ones   1 identity, 2 entailment
-    p:frame    its best level per proficiency framework  4 proficiency
+    key kind   a token gives                             layer
+    t:token    itself                                    0 exact, 3 fuzzy
+    c:skill    its canonical skill, and implied ones     1 identity, 2 entailment
+    p:frame    its level in a proficiency framework      4 proficiency
 
 Both sides stay linear in tokens and names: no name is paired with all tokens
-of a canonical group or framework.
+of a canonical group or framework. What a candidate meets is worked out once per
+(candidate, name); applications are expanded to required names afterwards.
 """
 
 from __future__ import annotations
@@ -20,23 +21,26 @@ from pyspark.sql import functions as F
 from talentloom.functions.skills import credential_tokens, proficiency
 from talentloom.functions.strings import strip
 from talentloom.operators.fuzzy import fuzzy_pairs
+from talentloom.operators.intervals import merged_spans, union_months
 from talentloom.operators.resolve import resolve_names
 from talentloom.session import salted_join
 
 LAYERS = ("layer0", "layer1", "layer2", "layer3", "proficiency", "missing")
 MISSING = len(LAYERS) - 1
-GROUP_SEPARATOR = "\u0001"
 
 
 def candidate_tokens(
     skills: DataFrame, stacks: DataFrame, credentials: DataFrame, owner: str = "cv_id"
 ) -> DataFrame:
     """Distinct (owner, token): listed skills, stacks, and split credentials."""
-    plain = skills.select(owner, F.lower("skill").alias("token")).union(
-        stacks.select(owner, F.lower("skill").alias("token"))
-    )
+    stacked = stacks.select(owner, F.lower("skill").alias("token"))
+    return listed_tokens(skills, credentials, owner).union(stacked).filter("token is not null").distinct()
+
+
+def listed_tokens(skills: DataFrame, credentials: DataFrame, owner: str = "cv_id") -> DataFrame:
+    """Tokens of listed skills and split credentials, repeats included."""
     split = credentials.select(owner, F.explode(credential_tokens("text")).alias("token"))
-    return plain.union(split).filter(F.col("token").isNotNull()).distinct()
+    return skills.select(owner, F.lower("skill").alias("token")).union(split)
 
 
 def token_facts(tokens: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -56,13 +60,8 @@ def context(tokens: DataFrame, facts: DataFrame, implies: DataFrame, owner: list
     return direct.union(implied).groupBy(*owner, "skill", "layer").agg(F.min("token").alias("via"))
 
 
-def owner_keys(
-    tokens: DataFrame, facts: DataFrame, implies: DataFrame, owner: list[str]
-) -> DataFrame:
-    """(owner, key, layer, rank, via): everything an owner can be matched on.
-
-    Key lists are worked out once per distinct token, then joined to the owners.
-    """
+def token_keys(facts: DataFrame, implies: DataFrame) -> DataFrame:
+    """(token, key, layer, rank): the keys each distinct token gives."""
     base = facts.select(
         "token",
         F.concat(F.lit("t:"), "token").alias("key"),
@@ -81,14 +80,7 @@ def owner_keys(
         F.lit(4),
         F.col("level.rank"),
     )
-    token_keys = base.union(canonical).union(entailed).union(levels)
-    best = F.min(F.struct("layer", (-F.col("rank")).alias("minus_rank"), F.col("token").alias("via")))
-    return (
-        tokens.join(token_keys, "token")
-        .groupBy(*owner, "key")
-        .agg(best.alias("best"))
-        .select(*owner, "key", "best.layer", (-F.col("best.minus_rank")).alias("rank"), "best.via")
-    )
+    return base.union(canonical).union(entailed).union(levels)
 
 
 def name_keys(names: DataFrame, tokens: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -123,33 +115,99 @@ def name_keys(names: DataFrame, tokens: DataFrame, aliases: DataFrame) -> DataFr
     return exact.union(identity).union(levels).union(fuzzy)
 
 
-def _name_result() -> Column:
-    """Comparable outcome of one name against one key; smaller is better."""
-    layer = F.coalesce("asked_layer", "layer")
-    met = (layer != 4) | (F.col("rank") >= F.col("asked_rank"))
-    return F.struct(
-        layer.alias("layer"),
-        F.when(layer == 3, -F.col("ratio")).when(layer == 4, -F.col("rank")).otherwise(F.lit(0.0)).alias("order"),
-        F.col("via"),
-        met.cast("double").alias("credit"),
+def _layer() -> Column:
+    return F.coalesce("asked_layer", "layer")
+
+
+def _is_met() -> Column:
+    return (_layer() != 4) | (F.col("rank") >= F.col("asked_rank"))
+
+
+def ask_classes(asked: DataFrame, given: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Names that ask for the same keys form one class: (name, class), (class, key, asked_rank).
+
+    Where only credit counts, "Node.js" and "nodejs" need matching once. Keys no
+    token gives are left out, and so are raw tokens whose own keys already include
+    the name's canonical skill. Names left without keys cannot be met by anyone.
+    Works on the vocabulary, not on candidates.
+    """
+    live = asked.select("name", "key", "asked_rank").distinct().join(given.select("key"), "key", "left_semi")
+    raw = live.filter(F.col("key").startswith("t:")).select(
+        "name", F.col("key").alias("raw_key"), F.expr("substring(key, 3)").alias("token")
+    )
+    covered = (
+        raw.join(given.select("token", "key"), "token")
+        .join(live.filter(F.col("key").startswith("c:")).select("name", "key"), ["name", "key"], "left_semi")
+        .select("name", F.col("raw_key").alias("key"))
     )
+    needed = live.join(covered, ["name", "key"], "left_anti")
+    signature = F.array_sort(F.collect_set(F.struct("key", F.coalesce("asked_rank", F.lit(-1.0)))))
+    signed = needed.groupBy("name").agg(signature.alias("signature"))
+    classes = signed.groupBy("signature").agg(F.min("name").alias("class"))
+    class_of = signed.join(classes, "signature").select("name", "class")
+    class_asks = needed.join(classes, needed["name"] == classes["class"]).select("class", "key", "asked_rank")
+    return class_of, class_asks
 
 
-def match_names(wanted: DataFrame, keys: DataFrame, owned: DataFrame, owner: list[str]) -> DataFrame:
-    """Best match per (owner, name) of `wanted`; names nothing meets are absent."""
-    asked = wanted.select(*owner, "name").distinct().join(keys, "name")
+def met_names(tokens: DataFrame, given: DataFrame, asked: DataFrame) -> DataFrame:
+    """Best match per (cv_id, name): layer, via, credit. Names nothing meets are absent.
+
+    Earlier layers win; then the higher ratio or level; then the smaller token.
+    """
+    order = F.when(_layer() == 3, -F.col("ratio")).when(_layer() == 4, -F.col("rank")).otherwise(0.0)
+    result = F.struct(
+        _layer().alias("layer"),
+        order.alias("order"),
+        F.col("token").alias("via"),
+        _is_met().cast("double").alias("credit"),
+    )
     return (
-        asked.join(owned, [*owner, "key"])
-        .groupBy(*owner, "name")
-        .agg(F.min(_name_result()).alias("hit"))
-        .select(*owner, "name", "hit.layer", "hit.via", "hit.credit")
+        tokens.join(given, "token")
+        .join(asked, "key")
+        .groupBy("cv_id", "name")
+        .agg(F.min(result).alias("hit"))
+        .select("cv_id", "name", "hit.layer", "hit.via", "hit.credit")
     )
 
 
-def requirement_groups(names: DataFrame) -> DataFrame:
-    """One row per requirement of a job: (jd_id, tier, req_pos, weight, names, label, group_key).
+def worked_names(
+    stacks: DataFrame, spans: DataFrame, given: DataFrame, asked: DataFrame
+) -> DataFrame:
+    """(cv_id, name, months, spans): when a candidate worked in jobs whose own stack meets a name.
+
+    stacks is (cv_id, job_id, token), spans (cv_id, job_id, start_m, end_m).
+    """
+    used = stack_spans(stacks, spans).filter("start_m is not null")
+    hits = used.join(given, "token").join(asked, "key").filter(_is_met())
+    return merged_spans(hits, ["cv_id", "name"])
+
+
+def stack_spans(stacks: DataFrame, spans: DataFrame) -> DataFrame:
+    """(cv_id, token, start_m, end_m), one row per token and start month."""
+    return (
+        stacks.join(spans, ["cv_id", "job_id"], "left")
+        .groupBy("cv_id", "token", "start_m")
+        .agg(F.max("end_m").alias("end_m"))
+    )
 
-    The label is for people; the key tells ["a / b"] from ["a", "b"].
+
+def met_classes(listed: DataFrame, used: DataFrame, given: DataFrame, class_asks: DataFrame) -> DataFrame:
+    """(cv_id, class, months, spans) of every class a candidate meets.
+
+    `listed` (cv_id, token) counts for the match only, `used` (cv_id, token,
+    start_m, end_m) also for the months. One pass serves both.
+    """
+    none = F.lit(None).cast("int")
+    tokens = used.select("cv_id", "token", "start_m", "end_m").union(
+        listed.select("cv_id", "token", none, none)
+    )
+    met = F.col("asked_rank").isNull() | (F.col("rank") >= F.col("asked_rank"))
+    hits = tokens.join(given.select("token", "key", "rank"), "token").join(class_asks, "key").filter(met)
+    return merged_spans(hits, ["cv_id", "class"])
+
+
+def requirement_groups(names: DataFrame) -> DataFrame:
+    """One row per requirement of a job: (jd_id, tier, req_pos, weight, names, label).
 
     `names` has one row per name: (jd_id, tier, req_pos, alt_pos, name, weight);
     weight is taken from the representative, alt_pos 0.
@@ -160,85 +218,60 @@ def requirement_groups(names: DataFrame) -> DataFrame:
         .agg(F.min_by("weight", "alt_pos").alias("weight"), ordered.alias("names"))
         .withColumn("names", F.array_distinct(F.filter("names", lambda n: n != "")))
         .withColumn("label", F.array_join("names", " / "))
-        .withColumn("group_key", F.array_join("names", GROUP_SEPARATOR))
     )
 
 
-def wanted_labels(pairs: DataFrame, groups: DataFrame) -> DataFrame:
-    """Distinct (cv_id, group_key): each OR-group a candidate is asked for, once.
+def asked_names(pairs: DataFrame, requirements: DataFrame) -> DataFrame:
+    """Applications expanded to required names.
 
-    Many jobs ask for the same group, so matching runs at this grain and not per
-    (candidate, job, requirement). A job with a large share of all applications
-    is spread by candidate.
+    A job with a large share of all applications is spread by candidate.
     """
-    slim = groups.select("jd_id", "group_key").distinct()
-    return (
-        salted_join(pairs.select("cv_id", "jd_id"), slim, ["jd_id"], ["cv_id"])
-        .select("cv_id", "group_key")
-        .distinct()
-    )
-
-
-def group_members(groups: DataFrame) -> DataFrame:
-    """(group_key, alt, name) of each distinct OR-group."""
-    return (
-        groups.select("group_key", "names")
-        .dropDuplicates(["group_key"])
-        .select("group_key", F.posexplode("names").alias("alt", "name"))
-    )
-
+    return salted_join(pairs.select("cv_id", "jd_id"), requirements, ["jd_id"], ["cv_id"])
 
-def group_asks(groups: DataFrame, keys: DataFrame) -> DataFrame:
-    """(group_key, alt, key, ...): what each distinct OR-group asks for."""
-    return group_members(groups).join(keys, "name").drop("name")
 
+def evidence(pairs: DataFrame, requirements: DataFrame, groups: DataFrame, met: DataFrame) -> DataFrame:
+    """One row per (candidate, job, requirement) with status, layer, via and credit.
 
-def match_groups(labels: DataFrame, asks: DataFrame, owned: DataFrame) -> DataFrame:
-    """Best match per (cv_id, group_key); groups nothing meets are absent.
-
-    Earlier layers win, then credit, then the group's own order.
+    Within an OR-group earlier layers win, then credit, then the group's order.
     """
-    hits = labels.join(asks, "group_key").join(owned, ["cv_id", "key"])
-    per_name = hits.groupBy("cv_id", "group_key", "alt").agg(F.min(_name_result()).alias("hit"))
-    best = F.min(
-        F.struct(
-            "hit.layer", (-F.col("hit.credit")).alias("minus_credit"), "alt", F.col("hit.via").alias("via")
-        )
-    )
-    return (
-        per_name.groupBy("cv_id", "group_key")
+    names = requirements.filter(F.col("name") != "").select("jd_id", "req_pos", "alt_pos", "name")
+    best = F.min(F.struct("layer", (-F.col("credit")).alias("minus_credit"), "alt_pos", "via"))
+    found = (
+        asked_names(pairs, names)
+        .join(met, ["cv_id", "name"])
+        .groupBy("cv_id", "jd_id", "req_pos")
         .agg(best.alias("best"))
-        .select(
-            "cv_id", "group_key", "best.layer", (-F.col("best.minus_credit")).alias("credit"), "best.via"
-        )
     )
-
-
-def evidence(pairs: DataFrame, groups: DataFrame, matches: DataFrame) -> DataFrame:
-    """One row per (candidate, job, requirement) with status, layer, via and credit."""
-    asked = salted_join(
-        pairs.select("cv_id", "jd_id"),
-        groups.select("jd_id", "tier", "req_pos", "weight", "label", "group_key"),
-        ["jd_id"],
-        ["cv_id"],
-    )
-    layer = F.coalesce("layer", F.lit(MISSING))
-    credit = F.coalesce("credit", F.lit(0.0))
-    return asked.join(matches, ["cv_id", "group_key"], "left").select(
+    every = asked_names(pairs, groups.select("jd_id", "tier", "req_pos", "weight", "label"))
+    layer = F.coalesce("best.layer", F.lit(MISSING))
+    credit = F.coalesce(-F.col("best.minus_credit"), F.lit(0.0))
+    return every.join(found, ["cv_id", "jd_id", "req_pos"], "left").select(
         "cv_id",
         "jd_id",
         "tier",
         "req_pos",
         "label",
-        "group_key",
         "weight",
         F.when(credit == 0, "missing").when(layer == 2, "matched_implied").otherwise("matched").alias("status"),
         F.element_at(F.array(*[F.lit(name) for name in LAYERS]), layer + 1).alias("matched_layer"),
-        F.coalesce("via", F.lit("")).alias("matched_via"),
+        F.coalesce("best.via", F.lit("")).alias("matched_via"),
         credit.alias("credit"),
     )
 
 
+def group_months(pairs: DataFrame, requirements: DataFrame, worked: DataFrame) -> DataFrame:
+    """(cv_id, jd_id, req_pos, months) of required groups with any months."""
+    names = requirements.filter((F.col("tier") == "required") & (F.col("name") != "")).select(
+        "jd_id", "req_pos", "name"
+    )
+    return (
+        asked_names(pairs, names)
+        .join(worked, ["cv_id", "name"])
+        .groupBy("cv_id", "jd_id", "req_pos")
+        .agg(union_months("months", "spans").alias("months"))
+    )
+
+
 def unknown_skills(tokens: DataFrame, aliases: DataFrame, seen: DataFrame) -> DataFrame:
     """Tokens that are not in the alias table, no proficiency level and no near-spelling.
 

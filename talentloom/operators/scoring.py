@@ -15,7 +15,6 @@ from talentloom.constants import (
     NEUTRAL,
 )
 from talentloom.functions.strings import half_even, is_blank
-from talentloom.operators.intervals import merged_months
 from talentloom.session import salted_join
 
 
@@ -82,23 +81,6 @@ def skill_scores(pairs: DataFrame, evidence: DataFrame) -> DataFrame:
 # --- D3 -------------------------------------------------------------------------
 
 
-def group_months(labels: DataFrame, asks: DataFrame, job_keys: DataFrame, spans: DataFrame) -> DataFrame:
-    """Months a candidate spent in jobs whose own stack meets an OR-group.
-
-    Works per distinct (cv_id, group_key); `job_keys` are owner keys at
-    (cv_id, job_id) grain, `spans` is (cv_id, job_id, start_m, end_m).
-    """
-    met = (F.coalesce("asked_layer", "layer") != 4) | (F.col("rank") >= F.col("asked_rank"))
-    jobs = (
-        labels.join(asks, "group_key")
-        .join(job_keys, ["cv_id", "key"])
-        .filter(met)
-        .select("cv_id", "group_key", "job_id")
-        .distinct()
-    )
-    return merged_months(jobs.join(spans, ["cv_id", "job_id"]), ["cv_id", "group_key"])
-
-
 def depth_share(months: Column | str, years: Column | str) -> Column:
     """Share of the required months spent on a group, at most 1."""
     m = F.col(months) if isinstance(months, str) else months

@@ -1,9 +1,9 @@
 """The end-to-end plan: normalised tables in, one scored row per application out.
 
 Vocabulary work (canonical names, fuzzy neighbours, keys) happens once per
-distinct string. Matching happens once per (candidate, distinct OR-group). Only
-then are applications expanded to requirements, once, feeding both the skill
-score and the depth score.
+distinct string. What a candidate meets, and for how long, is worked out once
+per candidate and class of equivalent names. Only then are applications expanded to required names,
+once, feeding both the skill score and the depth score.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from talentloom.operators import matching, scoring
-from talentloom.operators.intervals import merged_months
+from talentloom.operators.intervals import merged_months, union_months
 from talentloom.session import salted_join
 
 
@@ -65,27 +65,34 @@ class Screening:
         return matching.token_facts(self.tokens, self.aliases).persist()
 
     @cached_property
-    def asks(self) -> DataFrame:
-        keys = matching.name_keys(self.requirements.select("name"), self.facts.select("token"), self.aliases)
-        return matching.group_asks(self.groups, keys).persist()
+    def given(self) -> DataFrame:
+        return matching.token_keys(self.facts, self.implies)
 
     @cached_property
-    def labels(self) -> DataFrame:
-        return matching.wanted_labels(self.applications, self.groups).persist()
+    def asked(self) -> DataFrame:
+        names = self.requirements.select("name")
+        return matching.name_keys(names, self.facts.select("token"), self.aliases).persist()
 
     @cached_property
-    def matches(self) -> DataFrame:
-        owned = matching.owner_keys(self.tokens, self.facts, self.implies, ["cv_id"])
-        return matching.match_groups(self.labels, self.asks, owned)
+    def met(self) -> DataFrame:
+        return matching.met_names(self.tokens, self.given, self.asked)
 
     @cached_property
     def job_tokens(self) -> DataFrame:
-        return self.stacks.select("cv_id", "job_id", F.lower("skill").alias("token")).distinct()
+        return self.stacks.select("cv_id", "job_id", F.lower("skill").alias("token"))
+
+    @cached_property
+    def worked(self) -> DataFrame:
+        return matching.worked_names(self.job_tokens, self.employment, self.given, self.asked)
+
+    @cached_property
+    def classes(self) -> tuple[DataFrame, DataFrame]:
+        class_of, class_asks = matching.ask_classes(self.asked, self.given)
+        return class_of.persist(), class_asks.persist()
 
     @cached_property
     def months(self) -> DataFrame:
-        owned = matching.owner_keys(self.job_tokens, self.facts, self.implies, ["cv_id", "job_id"])
-        return scoring.group_months(self.labels, self.asks, owned, self.employment)
+        return matching.group_months(self.applications, self.requirements, self.worked)
 
     @cached_property
     def total_months(self) -> DataFrame:
@@ -93,28 +100,59 @@ class Screening:
 
     @cached_property
     def evidence(self) -> DataFrame:
-        return matching.evidence(self.applications, self.groups, self.matches)
+        return matching.evidence(self.applications, self.requirements, self.groups, self.met)
 
     @cached_property
-    def dimensions(self) -> DataFrame:
-        """(cv_id, jd_id) with the five dimensions in [0, 1]."""
-        met = self.matches.join(self.months, ["cv_id", "group_key"], "full_outer").select(
-            "cv_id", "group_key", F.coalesce("credit", F.lit(0.0)).alias("credit"), "months"
+    def sums(self) -> DataFrame:
+        """(cv_id, jd_id, got, depth): matched weight and weighted depth shares.
+
+        One expansion of applications to name classes feeds both. Rows move twice:
+        to meet the candidate's classes, then by pair for the two nested sums.
+        """
+        class_of, class_asks = self.classes
+        met = matching.met_classes(
+            matching.listed_tokens(self.cv_skills, self.credentials),
+            matching.stack_spans(self.job_tokens, self.employment),
+            self.given,
+            class_asks,
         )
-        required = F.col("tier") == "required"
-        asked = self.groups.join(self.jobs.select("jd_id", "min_years"), "jd_id").select(
-            "jd_id", "group_key", "weight", "min_years", required.alias("required")
+        deep = (F.col("tier") == "required") & (F.col("min_years") > 0)
+        weights = self.groups.select("jd_id", "req_pos", "weight")
+        asked = (
+            self.requirements.join(class_of, "name")
+            .select("jd_id", "tier", "req_pos", "class")
+            .distinct()
+            .join(weights, ["jd_id", "req_pos"])
+            .join(self.jobs.select("jd_id", "min_years"), "jd_id")
+            .select("jd_id", "req_pos", "class", "weight", F.when(deep, F.col("min_years")).alias("years"))
+        )
+        per_group = (
+            matching.asked_names(self.applications, asked)
+            .join(met, ["cv_id", "class"])
+            .select(
+                "cv_id", "jd_id", "req_pos", "weight", "years",
+                F.when(F.col("years").isNotNull(), F.col("months")).alias("months"),
+                F.when(F.col("years").isNotNull(), F.col("spans")).alias("spans"),
+            )
+            .repartition("cv_id", "jd_id")
+            .groupBy("cv_id", "jd_id", "req_pos")
+            .agg(
+                F.first("weight").alias("weight"),
+                F.first("years").alias("years"),
+                union_months("months", "spans").alias("months"),
+            )
         )
         share = F.when(
-            F.col("required") & (F.col("min_years") > 0),
-            F.col("weight") * scoring.depth_share("months", "min_years"),
+            F.col("months") > 0, F.col("weight") * scoring.depth_share("months", "years")
         ).otherwise(0.0)
-        sums = (
-            salted_join(self.applications, asked, ["jd_id"], ["cv_id"])
-            .join(met, ["cv_id", "group_key"])
-            .groupBy("cv_id", "jd_id")
-            .agg(F.sum(F.col("weight") * F.col("credit")).alias("got"), F.sum(share).alias("depth"))
+        return per_group.groupBy("cv_id", "jd_id").agg(
+            F.sum("weight").alias("got"), F.sum(share).alias("depth")
         )
+
+    @cached_property
+    def dimensions(self) -> DataFrame:
+        """(cv_id, jd_id) with the five dimensions in [0, 1]."""
+        required = F.col("tier") == "required"
         totals = self.groups.groupBy("jd_id").agg(
             F.sum("weight").alias("total_weight"),
             F.sum(F.when(required, F.col("weight")).otherwise(0)).alias("required_weight"),
@@ -141,7 +179,7 @@ class Screening:
             salted_join(self.applications, jd, ["jd_id"], ["cv_id"])
             .join(cv, "cv_id")
             .join(self.routes, ["lat1", "lng1", "lat2", "lng2"], "left")
-            .join(sums, ["cv_id", "jd_id"], "left")
+            .join(self.sums, ["cv_id", "jd_id"], "left")
         )
         has_coordinates = (
             F.col("lat1").isNotNull() & F.col("lng1").isNotNull()

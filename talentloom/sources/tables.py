@@ -396,3 +396,35 @@ def _pick(index: Column, *values: Column | str | None) -> Column:
         value = value if isinstance(value, Column) else F.lit(value)
         chosen = (F if chosen is None else chosen).when(index == i, value)
     return chosen
+
+
+def record_json(t: Tables) -> DataFrame:
+    """(cv_id, body): each customer as JSON text; some with a trailing comma, some cut short."""
+    key = F.col("cv_id")
+    text = key.cast("string")
+    pieces = [
+        F.lit('{"is_resume": '), F.col("is_resume").cast("string"),
+        F.lit(', "name": "'), F.col("name"), F.lit('", "summary": "'), F.col("summary"),
+        F.lit('", "skills": ["Go", "  ", "'), F.lower(F.col("c_mktsegment")),
+        F.lit('"], "work_experience": [{"company": "'), F.when(key % 4 == 0, "").otherwise(F.concat(F.lit("C"), text)),
+        F.lit('", "role": "Dev", "start": "'),
+        F.when(key % 3 == 0, "").otherwise(F.concat(F.lit("2000-0"), (key % 9 + 1).cast("string"))),
+        F.lit('", "end": "'), F.when(key % 2 == 0, "Present").otherwise("2001-05"),
+        F.lit('", "months": 7, "tech_stack": ["go"], "description": "'), F.when(key % 5 == 0, "").otherwise("Built things"),
+        F.lit('"}, {"company": "Old Co", "role": "Intern", "start": "1998-01", "end": "1999-01"}, {"role": "Ghost"}], '),
+        F.lit('"education": [{"institution": "U", "degree": "'), F.col("degree_text"),
+        F.lit('", "degree_raw": "'), F.col("degree_text"), F.lit('", "major": "M'), (key % 6).cast("string"),
+        F.lit('"}, {"degree": "phd"}], "projects": [{"name": "", "description": ""}, {"name": "P'), text,
+        F.lit('", "tech_stack": null, "description": "'), F.when(key % 7 == 0, "").otherwise("Fun"),
+        F.lit('"}], "certifications": ["AWS", {"name": "CKA"}, {"title": "PMP"}], "languages": ["'), F.col("language"),
+        F.lit('"], "candidate_location": {"city": "'), F.col("city_text"),
+        F.lit('", "raw_address": "'), F.coalesce("raw_address", F.lit(" ")), F.lit('"'),
+        F.when(key % 10 == 3, ",}").otherwise("}"),
+        F.when(key % 25 == 4, "").otherwise("}"),
+    ]
+    segments = t.read("customer", "c_custkey", "c_mktsegment").select(key_of("c_custkey"), "c_mktsegment")
+    return t.raw_candidates.join(segments, "cv_id").select("cv_id", F.concat(*pieces).alias("body"))
+
+
+def key_of(column: str) -> Column:
+    return F.col(column).alias("cv_id")
