@@ -346,6 +346,15 @@ VIEWS: dict[str, str] = {
     "unknown_blocks": blocks("unknown_pairs", "unknown_blocks"),
     "unknown_ratio": """
       SELECT a, b, 2.0::DOUBLE * sum(m) / (length(a) + length(b)) AS ratio FROM unknown_blocks GROUP BY a, b""",
+    # Labelled spelling pairs: a name and its canonical (same), a skill and what it implies (not same).
+    "case_pairs": """
+      SELECT DISTINCT n AS a, canonical AS b, true AS same FROM name_facts WHERE framework IS NULL
+        AND canonical <> n
+      UNION SELECT src, dst, false FROM implies""",
+    "case_blocks": blocks("case_pairs", "case_blocks"),
+    "case_ratio": """
+      SELECT a, b, same, 2.0::DOUBLE * m / (length(a) + length(b)) AS ratio
+      FROM case_pairs JOIN (SELECT a, b, sum(m) AS m FROM case_blocks GROUP BY a, b) USING (a, b)""",
     "token_keys": """
       SELECT token, 't:' || token AS key, 0 AS layer, 0.0::DOUBLE AS rank FROM token_facts
       UNION ALL SELECT token, 'c:' || canonical, 1, 0.0::DOUBLE FROM token_facts
@@ -448,7 +457,7 @@ VIEWS: dict[str, str] = {
       FROM events GROUP BY user_id""",
 }
 
-_RECURSIVE = {"implies", "ro_blocks", "unknown_blocks"}
+_RECURSIVE = {"implies", "ro_blocks", "unknown_blocks", "case_blocks"}
 
 
 def sql(body: str) -> str:
@@ -466,6 +475,8 @@ def sql(body: str) -> str:
     need(body)
     if not order:
         return body
+    if body.lstrip().startswith("WITH"):
+        body = f"SELECT * FROM ({body})"
     # Small shared views are computed once; DuckDB inlines the rest as it likes.
     views = ",\n".join(
         f"{name} AS {'' if name in _RECURSIVE else 'MATERIALIZED '}({VIEWS[name]})" for name in order

@@ -307,18 +307,17 @@ def _(t: Tables) -> DataFrame:
 @query(
     "J22_expected_implications",
     o.sql("""
-      SELECT DISTINCT p1.name AS child, p2.name AS parent, p1.canonical AS child_canonical, p2.canonical AS parent_canonical,
+      SELECT DISTINCT a.skill AS child, b.skill AS parent, p1.canonical AS child_canonical, p2.canonical AS parent_canonical,
         i.src IS NOT NULL AS found
-      FROM (SELECT DISTINCT o_custkey, lower(skill) AS child FROM stacks JOIN orders ON o_orderkey = job_id) s
-      JOIN (SELECT cv_id, lower(skill) AS parent FROM cv_skills) c ON c.cv_id = s.o_custkey
-      JOIN resolved p1 ON p1.name = s.child JOIN resolved p2 ON p2.name = c.parent
+      FROM cv_skills a JOIN cv_skills b ON b.cv_id = a.cv_id AND b.pos = a.pos + 1
+      JOIN resolved p1 ON p1.name = a.skill JOIN resolved p2 ON p2.name = b.skill
       LEFT JOIN implies i ON i.src = p1.canonical AND i.dst = p2.canonical"""),
 )
 def _(t: Tables) -> DataFrame:
-    """Every skill used in a job against the skills listed by the same candidate."""
-    used = t.stacks.select("cv_id", F.lower("skill").alias("child")).distinct()
-    listed = t.cv_skills.select("cv_id", F.lower("skill").alias("parent")).distinct()
-    pairs = used.join(listed, "cv_id").select("child", "parent").distinct()
+    """Each listed skill against the one listed after it."""
+    first = t.cv_skills.select("cv_id", (F.col("pos") + 1).alias("pos"), F.col("skill").alias("child"))
+    second = t.cv_skills.select("cv_id", "pos", F.col("skill").alias("parent"))
+    pairs = first.join(second, ["cv_id", "pos"]).select("child", "parent").distinct()
     return resolve.implied_by(pairs, t.aliases, t.implies)
 
 

@@ -1 +1,125 @@
+"""The five dimensions, totals and rankings."""
 
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from talentloom.constants import DIMENSIONS
+from talentloom.functions import cleaning
+from talentloom.functions.strings import half_even
+from talentloom.operators import intervals, ranking, scoring
+from talentloom.plans import oracle as o
+from talentloom.plans.queries_cleaning import weight_configs
+from talentloom.plans.queries_matching import ranks
+from talentloom.plans.registry import query
+from talentloom.session import salted_join
+from talentloom.sources.tables import Tables
+
+
+@query("D1a_D1c_J11_cosine", o.sql("""
+  SELECT a.cv_id, a.jd_id, coalesce(l.cosine, -9) AS cosine
+  FROM applications a LEFT JOIN labelled_pairs l ON l.cv_id = a.cv_id AND l.jd_id = a.jd_id"""))
+def _(t: Tables) -> DataFrame:
+    """Every application's cosine; -9 marks a missing vector."""
+    pairs = scoring.pair_similarity(t.applications, t.cv_units, t.jd_units)
+    return pairs.withColumn("cosine", F.coalesce("cosine", F.lit(-9.0)))
+
+
+@query("D1b_semantic", o.sql("SELECT cv_id, jd_id, semantic FROM semantic"))
+def _(t: Tables) -> DataFrame:
+    pairs = scoring.pair_similarity(t.applications, t.cv_units, t.jd_units)
+    return pairs.select("cv_id", "jd_id", scoring.semantic_score(F.col("cosine")).alias("semantic"))
+
+
+@query("D2_skill_score", o.sql("SELECT cv_id, jd_id, round(skills, 9) AS skills FROM skills"))
+def _(t: Tables) -> DataFrame:
+    s = t.screening
+    return scoring.skill_scores(s.applications, s.evidence).withColumn("skills", F.round("skills", 9))
+
+
+@query("D3a_D3b_total_months", o.sql(f"""
+  SELECT cv_id, total_months, {o.half_even('total_months / 12.0::DOUBLE', 1)} AS total_years FROM total_months"""))
+def _(t: Tables) -> DataFrame:
+    months = intervals.merged_months(t.employment, ["cv_id"], out="total_months")
+    return months.filter("total_months > 0").withColumn("total_years", half_even(F.col("total_months") / 12, 1))
+
+
+@query("D3c_group_months", o.sql("""
+  SELECT cv_id, jd_id, req_pos::BIGINT AS req_pos, months FROM group_months WHERE months > 0"""))
+def _(t: Tables) -> DataFrame:
+    months = t.screening.months.filter("months > 0")
+    return months.withColumn("req_pos", F.col("req_pos").cast("bigint"))
+
+
+@query("D3d_D3_experience", o.sql("SELECT cv_id, jd_id, experience FROM experience_scores"))
+def _(t: Tables) -> DataFrame:
+    return t.screening.dimensions.select("cv_id", "jd_id", "experience")
+
+
+@query("D4_education", o.sql("SELECT cv_id, jd_id, round(education, 9) AS education FROM education"))
+def _(t: Tables) -> DataFrame:
+    return ranks(t).select(
+        "cv_id", "jd_id", F.round(scoring.education_score("cv_rank", "jd_rank"), 9).alias("education")
+    )
+
+
+@query("J14_geocode", o.sql("""
+  SELECT cv_id, coalesce(lat, -1) AS lat, coalesce(lng, -1) AS lng FROM candidates"""))
+def _(t: Tables) -> DataFrame:
+    return t.candidates.select(
+        "cv_id", F.coalesce("lat", F.lit(-1.0)).alias("lat"), F.coalesce("lng", F.lit(-1.0)).alias("lng")
+    )
+
+
+@query("J15_D5_location", o.sql("SELECT cv_id, jd_id, location FROM location"))
+def _(t: Tables) -> DataFrame:
+    return scoring.location_scores(t.applications, t.candidates, t.jobs, t.routes)
+
+
+@query("F1_final_score", o.sql("SELECT * FROM scores"))
+def _(t: Tables) -> DataFrame:
+    return t.screening.scores
+
+
+_TOTAL = """100 * (0.0::DOUBLE + d.semantic * CASE WHEN c THEN 0.2 ELSE 0.3 END::DOUBLE + d.skills * CASE WHEN c THEN 0.4 ELSE 0.3 END::DOUBLE
+  + d.experience * CASE WHEN c THEN 0.2 ELSE 0.25 END::DOUBLE + d.education * 0.1::DOUBLE + d.location * CASE WHEN c THEN 0.1 ELSE 0.05 END::DOUBLE)"""
+
+
+@query("F2_rescore_with_config", o.sql(f"""
+  SELECT cv_id, jd_id, {o.half_even(_TOTAL, 1)} AS final_score FROM (SELECT *, jd_id % 5 = 0 AS c FROM dims) d"""))
+def _(t: Tables) -> DataFrame:
+    """Stored dimensions recombined with each job's own weights; no matching is redone."""
+    configs = weight_configs(t).filter(cleaning.weights_problem("weights").isNull())
+    stored = salted_join(t.screening.dimensions, configs, ["jd_id"], ["cv_id"], "left")
+    total = scoring.weighted_total(cleaning.weights_used("weights"))
+    return stored.select("cv_id", "jd_id", half_even(total, 1).alias("final_score"))
+
+
+@query("A1_top_ten_per_job", o.sql("""
+  SELECT *, row_number() OVER (PARTITION BY jd_id ORDER BY final_score DESC, cv_id) AS rank FROM scores
+  QUALIFY rank <= 10"""))
+def _(t: Tables) -> DataFrame:
+    order = [F.desc("final_score"), F.asc("cv_id")]
+    return ranking.top_k(t.screening.scores, ["jd_id"], order, 10).withColumn("rank", F.col("rank").cast("bigint"))
+
+
+def score_bucket(score: str, tie: str) -> Column:
+    """Grows along (score descending, tie ascending): tenths of a point, then id ranges."""
+    tenths = (1000 - F.round(F.col(score) * 10)).cast("bigint")
+    return tenths * (1 << 40) + F.floor(F.col(tie) / (1 << 20))
+
+
+@query("A2_global_ranking", o.sql("""
+  SELECT cv_id, jd_id, final_score, row_number() OVER (ORDER BY final_score DESC, cv_id, jd_id) AS "index" FROM scores"""))
+def _(t: Tables) -> DataFrame:
+    order = [F.desc("final_score"), F.asc("cv_id"), F.asc("jd_id")]
+    scores = t.screening.scores.select("cv_id", "jd_id", "final_score")
+    return ranking.numbered(scores, [], score_bucket("final_score", "cv_id"), order, "index")
+
+
+@query("P32_score_range_violations", o.sql("""
+  SELECT cv_id, jd_id, final_score FROM scores WHERE NOT (final_score BETWEEN 0 AND 100)"""))
+def _(t: Tables) -> DataFrame:
+    ok = cleaning.scores_in_range("final_score", *DIMENSIONS)
+    return t.screening.scores.filter(~ok).select("cv_id", "jd_id", "final_score")
