@@ -20,16 +20,16 @@ def is_present(c: Column | str) -> Column:
 
 def parse_month(c: Column | str, as_of: str) -> Column:
     """Month index of 'YYYY-MM' style text; null when blank or not a date."""
-    text = F.lower(strip(c))
-    year = F.regexp_extract(text, MONTH_PATTERN, 1)
-    month = F.regexp_extract(text, MONTH_PATTERN, 2)
-    month_in_range = F.least(
-        F.greatest(F.coalesce(_int(month), F.lit(1)), F.lit(1)), F.lit(12)
-    )
-    return (
-        F.when(text.isin(*PRESENT_TOKENS), F.lit(month_number(as_of)))
-        .when(_int(year) > 0, _int(year) * 12 + month_in_range - 1)
-    )
+
+    def read(text: Column) -> Column:
+        year = _int(F.regexp_extract(text, MONTH_PATTERN, 1))
+        month = F.coalesce(_int(F.regexp_extract(text, MONTH_PATTERN, 2)), F.lit(1))
+        index = year * 12 + F.least(F.greatest(month, F.lit(1)), F.lit(12)) - 1
+        return F.when(text.isin(*PRESENT_TOKENS), F.lit(month_number(as_of))).when(year > 0, index)
+
+    # Bound once through a one-element array; as plain columns the cleaned text
+    # would be worked out again at each of its uses.
+    return F.transform(F.array(F.lower(strip(c))), read)[0]
 
 
 def _int(c: Column) -> Column:

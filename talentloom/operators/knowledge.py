@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talentloom.session import checkpoint
+from talentloom.session import materialise
 
 
 def without_collectives(tags: DataFrame) -> DataFrame:
@@ -103,15 +103,15 @@ def transitive_closure(edges: DataFrame) -> DataFrame:
     """All (src, dst) reachable over one or more edges, self edges left out.
 
     Path lengths double each round, so a chain of length n takes about log2(n)
-    rounds. Each round is checkpointed; rounds stop when no pair was added.
+    rounds. Each round is written out; rounds stop when no pair was added.
     """
-    closed = checkpoint(edges.select("src", "dst").filter("src <> dst").distinct())
+    closed = materialise(edges.select("src", "dst").filter("src <> dst").distinct())
     size = closed.count()
     while True:
         left = closed.withColumnRenamed("dst", "mid")
         right = closed.select(F.col("src").alias("mid"), "dst")
         longer = left.join(right, "mid").filter("src <> dst").select("src", "dst")
-        closed = checkpoint(closed.union(longer).distinct())
+        closed = materialise(closed.union(longer).distinct())
         grown = closed.count()
         if grown == size:
             return closed

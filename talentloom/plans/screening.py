@@ -16,12 +16,12 @@ from pyspark.sql import functions as F
 
 from talentloom.operators import matching, scoring
 from talentloom.operators.intervals import merged_months, union_months
-from talentloom.session import salted_join
+from talentloom.session import materialise, salted_join
 
 
 @dataclass
 class Screening:
-    """Inputs; every derived table is a lazy DataFrame, shared where used twice.
+    """Inputs; derived tables are lazy, but for the vocabulary, which is written out once.
 
     applications  cv_id, jd_id
     candidates    cv_id, degree_rank, city, raw_address, willing_to_relocate, lat, lng
@@ -62,16 +62,16 @@ class Screening:
 
     @cached_property
     def facts(self) -> DataFrame:
-        return matching.token_facts(self.tokens, self.aliases).persist()
+        return materialise(matching.token_facts(self.tokens, self.aliases))
 
     @cached_property
     def given(self) -> DataFrame:
-        return matching.token_keys(self.facts, self.implies)
+        return materialise(matching.token_keys(self.facts, self.implies))
 
     @cached_property
     def asked(self) -> DataFrame:
         names = self.requirements.select("name")
-        return matching.name_keys(names, self.facts.select("token"), self.aliases).persist()
+        return materialise(matching.name_keys(names, self.facts.select("token"), self.aliases))
 
     @cached_property
     def met(self) -> DataFrame:
@@ -88,7 +88,7 @@ class Screening:
     @cached_property
     def classes(self) -> tuple[DataFrame, DataFrame]:
         class_of, class_asks = matching.ask_classes(self.asked, self.given)
-        return class_of.persist(), class_asks.persist()
+        return materialise(class_of), materialise(class_asks)
 
     @cached_property
     def months(self) -> DataFrame:

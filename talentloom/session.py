@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,17 +25,28 @@ def local_session(name: str = "talentloom", cores: str = "*", partitions: int =
     )
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage through the reliable checkpoint folder the cluster names.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names for checkpoints.
 
-    Only where no folder is configured at all (local tests) is one made here.
+    Only where none is configured at all, as in local tests, is one made here.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        configured = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="talentloom-checkpoint-"))
-    return df.checkpoint(eager=True)
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if configured:
+        return configured
+    folder = tempfile.mkdtemp(prefix="talentloom-")
+    spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Cut lineage: write the rows to the shared folder and read them back.
+
+    Losing executors costs nothing afterwards, later plans stay short, and file
+    sizes tell Spark whether a table is small enough to broadcast.
+    """
+    path = f"{shared_folder(df.sparkSession)}/talentloom-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def default_salts(df: DataFrame) -> int:
