@@ -1 +1,206 @@
+"""Screening batches, stored results, exports and streams."""
 
+from __future__ import annotations
+
+import dataclasses
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from talentloom.functions.strings import fixed
+from talentloom.operators import batches, ranking
+from talentloom.plans import oracle as o
+from talentloom.plans.registry import query
+from talentloom.sources.sinks import score_table
+from talentloom.sources.tables import Tables
+from talentloom.streaming import arrivals
+
+
+@query(
+    "A3_J17_batch_listing",
+    o.sql("""
+      SELECT b.batch_id, b.name, coalesce(j.title, '') AS jd_title, count(r.ord) AS candidate_count,
+        row_number() OVER (ORDER BY any_value(b.created_at) DESC, b.batch_id) AS newest
+      FROM batches b LEFT JOIN jobs j ON j.jd_id = b.jd_id LEFT JOIN results r ON r.batch_id = b.batch_id
+      GROUP BY b.batch_id, b.name, j.title"""),
+)
+def _(t: Tables) -> DataFrame:
+    """Newest first; the position is part of the result."""
+    listing = batches.batch_listing(t.batches, t.results, t.jobs)
+    minutes = -F.unix_timestamp("created_at")
+    order = [F.desc("created_at"), F.asc("batch_id")]
+    return ranking.numbered(listing, [], F.floor(minutes / 3600), order, "newest").select(
+        "batch_id", "name", F.coalesce("jd_title", F.lit("")).alias("jd_title"), "candidate_count", "newest"
+    )
+
+
+@query(
+    "S3_batch_results_in_order",
+    o.sql("""
+      SELECT r.batch_id, b.name, r.cv_url, row_number() OVER (PARTITION BY r.batch_id ORDER BY r.ord) AS position
+      FROM results r JOIN batches b ON b.batch_id = r.batch_id"""),
+)
+def _(t: Tables) -> DataFrame:
+    joined = batches.batch_results(t.batches.select("batch_id", "name"), t.results.select("batch_id", "ord", "cv_url"))
+    placed = ranking.numbered(joined, ["batch_id"], F.floor(F.col("ord") / (1 << 20)), [F.asc("ord")], "position")
+    return placed.select("batch_id", "name", "cv_url", "position")
+
+
+@query(
+    "S4_score_table",
+    o.sql(f"""
+      SELECT batch_id, row_number() OVER (PARTITION BY batch_id ORDER BY final_score DESC, ord) AS row_index,
+        ord || '.pdf' AS cv, {o.fixed('final_score', 1)} AS final_score
+      FROM results WHERE error IS NULL"""),
+)
+def _(t: Tables) -> DataFrame:
+    scored, _failed = batches.split_by_error(t.results)
+    bucket = (10000 - F.floor(F.col("final_score") * 100)) * (1 << 40) + F.floor(F.col("ord") / (1 << 20))
+    order = [F.desc("final_score"), F.asc("ord")]
+    return score_table(scored, ["batch_id"], bucket, order, ())
+
+
+@query(
+    "S5_result_upsert",
+    o.sql(f"""
+      SELECT ord, batch_id, coalesce(error, '') AS error,
+        CASE WHEN error IS NULL AND has_record AND vector_size > 0 THEN {o.fixed('final_score / 2', 3)}
+          ELSE coalesce({o.fixed('final_score', 3)}, '') END AS final_score
+      FROM results"""),
+)
+def _(t: Tables) -> DataFrame:
+    """Re-scored rows (here: half the score) replace the stored ones."""
+    rescore, _reparse = batches.rescore_split(t.results)
+    fresh = rescore.withColumn("final_score", F.col("final_score") / 2)
+    stored = batches.upsert(t.results, fresh, ["batch_id", "ord"])
+    return stored.select(
+        "ord", "batch_id", F.coalesce("error", F.lit("")).alias("error"),
+        F.coalesce(fixed("final_score", 3), F.lit("")).alias("final_score"),
+    )
+
+
+@query(
+    "S7_failed_and_scored",
+    o.sql("SELECT batch_id, count(*) FILTER (error IS NULL) AS scored, count(*) FILTER (error IS NOT NULL) AS failed FROM results GROUP BY 1"),
+)
+def _(t: Tables) -> DataFrame:
+    scored, failed = batches.split_by_error(t.results)
+    a = scored.groupBy("batch_id").agg(F.count("*").alias("scored"))
+    b = failed.groupBy("batch_id").agg(F.count("*").alias("failed"))
+    return a.join(b, "batch_id", "full_outer").na.fill(0, ["scored", "failed"])
+
+
+@query(
+    "J21_rescore_split",
+    o.sql("""
+      SELECT batch_id, ord, CASE WHEN has_record AND coalesce(vector_size, 0) > 0 THEN 'rescore' ELSE 'needs_reparse' END AS list
+      FROM results WHERE error IS NULL"""),
+)
+def _(t: Tables) -> DataFrame:
+    rescore, reparse = batches.rescore_split(t.results)
+    return rescore.select("batch_id", "ord", F.lit("rescore").alias("list")).union(
+        reparse.select("batch_id", "ord", F.lit("needs_reparse"))
+    )
+
+
+@query(
+    "S9_partial_update",
+    o.sql("""
+      SELECT b.batch_id, CASE WHEN u.e % 3 <> 0 THEN 'renamed ' || u.e ELSE b.name END AS name,
+        CASE WHEN u.e % 2 = 0 THEN 1.0 ELSE -1.0 END::DOUBLE AS w_skills, coalesce(u.e % 5 = 0, false) AS include_narrative
+      FROM batches b LEFT JOIN (SELECT user_id, max(event_id) AS e FROM events WHERE event_type = 'signup' GROUP BY 1) u ON u.user_id = b.batch_id"""),
+)
+def _(t: Tables) -> DataFrame:
+    """The last signup event of a batch carries the update; each field only at times."""
+    e = F.col("e")
+    last = t.read("events", "event_id", "user_id", "event_type").filter("event_type = 'signup'").groupBy(
+        F.col("user_id").alias("batch_id")
+    ).agg(F.max("event_id").alias("e"))
+    updates = last.select(
+        "batch_id",
+        F.when(e % 3 != 0, F.concat(F.lit(" renamed "), e.cast("string"))).otherwise("  ").alias("name"),
+        (e % 2 == 0).alias("has_weights"),
+        F.create_map(F.lit("skills"), F.lit(1.0)).alias("weights"),
+        (e % 5 == 0).alias("has_narrative"),
+        F.lit(True).alias("include_narrative"),
+    )
+    done = batches.update_configs(t.batches, updates)
+    return done.select(
+        "batch_id", "name", F.coalesce(F.try_element_at("weights", F.lit("skills")), F.lit(-1.0)).alias("w_skills"), "include_narrative"
+    )
+
+
+@query(
+    "J19_cascade_delete",
+    o.sql("""
+      SELECT batch_id, count(*) AS results_left FROM results WHERE batch_id NOT IN (SELECT batch_id FROM batches WHERE jd_id IS NULL)
+      GROUP BY batch_id"""),
+)
+def _(t: Tables) -> DataFrame:
+    """Batches without a job go, with their results."""
+    doomed = t.batches.filter("jd_id is null")
+    _batches, results = batches.delete_batches(t.batches, t.results, doomed)
+    return results.groupBy("batch_id").agg(F.count("*").alias("results_left"))
+
+
+@query(
+    "J16_embedding_reuse",
+    """
+      WITH cache AS (SELECT DISTINCT sha256('model-1::' || text) AS key FROM documents WHERE doc_id IN (SELECT doc_id FROM labels))
+      SELECT doc_id, sha256('model-1::' || text) IN (SELECT key FROM cache) AS cached FROM documents""",
+)
+def _(t: Tables) -> DataFrame:
+    """Labelled documents count as embedded before; copies of their text need no new vector."""
+    docs = t.read("documents", "doc_id", "text").select(
+        "doc_id", F.sha2(F.concat_ws("::", F.lit("model-1"), "text"), 256).alias("key")
+    )
+    known = docs.join(t.read("labels", "doc_id"), "doc_id", "left_semi").select("key").distinct()
+    return docs.join(known.withColumn("hit", F.lit(True)), "key", "left").select(
+        "doc_id", F.coalesce("hit", F.lit(False)).alias("cached")
+    )
+
+
+@query("T1_streamed_scoring", o.sql("SELECT cv_id, jd_id, final_score FROM scores"))
+def _(t: Tables) -> DataFrame:
+    """Arriving candidates are scored against the stored jobs, batch by batch."""
+    schema = t.read("customer", "c_custkey").schema
+    arriving = arrivals.table_stream(t.spark, t.folder, "customer", schema)
+
+    def score(batch: DataFrame) -> DataFrame:
+        here = batch.select(F.col("c_custkey").alias("cv_id")).distinct()
+
+        def only(df: DataFrame) -> DataFrame:
+            return df.join(here, "cv_id", "left_semi")
+
+        s = t.screening
+        arrived = dataclasses.replace(
+            s,
+            applications=only(s.applications),
+            candidates=only(s.candidates),
+            cv_skills=only(s.cv_skills),
+            credentials=only(s.credentials),
+            employment=only(s.employment),
+            stacks=only(s.stacks),
+        )
+        return arrived.scores.select("cv_id", "jd_id", "final_score")
+
+    path = arrivals.run_to_parquet(arriving, score)
+    return t.spark.read.parquet(path).select("cv_id", "jd_id", "final_score")
+
+
+@query(
+    "T2_running_unknown_counts",
+    o.sql("""
+      SELECT event_type || '-' || json_extract_string(props, '$.k') AS token, count(DISTINCT user_id) AS cv_count
+      FROM events WHERE event_type || '-' || json_extract_string(props, '$.k') NOT IN (SELECT alias FROM aliases) GROUP BY 1"""),
+)
+def _(t: Tables) -> DataFrame:
+    """Event kinds with their code stand for skills no alias lists; users for candidates."""
+    schema = t.read("events", "user_id", "event_type", "props").schema
+    token = F.concat_ws("-", "event_type", F.get_json_object("props", "$.k"))
+    tokens = arrivals.table_stream(t.spark, t.folder, "events", schema).select(
+        token.alias("token"), F.col("user_id").alias("cv_id")
+    )
+    unknown = tokens.join(t.aliases.select(F.col("alias").alias("token")), "token", "left_anti")
+    path = arrivals.run_to_parquet(arrivals.running_counts(unknown), lambda batch: batch, "update")
+    return arrivals.latest_counts(t.spark.read.parquet(path))
