@@ -28,7 +28,7 @@ def text_quality(c: Column | str) -> dict[str, Column]:
     words = F.regexp_count(text, F.lit(WORD_PATTERN))
     letters = chars - F.length(F.regexp_replace(text, WORD_PATTERN, ""))
     garbage = chars - F.length(F.replace(text, F.lit("�"), F.lit("")))
-    mean = letters / words
+    mean = F.try_divide(letters, words)
     short, few = chars < 100, words < 30
     noisy = (chars > 0) & (garbage / F.greatest(chars, F.lit(1)) > 0.02)
     odd = (words > 0) & ((mean < 2) | (mean > 15))

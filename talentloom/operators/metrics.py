@@ -25,16 +25,16 @@ def with_rates(counts: DataFrame, digits: int = 9) -> DataFrame:
     """precision, recall, f1, accuracy, error_rate from tp, fp, tn, fn."""
     tp, fp, tn, fn = (F.col(c) for c in ("tp", "fp", "tn", "fn"))
     total = tp + fp + tn + fn
-    precision = F.when(tp + fp > 0, tp / (tp + fp)).otherwise(1.0)
-    recall = F.when(tp + fn > 0, tp / (tp + fn)).otherwise(1.0)
-    f1 = F.when(precision + recall > 0, 2 * precision * recall / (precision + recall)).otherwise(0.0)
+    precision = F.when(tp + fp > 0, F.try_divide(tp, tp + fp)).otherwise(1.0)
+    recall = F.when(tp + fn > 0, F.try_divide(tp, tp + fn)).otherwise(1.0)
+    f1 = F.when(precision + recall > 0, F.try_divide(2 * precision * recall, precision + recall)).otherwise(0.0)
     return counts.select(
         "*",
         F.round(precision, digits).alias("precision"),
         F.round(recall, digits).alias("recall"),
         F.round(f1, digits).alias("f1"),
-        F.round(F.when(total > 0, (tp + tn) / total).otherwise(1.0), digits).alias("accuracy"),
-        F.round(F.when(total > 0, (fp + fn) / total).otherwise(0.0), digits).alias("error_rate"),
+        F.round(F.when(total > 0, F.try_divide(tp + tn, total)).otherwise(1.0), digits).alias("accuracy"),
+        F.round(F.when(total > 0, F.try_divide(fp + fn, total)).otherwise(0.0), digits).alias("error_rate"),
     )
 
 
@@ -97,7 +97,7 @@ def auc(df: DataFrame, score: str, actual: Column, bucket: Column) -> DataFrame:
     )
     u = F.col("rank_sum") - F.col("n_pos") * (F.col("n_pos") + 1) / 2
     return sums.select(
-        "n_pos", "n_neg", F.round(u / (F.col("n_pos") * F.col("n_neg")), 9).alias("auc")
+        "n_pos", "n_neg", F.round(F.try_divide(u, F.col("n_pos") * F.col("n_neg")), 9).alias("auc")
     )
 
 
@@ -118,13 +118,13 @@ def spearman(df: DataFrame, x: str, y: str, x_bucket: Column, y_bucket: Column)
         F.sum(w * a).alias("sa"),
         F.sum(w * b).alias("sb"),
     )
-    cov = F.col("sab") - F.col("sa") * F.col("sb") / n
-    var_x = F.col("saa") - F.col("sa") * F.col("sa") / n
-    var_y = F.col("sbb") - F.col("sb") * F.col("sb") / n
+    cov = F.col("sab") - F.try_divide(F.col("sa") * F.col("sb"), n)
+    var_x = F.col("saa") - F.try_divide(F.col("sa") * F.col("sa"), n)
+    var_y = F.col("sbb") - F.try_divide(F.col("sb") * F.col("sb"), n)
     rho = (
         F.when((var_x == 0) & (var_y == 0), 1.0)
         .when((var_x == 0) | (var_y == 0), 0.0)
-        .otherwise(cov / (F.sqrt(var_x) * F.sqrt(var_y)))
+        .otherwise(F.try_divide(cov, F.sqrt(var_x) * F.sqrt(var_y)))
     )
     return sums.select("n", F.round(rho, 6).alias("rho"))
 

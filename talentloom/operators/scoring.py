@@ -31,7 +31,7 @@ def unit_vectors(vectors: DataFrame, id_column: str, vector: str = "embedding")
     v = F.transform(vector, lambda x: x.cast("double"))
     norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
     sized = vectors.withColumn("_norm", norm)
-    unit = F.transform(vector, lambda x: F.when(F.col("_norm") > 0, x.cast("double") / F.col("_norm")).otherwise(0.0))
+    unit = F.transform(vector, lambda x: F.when(F.col("_norm") > 0, F.try_divide(x.cast("double"), F.col("_norm"))).otherwise(0.0))
     return sized.select(id_column, F.when(F.size(vector) > 0, unit).alias("unit"))
 
 
@@ -74,7 +74,7 @@ def skill_scores(pairs: DataFrame, evidence: DataFrame) -> DataFrame:
         F.sum(F.col("weight") * F.col("credit")).alias("got"), F.sum("weight").alias("total")
     )
     return pairs.select("cv_id", "jd_id").join(sums, ["cv_id", "jd_id"], "left").select(
-        "cv_id", "jd_id", F.when(F.col("total") > 0, F.col("got") / F.col("total")).otherwise(1.0).alias("skills")
+        "cv_id", "jd_id", F.when(F.col("total") > 0, F.try_divide("got", "total")).otherwise(1.0).alias("skills")
     )
 
 
@@ -85,13 +85,13 @@ def depth_share(months: Column | str, years: Column | str) -> Column:
     """Share of the required months spent on a group, at most 1."""
     m = F.col(months) if isinstance(months, str) else months
     y = F.col(years) if isinstance(years, str) else years
-    return F.least(F.coalesce(m, F.lit(0)) / (y * 12), F.lit(1.0))
+    return F.least(F.try_divide(F.coalesce(m, F.lit(0)), y * 12), F.lit(1.0))
 
 
 def years_share(months: Column | str, years: Column | str) -> Column:
     m = F.col(months) if isinstance(months, str) else months
     y = F.col(years) if isinstance(years, str) else years
-    return F.least(F.coalesce(m, F.lit(0)) / 12.0 / y, F.lit(1.0))
+    return F.least(F.try_divide(F.coalesce(m, F.lit(0)) / 12.0, y), F.lit(1.0))
 
 
 def experience_score(years: Column | str, depth: Column | str, general: Column | str) -> Column:
@@ -110,7 +110,7 @@ def education_score(cv_rank: Column | str, jd_rank: Column | str) -> Column:
     return (
         F.when(F.coalesce(jd, F.lit(0)) == 0, 1.0)
         .when(F.coalesce(cv, F.lit(0)) == 0, NEUTRAL)
-        .otherwise(F.least(cv / jd, F.lit(1.0)))
+        .otherwise(F.least(F.try_divide(cv, jd), F.lit(1.0)))
     )
 
 

@@ -186,13 +186,13 @@ class Screening:
             & F.col("lat2").isNotNull() & F.col("lng2").isNotNull()
         )
         depth = F.when(
-            F.col("required_weight") > 0, F.coalesce("depth", F.lit(0.0)) / F.col("required_weight")
+            F.col("required_weight") > 0, F.try_divide(F.coalesce("depth", F.lit(0.0)), F.col("required_weight"))
         )
         return wide.select(
             "cv_id",
             "jd_id",
             scoring.semantic_score(scoring.cosine("cv_unit", "jd_unit")).alias("semantic"),
-            F.when(F.col("total_weight") > 0, F.coalesce("got", F.lit(0.0)) / F.col("total_weight"))
+            F.when(F.col("total_weight") > 0, F.try_divide(F.coalesce("got", F.lit(0)), F.col("total_weight")))
             .otherwise(1.0)
             .alias("skills"),
             scoring.experience_score(
