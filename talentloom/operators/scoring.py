@@ -51,8 +51,12 @@ def vector_problem(a: Column | str, b: Column | str) -> Column:
 
 
 def semantic_score(similarity: Column, low: float = COSINE_MIN, high: float = COSINE_MAX) -> Column:
+    """Cosine stretched to [0, 1]; neutral where a vector is missing.
+
+    least and greatest skip nulls, so a missing cosine is settled first.
+    """
     stretched = F.least((similarity - low) / (high - low), F.lit(1.0))
-    return F.coalesce(F.greatest(stretched, F.lit(0.0)), F.lit(NEUTRAL))
+    return F.when(similarity.isNull(), NEUTRAL).otherwise(F.greatest(stretched, F.lit(0.0)))
 
 
 def pair_similarity(pairs: DataFrame, cv_units: DataFrame, jd_units: DataFrame) -> DataFrame:

@@ -403,7 +403,7 @@ VIEWS: dict[str, str] = {
       JOIN name_month_lists n ON n.cv_id = a.cv_id AND n.name = r.name
       GROUP BY a.cv_id, a.jd_id, r.req_pos""",
     "semantic": """
-      SELECT a.cv_id, a.jd_id, coalesce(greatest(least(l.cosine, 1.0), 0.0), 0.5) AS semantic
+      SELECT a.cv_id, a.jd_id, CASE WHEN l.cosine IS NULL THEN 0.5::DOUBLE ELSE greatest(least(l.cosine, 1.0), 0.0) END AS semantic
       FROM applications a LEFT JOIN labelled_pairs l ON l.cv_id = a.cv_id AND l.jd_id = a.jd_id""",
     "skills": """
       SELECT cv_id, jd_id, CASE WHEN sum(weight) > 0 THEN sum(weight * credit) / sum(weight) ELSE 1.0 END AS skills
