@@ -28,14 +28,17 @@ def local_session(name: str = "talentloom", cores: str = "*", partitions: int =
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names for checkpoints.
 
-    Only where none is configured at all, as in local tests, is one made here.
+    Only a local session may go without: its executors share the driver's disk. Any
+    other master without a folder is an error, as executors would write to their own.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if configured:
         return configured
-    folder = tempfile.mkdtemp(prefix="talentloom-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError(f"spark.checkpoint.dir is not set, and {master} needs a folder that all executors share")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="talentloom-"))
+    return spark.sparkContext.getCheckpointDir()
 
 
 def materialise(df: DataFrame) -> DataFrame:
