@@ -6,18 +6,42 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from talentloom.llm import quality
+from talentloom.llm import packing, quality, warc
 from talentloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    packed = packing.pack_documents(table(spark, folder, "documents"))
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def op2_warc(spark: SparkSession, folder: str) -> DataFrame:
+    records = warc.read_records(warc.write_archive(table(spark, folder, "pages")).index)
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.report(table(spark, folder, "documents"))
 
 
 QUERIES: dict[str, Query] = {
+    "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_warc": op2_warc,
     "op3_quality_rules": op3_quality_rules,
 }
 
-SQL: dict[str, str] = {}
+OP2 = """
+WITH payloads AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+), ranked AS (
+  SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS first_page FROM payloads
+)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 1000 AND page_id <> first_page THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 1000 AND page_id <> first_page THEN first_page END AS refers_to
+FROM ranked
+"""
+
+SQL: dict[str, str] = {"op2_warc": OP2}
