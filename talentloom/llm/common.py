@@ -68,3 +68,9 @@ def to_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 def own_columns(df: DataFrame, **columns) -> DataFrame:
     """Only the named columns, renamed, so other columns cannot clash with working names."""
     return df.select(*[F.col(f"`{source}`").alias(name) for name, source in columns.items()])
+
+
+def checked_broadcast(df: DataFrame, row_bytes: int, most: int = 32 << 20) -> DataFrame:
+    """`df` with a broadcast hint if its rows times `row_bytes` stay below `most`; beyond
+    that Spark shuffles as for any join. Counts, so pass something written."""
+    return F.broadcast(df) if df.count() * row_bytes <= most else df
