@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from talentloom.llm import line_dedup, near_dedup, packing, quality, warc
+from talentloom.llm import chat, line_dedup, mixing, near_dedup, packing, quality, warc
 from talentloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,15 @@ def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.report(table(spark, folder, "documents"))
 
 
+def op5_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
+    return chat.repair(table(spark, folder, "conversations"))
+
+
+def op7_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    chosen = mixing.mix(table(spark, folder, "documents"), entropy_share=0.95)
+    return chosen.select("doc_id", "source", "copy", "n_tokens", "block")
+
+
 def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return line_dedup.dedup_lines(docs).select("doc_id", "n_lines", "n_removed", "text")
@@ -39,6 +48,8 @@ QUERIES: dict[str, Query] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_warc": op2_warc,
     "op3_quality_rules": op3_quality_rules,
+    "op5_chat_formatting": op5_chat_formatting,
+    "op7_mixing": op7_mixing,
     "op9_line_dedup": op9_line_dedup,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
