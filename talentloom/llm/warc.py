@@ -1,13 +1,14 @@
 """WARC archives written and read back through an index.
 
 A page becomes one record: WARC headers, an HTTP header block, and for responses the
-payload. Of pages with equal payloads of at least `revisit_bytes` the one with the
-largest id is the response and the others are revisits without payload. The index is
-made first, from digests and lengths alone: shard, offset, length, URL and digest of
-every record. The archives are then written by Spark's text writer, whose line
-separator is the blank pair that ends a record, one file per shard in index order.
+payload, compressed as a gzip member of its own. Of pages with equal payloads of at
+least `revisit_bytes` the one with the largest id is the response and the others are
+revisits without payload. Writing a record gives its index row: file, offset, length,
+URL and digest. Every task attempt writes files of its own and only the index rows of
+finished tasks are kept, so an attempt that was lost leaves nothing that is read.
 Readers take the selected index rows sorted by offset, merge neighbouring byte ranges,
-and read each merged range once.
+and read each merged range once. Files are opened through Arrow's file systems, in the
+shared folder of the session.
 
 Defined results: null html is an empty payload; a null URL leaves the target URI out;
 control characters and spaces of a URL are percent-encoded; rows repeated with the
@@ -18,114 +19,108 @@ a null page_id sorts below all others. An empty table gives an index without row
 from __future__ import annotations
 
 import hashlib
+import re
 import uuid
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talentloom.llm.common import own_columns
+from talentloom.llm.common import checked_broadcast, own_columns, to_batch, utf8
 from talentloom.session import materialise, shared_folder
 
 CRLF = "\r\n"
 END = CRLF + CRLF
+GZIP = 31  # zlib's window bits for gzip members
+UNSAFE = re.compile(r"[\x00-\x20\x7f]")
+INDEX = pa.schema(
+    [("path", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("page_id", pa.int64()), ("url", pa.string()),
+     ("digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())]
+)
 
 
 @dataclass(frozen=True)
 class Archive:
     folder: str
-    index: DataFrame  # shard, path, offset, length, page_id, url, digest, payload_bytes, record_type, refers_to
+    index: DataFrame  # the columns of INDEX
 
 
-def _record_id(page_id: Column) -> Column:
+def _record_id(page_id: int | None) -> str:
     """A stable id made from the page id; the page id can be read from it."""
-    return F.concat(F.lit("<urn:page:"), F.coalesce(page_id.cast("string"), F.lit("")), F.lit(">"))
+    return f"<urn:page:{'' if page_id is None else page_id}>"
 
 
-def _safe_url(url: Column) -> Column:
-    """Header values hold no control characters or spaces."""
-    for code in (*range(0x21), 0x7F):
-        url = F.replace(url, F.lit(chr(code)), F.lit(f"%{code:02X}"))
-    return url
-
-
-def _head(page_id: Column, url: Column, digest: Column, size: Column, kind: Column, refers_to: Column, date: str) -> Column:
-    """Everything of a record before its payload, as a function of its index row."""
-    http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), size.cast("string"), F.lit(END))
-    revisit = kind == "revisit"
-    block = F.octet_length(http) + F.when(revisit, 0).otherwise(size)
-    lines = [
-        F.concat(F.lit("WARC/1.1"), F.lit(CRLF), F.lit("WARC-Type: "), kind),
-        F.concat(F.lit("WARC-Record-ID: "), _record_id(page_id)),
-        F.lit(f"WARC-Date: {date}"),
-        F.concat(F.lit("WARC-Target-URI: "), url),
-        F.when(revisit, F.concat(F.lit("WARC-Refers-To: "), _record_id(refers_to))),
-        F.when(revisit, F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")),
-        F.concat(F.lit("WARC-Payload-Digest: sha1:"), digest),
-        F.lit("Content-Type: application/http; msgtype=response"),
-        F.concat(F.lit("Content-Length: "), block.cast("string")),
-    ]
-    return F.concat(F.concat_ws(CRLF, *lines), F.lit(END), http)  # concat_ws leaves null lines out
-
-
-def _shard(page_id: Column, digest: Column, shards: int) -> Column:
-    return F.pmod(F.xxhash64(page_id, digest), F.lit(shards)).cast("int")
+def format_record(page_id: int | None, url: str | None, digest: str, payload: bytes, refers_to: int | None, revisit: bool, date: str) -> bytes:
+    """One uncompressed record; a revisit states the size of the payload it leaves out."""
+    http = f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: {len(payload)}{END}".encode()
+    block = http if revisit else http + payload
+    lines = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {_record_id(page_id)}", f"WARC-Date: {date}"]
+    if url is not None:
+        lines.append("WARC-Target-URI: " + UNSAFE.sub(lambda m: f"%{ord(m[0]):02X}", url))
+    if revisit:
+        lines.append(f"WARC-Refers-To: {_record_id(refers_to)}")
+        lines.append("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")
+    lines += [f"WARC-Payload-Digest: sha1:{digest}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
+    return utf8(CRLF.join(lines) + END) + block + END.encode()
 
 
 def write_archive(
     pages: DataFrame,
     folder: str | None = None,
     revisit_bytes: int = 1000,
-    shard_bytes: int = 64 << 20,
+    file_bytes: int = 1 << 30,
     date: str = "2000-01-01T00:00:00Z",
     page_id: str = "page_id",
     url: str = "url",
     html: str = "html",
 ) -> Archive:
     """Write one record per page and the index of all records."""
-    spark = pages.sparkSession
-    folder = folder or f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
+    folder = folder or f"{shared_folder(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
     own = own_columns(pages, page_id=page_id, url=url, html=html)
     payload = F.coalesce(F.col("html").cast("binary"), F.lit(b""))
-    own = own.select("page_id", _safe_url(F.col("url")).alias("url"), "html", F.sha1(payload).alias("digest"), F.octet_length(payload).cast("long").alias("size"))
-    slim = materialise(own.drop("html"))
-    shards = int((slim.agg(F.sum(F.col("size") + 600)).first()[0] or 0) // shard_bytes) + 1
-
-    twins = slim.where(F.col("size") >= revisit_bytes).groupBy("digest").agg(F.max("page_id").alias("first_page"), F.count("*").alias("_n"))
-    twins = twins.where("_n > 1").drop("_n")
-    is_revisit = F.col("first_page").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_page"))
-    typed = slim.join(twins, "digest", "left").select(
-        "page_id", "url", "digest", "size",
-        F.when(is_revisit, "revisit").otherwise("response").alias("kind"),
-        F.when(is_revisit, F.col("first_page")).alias("refers_to"),
-    )
-    head = _head(*(F.col(c) for c in ("page_id", "url", "digest", "size", "kind", "refers_to")), date)
-    length = F.octet_length(head) + F.when(F.col("kind") == "revisit", 0).otherwise(F.col("size")) + len(END)
-    order = ["page_id", "digest", "url"]
-    before = Window.partitionBy("shard").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    index = typed.withColumn("shard", _shard(F.col("page_id"), F.col("digest"), shards)).withColumn("length", length.cast("long"))
-    index = materialise(index.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0))))
-
-    # The payloads move once: both sides are dealt by shard, in which all keys lie.
-    decided = index.select("shard", "page_id", "digest", "kind", "refers_to").distinct().repartition(shards, "shard")
-    full = own.withColumn("shard", _shard(F.col("page_id"), F.col("digest"), shards)).repartition(shards, "shard").alias("f")
-    same = (F.col("f.shard") == F.col("d.shard")) & (F.col("f.digest") == F.col("d.digest")) & F.col("f.page_id").eqNullSafe(F.col("d.page_id"))
-    joined = full.join(decided.alias("d"), same).select("f.*", "d.kind", "d.refers_to")
-    body = F.when(F.col("kind") == "revisit", "").otherwise(F.coalesce(F.col("html").cast("string"), F.lit("")))
-    records = joined.sortWithinPartitions("shard", *order).select(F.concat(head, body).alias("value"), "shard")
-    records.write.option("lineSep", END).option("maxRecordsPerFile", 0).partitionBy("shard").text(folder)
-
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    files = files.select("path", F.regexp_extract("path", r"/shard=(\d+)/[^/]*$", 1).cast("int").alias("shard"))
-    columns = "shard path offset length page_id url digest kind refers_to".split()
-    named = index.join(files, "shard").withColumnRenamed("size", "payload_bytes").select(*columns, "payload_bytes")
-    return Archive(folder, named.withColumnRenamed("kind", "record_type"))
+    own = own.withColumn("digest", F.sha1(payload))
+    slim = own.where(F.octet_length(payload) >= revisit_bytes).groupBy("digest").agg(F.max("page_id").alias("first_page"), F.count("*").alias("n"))
+    twins = materialise(slim.where("n > 1").select("digest", "first_page"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        system, place = fs.FileSystem.from_uri(folder)
+        system.create_dir(place, recursive=True)
+        file, name, at = None, "", 0
+        for batch in batches:
+            rows = []
+            for i in range(batch.num_rows):
+                key, address, text, digest, first = (c[i].as_py() for c in batch.columns)
+                if file is None or at >= file_bytes:
+                    if file is not None:
+                        file.close()
+                    name, at = f"{uuid.uuid4().hex}.warc.gz", 0
+                    file = system.open_output_stream(f"{place}/{name}", compression=None)
+                revisit = first is not None and key != first
+                record = format_record(key, address, digest, utf8(text) if isinstance(text, str) else text or b"", first, revisit, date)
+                pack = zlib.compressobj(3, zlib.DEFLATED, GZIP)
+                member = pack.compress(record) + pack.flush()
+                file.write(member)
+                rows.append((f"{folder}/{name}", at, len(member), key, address, digest, "revisit" if revisit else "response", first if revisit else None))
+                at += len(member)
+            if rows:
+                yield to_batch(rows, INDEX)
+        if file is not None:
+            file.close()
+
+    written = own.join(checked_broadcast(twins, 64), "digest", "left").select("page_id", "url", "html", "digest", "first_page")
+    index = written.mapInArrow(
+        run, "path string, offset long, length long, page_id long, url string, digest string, record_type string, refers_to long"
+    )
+    return Archive(folder, materialise(index))
 
 
 def parse_record(record: bytes) -> dict[str, str | bytes]:
-    """Header fields of one record, and its payload under `payload`."""
+    """Header fields of one uncompressed record, and its payload under `payload`."""
     head, _, block = record.partition(b"\r\n\r\n")
     fields = dict(line.split(": ", 1) for line in head.decode().split(CRLF)[1:])
     http, _, payload = block[: int(fields["Content-Length"])].partition(b"\r\n\r\n")
@@ -177,16 +172,14 @@ def read_records(selected: DataFrame, gap: int = 64 << 10, most: int = 8 << 20)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
-        from talentloom.llm.common import to_batch
-
         wanted = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
         name, file = None, None
         for path, start, end, parts in _ranges(wanted, gap, most):
             if path != name:
                 system, place = fs.FileSystem.from_uri(path)
-                name, file = path, system.open_input_file(place)
+                name, file = path, system.open_input_file(place)  # no decompression: offsets are of the stored bytes
             block = memoryview(file.read_at(end - start, start))
-            yield to_batch([parsed(bytes(block[o - start : o - start + n])) for o, n in parts], schema)
+            yield to_batch([parsed(zlib.decompress(block[o - start : o - start + n], GZIP)) for o, n in parts], schema)
 
     stretch = F.floor(F.col("offset") / most)
     dealt = selected.select("path", "offset", "length").repartition("path", stretch).sortWithinPartitions("path", "offset")
