@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from talentloom.llm import chat, line_dedup, mixing, near_dedup, packing, quality, warc
+from talentloom.llm import chat, line_dedup, mih, mixing, near_dedup, packing, quality, warc
 from talentloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,11 @@ def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.report(table(spark, folder, "documents"))
 
 
+def op4_multi_index_hashing(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings")
+    return mih.neighbours(vectors, vectors.where("vec_id % 20 = 0"))
+
+
 def op5_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
     return chat.repair(table(spark, folder, "conversations"))
 
@@ -48,6 +53,7 @@ QUERIES: dict[str, Query] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_warc": op2_warc,
     "op3_quality_rules": op3_quality_rules,
+    "op4_multi_index_hashing": op4_multi_index_hashing,
     "op5_chat_formatting": op5_chat_formatting,
     "op7_mixing": op7_mixing,
     "op9_line_dedup": op9_line_dedup,
