@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from talentloom.llm import chat, line_dedup, mih, mixing, near_dedup, packing, quality, warc
+from talentloom.llm import chat, lbl, line_dedup, mih, mixing, near_dedup, packing, pii, quality, warc
 from talentloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,6 +35,14 @@ def op5_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
     return chat.repair(table(spark, folder, "conversations"))
 
 
+def op6_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.personal_data(table(spark, folder, "documents"))
+
+
+def op8_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    return lbl.score_texts(table(spark, folder, "documents"))
+
+
 def op7_mixing(spark: SparkSession, folder: str) -> DataFrame:
     chosen = mixing.mix(table(spark, folder, "documents"), entropy_share=0.95)
     return chosen.select("doc_id", "source", "copy", "n_tokens", "block")
@@ -55,6 +63,8 @@ QUERIES: dict[str, Query] = {
     "op3_quality_rules": op3_quality_rules,
     "op4_multi_index_hashing": op4_multi_index_hashing,
     "op5_chat_formatting": op5_chat_formatting,
+    "op6_pii": op6_pii,
+    "op8_lm_scoring": op8_lm_scoring,
     "op7_mixing": op7_mixing,
     "op9_line_dedup": op9_line_dedup,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
