@@ -71,10 +71,12 @@ def work_mode(c: Column | str) -> Column:
 
 
 def min_years(c: Column | str) -> Column:
-    """Ceiling of the number; blank or unparsable is 0, and so is a negative one."""
-    number = strip(col(c).cast("string")).try_cast("double")
-    whole = F.when(~F.isnan(number) & (F.abs(number) < 2**31), F.ceil(number).cast("int"))
-    return F.greatest(F.coalesce(whole, F.lit(0)), F.lit(0))
+    """Ceiling of the number; blank or unparsable is 0, and so is a negative one. Beyond
+    the range of an int it is the largest int."""
+    text = strip(col(c).cast("string"))
+    number = F.when(text.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"), text).try_cast("double")
+    held = F.least(F.greatest(F.coalesce(number, F.lit(0.0)), F.lit(0.0)), F.lit(2.0**31 - 1))
+    return F.ceil(held).cast("int")
 
 
 def non_blank_or_null(c: Column | str) -> Column:

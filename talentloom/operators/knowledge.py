@@ -48,7 +48,7 @@ def merge_aliases(
     ).distinct()
     extra = extra.join(aliases, "alias", "left_anti")
     merged = aliases.unionByName(extra)
-    more = new_aliases.dropDuplicates(["alias"]).join(merged, "alias", "left_anti")
+    more = new_aliases.groupBy("alias").agg(F.min("canonical").alias("canonical")).join(merged, "alias", "left_anti")
     return merged.unionByName(more.select("alias", "canonical"))
 
 

@@ -95,9 +95,11 @@ def auc(df: DataFrame, score: str, actual: Column, bucket: Column) -> DataFrame:
         F.sum("n_pos").alias("n_pos"),
         F.sum(F.col("n") - F.col("n_pos")).alias("n_neg"),
     )
-    u = F.col("rank_sum") - F.col("n_pos") * (F.col("n_pos") + 1) / 2
+    # As doubles: the products outgrow a bigint from about 3e9 rows of a class.
+    pos, neg = F.col("n_pos").cast("double"), F.col("n_neg").cast("double")
+    u = F.col("rank_sum") - pos * (pos + 1) / 2
     return sums.select(
-        "n_pos", "n_neg", F.round(F.try_divide(u, F.col("n_pos") * F.col("n_neg")), 9).alias("auc")
+        "n_pos", "n_neg", F.round(F.try_divide(u, pos * neg), 9).alias("auc")
     )
 
 
@@ -107,20 +109,16 @@ def spearman(df: DataFrame, x: str, y: str, x_bucket: Column, y_bucket: Column)
     rx = average_ranks(df, x, x_bucket, "rx").select(x, "rx")
     ry = average_ranks(df, y, y_bucket, "ry").select(y, "ry")
     ranked = pairs.join(rx, x).join(ry, y)
-    w, a, b = F.col("w"), F.col("rx"), F.col("ry")
-    # Ranks are multiples of 0.5, so centred on (n + 1) / 2 they stay exact.
-    n = F.col("n")
+    # Centred on their mean, ranks of a constant column are exactly 0.
+    mean = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select((F.count("*") + 1) / 2).scalar()
+    w, a, b = F.col("w"), F.col("rx") - mean, F.col("ry") - mean
     sums = ranked.agg(
         F.sum("w").alias("n"),
         F.sum(w * a * b).alias("sab"),
         F.sum(w * a * a).alias("saa"),
         F.sum(w * b * b).alias("sbb"),
-        F.sum(w * a).alias("sa"),
-        F.sum(w * b).alias("sb"),
     )
-    cov = F.col("sab") - F.try_divide(F.col("sa") * F.col("sb"), n)
-    var_x = F.col("saa") - F.try_divide(F.col("sa") * F.col("sa"), n)
-    var_y = F.col("sbb") - F.try_divide(F.col("sb") * F.col("sb"), n)
+    cov, var_x, var_y = F.col("sab"), F.col("saa"), F.col("sbb")
     rho = (
         F.when((var_x == 0) & (var_y == 0), 1.0)
         .when((var_x == 0) | (var_y == 0), 0.0)

@@ -144,7 +144,7 @@ def geocode(places: DataFrame, address: str, gazetteer: DataFrame) -> DataFrame:
     segments = F.filter(
         F.transform(F.split(F.col(address), ","), lambda s: F.trim(s)), lambda s: s != ""
     )
-    known = gazetteer.groupBy("address").agg(F.first(F.struct("lat", "lng")).alias("place"))
+    known = gazetteer.groupBy("address").agg(F.min(F.struct("lat", "lng")).alias("place"))
     full = known.select(F.col("address").alias("_full"), F.col("place").alias("_at_full"))
     tail = known.select(F.col("address").alias("_tail"), F.col("place").alias("_at_tail"))
     found = (

@@ -90,7 +90,8 @@ def work_mode(x: str) -> str:
 
 
 def min_years(x: str) -> str:
-    return f"greatest(coalesce(CAST(ceil(TRY_CAST({strip(x)} AS DOUBLE)) AS INTEGER), 0), 0)"
+    number = f"CASE WHEN regexp_full_match({strip(x)}, '[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?') THEN TRY_CAST({strip(x)} AS DOUBLE) END"
+    return f"CAST(ceil(least(greatest(coalesce({number}, 0), 0), 2147483647)) AS INTEGER)"
 
 
 def skill_key(x: str) -> str:

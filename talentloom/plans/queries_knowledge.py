@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from string import ascii_lowercase as LOWER
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -392,23 +394,24 @@ def _(t: Tables) -> DataFrame:
       WITH base AS (SELECT DISTINCT name FROM raw_requirements),
       made AS (
         SELECT DISTINCT unnest([replace(name, ' ', '-'), replace(name, '.', ''), replace(name, '-', ' '), upper(name), lower(name),
-          upper(replace(name, ' ', '-')), lower(replace(name, ' ', '-')), replace(name, ' ', '_')]) AS name FROM base)
-      SELECT name, 'written' AS origin FROM base
+          upper(replace(name, ' ', '-')), lower(replace(name, ' ', '-')), replace(name, ' ', '_'),
+          translate(name, 'abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ', 'ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz')]) AS name FROM base)
+      SELECT name, 'written' AS origin, NULL AS fill_order FROM base
       UNION ALL
-      SELECT name, 'variant' FROM (
-        SELECT name FROM made WHERE name <> '' AND name NOT IN (SELECT name FROM base)
-        ORDER BY sha256('42' || chr(1) || name) LIMIT 200)"""),
+      SELECT name, 'variant', sha256('42' || chr(1) || name) FROM made WHERE name <> '' AND name NOT IN (SELECT name FROM base)"""),
 )
 def _(t: Tables) -> DataFrame:
-    """Written names plus 200 rewrites in an order fixed by a hash; the cut is the feature."""
+    """Written names and all their rewrites; a corpus is filled up in the order of the hash."""
     base = t.raw_requirements.select("name").distinct()
     space, dash = F.lit(" "), F.lit("-")
     dashed = F.replace("name", space, dash)
     rewrites = F.array(
         dashed, F.replace("name", F.lit("."), F.lit("")), F.replace("name", dash, space), F.upper("name"),
         F.lower("name"), F.upper(dashed), F.lower(dashed), F.replace("name", space, F.lit("_")),
+        F.translate("name", LOWER + LOWER.upper(), LOWER.upper() + LOWER),
     )
     made = base.select(F.explode(rewrites).alias("name")).filter("name <> ''").distinct()
     fresh = made.join(base, "name", "left_anti")
-    chosen = fresh.orderBy(F.sha2(F.concat(F.lit("42\u0001"), "name"), 256)).limit(200)
-    return base.withColumn("origin", F.lit("written")).union(chosen.withColumn("origin", F.lit("variant")))
+    order = F.sha2(F.concat(F.lit("42\u0001"), "name"), 256)
+    written = base.select("name", F.lit("written").alias("origin"), F.lit(None).cast("string").alias("fill_order"))
+    return written.unionByName(fresh.select("name", F.lit("variant").alias("origin"), order.alias("fill_order")))

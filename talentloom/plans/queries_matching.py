@@ -69,12 +69,14 @@ def _missing(status: str) -> str:
 _REPORT = f"""
   SELECT cv_id, jd_id, {_missing('missing_must_have')}, {_missing('missing_preferred')}, {_missing('missing_nice_to_have')},
     CASE WHEN sum(weight) > 0 THEN {o.half_even('sum(weight * credit) / sum(weight) * 100', 1)} ELSE 100.0 END AS skill_match_rate
-  FROM (SELECT *, {_STATUS} AS detail FROM evidence) GROUP BY cv_id, jd_id"""
+  FROM (SELECT a.cv_id, a.jd_id, e.req_pos, e.label, e.weight, e.credit, e.detail FROM applications a
+    LEFT JOIN (SELECT *, {_STATUS} AS detail FROM evidence) e ON e.cv_id = a.cv_id AND e.jd_id = a.jd_id)
+  GROUP BY cv_id, jd_id"""
 
 
 @query("E2_E3_skill_report", o.sql(_REPORT))
 def _(t: Tables) -> DataFrame:
-    return evaluation.skill_report(t.screening.evidence)
+    return evaluation.skill_report(t.screening.applications, t.screening.evidence)
 
 
 _BONUS = """
@@ -157,7 +159,7 @@ def _(t: Tables) -> DataFrame:
         ranks(t)
         .select(*pair, verdict)
         .join(valid, "cv_id")
-        .join(evaluation.skill_report(s.evidence), pair)
+        .join(evaluation.skill_report(s.applications, s.evidence), pair)
         .join(sentences(t), pair)
         .join(evaluation.bonus_skills(s.applications, s.cv_skills, s.requirements, s.aliases), pair, "left")
         .withColumn("bonus_skills", F.coalesce("bonus_skills", F.lit("")))

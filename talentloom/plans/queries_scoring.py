@@ -39,10 +39,12 @@ def _(t: Tables) -> DataFrame:
 
 
 @query("D3a_D3b_total_months", o.sql(f"""
-  SELECT cv_id, total_months, {o.half_even('total_months / 12.0::DOUBLE', 1)} AS total_years FROM total_months"""))
+  SELECT cv_id, total_months, {o.half_even('total_months / 12.0::DOUBLE', 1)} AS total_years
+  FROM (SELECT c.cv_id, coalesce(m.total_months, 0) AS total_months FROM candidates c LEFT JOIN total_months m ON m.cv_id = c.cv_id)"""))
 def _(t: Tables) -> DataFrame:
-    months = intervals.merged_months(t.employment, ["cv_id"], out="total_months")
-    return months.filter("total_months > 0").withColumn("total_years", half_even(F.col("total_months") / 12, 1))
+    merged = intervals.merged_months(t.employment, ["cv_id"], out="total_months")
+    months = t.candidates.select("cv_id").join(merged, "cv_id", "left").na.fill(0, ["total_months"])
+    return months.withColumn("total_years", half_even(F.col("total_months") / 12, 1))
 
 
 @query("D3c_group_months", o.sql("""

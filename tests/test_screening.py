@@ -123,7 +123,7 @@ def test_months_agree_with_the_combined_plan(screening):
 
 
 def test_report(screening):
-    row = evaluation.skill_report(screening.evidence).filter("cv_id = 'depth' and jd_id = 'dev'").first()
+    row = evaluation.skill_report(screening.applications, screening.evidence).filter("cv_id = 'depth' and jd_id = 'dev'").first()
     assert (row["missing_must_have"], row["missing_preferred"], row["skill_match_rate"]) == ("", "Postgresql", 88.9)
     bonus = evaluation.bonus_skills(
         screening.applications, screening.cv_skills, screening.requirements, screening.aliases
