@@ -1,10 +1,10 @@
 """Links between sets that share keys, and the components they form.
 
 DataFrame operations only. A key's members are never paired with each other all at
-once: each is first compared with one hub of the key, the smallest member. What these
-links join needs no further comparison. Only where a key still holds several
-components are further hubs tried, and at last the remaining pairs across components,
-so that no link between different components is lost.
+once: each is first compared with one hub of the key, its most central member. What
+these links join needs no further comparison. Where a key still holds several
+components, the pairs across them that an exact bound leaves are compared at last, so
+that no link between components is lost.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from talentloom.llm.common import checked_broadcast
 from talentloom.session import materialise
 
 
@@ -47,62 +48,97 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def similar_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of the (a, b) pairs, those whose sets (id, items) have a Jaccard similarity of at
-    least `percent` in a hundred, exactly."""
-    one = sets.select(F.col("id").alias("a"), F.col("items").alias("x"))
-    other = sets.select(F.col("id").alias("b"), F.col("items").alias("y"))
-    sized = pairs.join(one, "a").join(other, "b").select(
-        "a", "b", F.size("x").alias("n"), F.size("y").alias("m"), F.size(F.array_intersect("x", "y")).alias("both")
-    )
-    return sized.where(F.col("both") * 100 >= percent * (F.col("n") + F.col("m") - F.col("both"))).select("a", "b")
-
-
-def linked_components(postings: DataFrame, confirm: Callable[[DataFrame], DataFrame], hub_rounds: int = 2) -> tuple[DataFrame, DataFrame]:
-    """Confirmed links and the components under them, from (key, id) postings.
-
-    Two ids can be linked if they share a key and `confirm` keeps their pair. Links are
-    enough to connect what is connected; pairs inside one component are not tried.
+    """Of the (a, b) pairs, those whose sets (id, size, items) have a Jaccard similarity
+    of at least `percent` in a hundred, exactly. Sizes alone exclude many pairs, so only
+    the items of the others are read and moved."""
+    n, m = (sets.select(F.col("id").alias(c), F.col("size").alias(f"size_{c}")) for c in ("a", "b"))
+    close = F.least("size_a", "size_b") * 100 >= F.greatest("size_a", "size_b") * percent
+    pairs = materialise(pairs.join(n, "a").join(m, "b").where(close))
+    needed = checked_broadcast(materialise(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()), 8)
+    used = sets.select("id", "items").join(needed, "id", "left_semi")
+    one = used.select(F.col("id").alias("a"), F.col("items").alias("x"))
+    other = used.select(F.col("id").alias("b"), F.col("items").alias("y"))
+    both = F.size(F.array_intersect("x", "y"))
+    sized = pairs.join(one, "a").join(other, "b").select("a", "b", "size_a", "size_b", both.alias("both"))
+    return sized.where(F.col("both") * (100 + percent) >= percent * (F.col("size_a") + F.col("size_b"))).select("a", "b")
+
+
+def shared_items(sets: DataFrame, active: DataFrame) -> DataFrame:
+    """(id, item, n): the items of active sets that n > 1 of them have."""
+    own = sets.join(checked_broadcast(active, 8), "id", "left_semi")
+    each = own.select("id", F.explode("items").alias("item"))
+    counts = each.groupBy("item").agg(F.count("*").alias("n")).where("n > 1")
+    return materialise(each.join(counts, "item").select("id", "item", "n"))
+
+
+def shared_postings(postings: DataFrame) -> DataFrame:
+    """(key, id, hub, n): the postings (key, id, rank) of keys with several members, the
+    lowest-ranked of which is the hub. Written, as most keys have one member only."""
+    counts = materialise(postings.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+    shared = materialise(postings.join(checked_broadcast(counts, 16), "key"))
+    hubs = shared.groupBy("key").agg(F.min(F.struct("rank", "id")).getField("id").alias("hub"))
+    return materialise(shared.join(hubs, "key").select("key", "id", "hub", "n"))
+
+
+def linked_components(
+    held: DataFrame, sets: DataFrame, percent: int, confirm: Callable[[DataFrame], DataFrame] | None = None, large: int = 64
+) -> DataFrame:
+    """(node, component) under all links between sets (id, size, items) that share a key
+    of `held`, made by shared_postings. Ids without a link are left out.
+
+    A link is a pair with a Jaccard similarity of at least `percent` in a hundred that
+    `confirm`, a cheaper test put before, keeps. Pairs inside a component are not tried.
+    Up to `large` members, a key's pairs across components are simply taken. Above, a
+    link either has an item that at most `large` sets share, by which it is found, or its
+    intersection consists of more frequent items, whose number bounds it. No way misses a
+    link.
     """
-    counts = postings.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("n")).where("n > 1")
-    held = materialise(postings.join(counts, "key").select("key", "id", "hub", "n"))
-    shared = held.where("id <> hub").groupBy(F.col("hub").alias("a"), F.col("id").alias("b")).agg(F.count("*").alias("keys"))
-    stars = materialise(shared)
+    stars = materialise(held.where("id <> hub").groupBy(F.col("hub").alias("a"), F.col("id").alias("b")).agg(F.count("*").alias("keys")))
     best = stars.groupBy("b").agg(F.max(F.struct("keys", "a")).getField("a").alias("a"))
-    links = materialise(confirm(best.select("a", "b")))
-    labels = components(links)
 
-    def across(pairs: DataFrame) -> DataFrame:
-        """The pairs whose ends lie in different components so far."""
-        ends = with_component(with_component(pairs, labels, "a", "ca"), labels, "b", "cb")
-        return ends.where("ca <> cb").select("a", "b")
-
-    def extend(pairs: DataFrame) -> None:
-        nonlocal links, labels
-        more = materialise(confirm(pairs))
-        if not more.isEmpty():
-            links = links.unionByName(more)
-            labels = components(links)
-
-    extend(across(stars.join(best, ["a", "b"], "left_anti")))
-    many = held.where("n > 2")
-    for _ in range(hub_rounds):
-        placed = materialise(with_component(many, labels, "id", "component"))
-        state = placed.groupBy("key").agg(
-            F.min("component").alias("first"),
-            F.max(F.struct("component", (-F.col("id")).alias("minus"))).alias("last"),
-        )
-        state = materialise(state.where(F.col("first") < F.col("last.component")))
-        if state.isEmpty():
-            return links, labels
-        active = placed.join(state, "key")
-        many = active.select("key", "id", "hub", "n")
-        pairs = active.where("component <> last.component AND id <> hub AND -last.minus <> hub")
-        extend(pairs.select((-F.col("last.minus")).alias("a"), F.col("id").alias("b")).distinct())
-    placed = materialise(with_component(many, labels, "id", "component").where("id <> hub"))
-    other = placed.select("key", F.col("id").alias("a"), F.col("component").alias("ca"))
-    rest = placed.select("key", F.col("id").alias("b"), F.col("component").alias("cb")).join(other, "key")
-    extend(rest.where("ca < cb").select("a", "b").distinct())
-    return links, labels
+    def tested(pairs: DataFrame) -> DataFrame:
+        return materialise(similar_pairs(confirm(pairs) if confirm else pairs, sets, percent))
+
+    links = tested(best.select("a", "b"))
+    labels = components(links)
+    ends = with_component(with_component(stars, labels, "a", "ca"), labels, "b", "cb")
+    more = tested(ends.where("ca <> cb").join(best, ["a", "b"], "left_anti").select("a", "b"))
+    if not more.isEmpty():
+        links = links.unionByName(more)
+        labels = components(links)
+
+    def split(members: DataFrame) -> DataFrame:
+        """Members of keys that hold several components."""
+        several = members.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1")
+        return members.join(several.select("key"), "key", "left_semi")
+
+    # Pairs with the hub have been tried; what is left needs two others.
+    rest = held.where("n > 2 AND id <> hub").select("key", "id", "n")
+    active = split(with_component(rest, labels, "id", "component"))
+    active = materialise(active.join(sets.select("id", "size"), "id"))
+    small = active.where(F.col("n") <= large).select("key", "id", "component", "size", F.col("size").alias("common"))
+    big = active.where(F.col("n") > large)
+    rare = None
+    if not big.isEmpty():
+        placed = materialise(big.select("id", "component").distinct())
+        items = shared_items(sets, placed.select("id"))
+        own = items.where(F.col("n") <= large).join(placed, "id")
+        one = own.select("item", F.col("id").alias("a"), F.col("component").alias("ca"))
+        other = own.select("item", F.col("id").alias("b"), F.col("component").alias("cb"))
+        rare = one.join(other, "item").where("ca < cb").select("a", "b").distinct()
+        frequent = items.where(F.col("n") > large).groupBy("id").agg(F.count("*").alias("common"))
+        sized = big.join(materialise(frequent), "id")
+        least = sized.groupBy("key").agg(F.min("size").alias("least"))
+        possible = sized.join(least, "key").where(f"common * {100 + percent} >= {percent} * (size + least)")
+        small = small.unionByName(split(possible.select("key", "id", "component", "size", "common")))
+    alive = materialise(small)
+    one = alive.select("key", *[F.col(c).alias(f"{c}_a") for c in ("id", "component", "size", "common")])
+    other = alive.select("key", *[F.col(c).alias(f"{c}_b") for c in ("id", "component", "size", "common")])
+    bound = F.least("common_a", "common_b") * (100 + percent) >= percent * (F.col("size_a") + F.col("size_b"))
+    pairs = one.join(other, (one["key"] == other["key"]) & (F.col("component_a") < F.col("component_b")) & bound)
+    pairs = pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
+    more = tested(pairs if rare is None else pairs.unionByName(rare).distinct())
+    return labels if more.isEmpty() else components(links.unionByName(more))
 
 
 def with_component(df: DataFrame, labels: DataFrame, column: str, name: str) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from talentloom.llm.common import checked_broadcast, lower_words, own_columns, per_row, utf8
-from talentloom.llm.links import linked_components, similar_pairs
+from talentloom.llm.links import linked_components, shared_postings
 from talentloom.session import materialise
 
 COORDINATES = 64
@@ -115,13 +115,15 @@ def item_sets(docs: DataFrame, size: int = 5) -> DataFrame:
 
 
 def prefix_postings(classes: DataFrame, coordinates: int, least: int) -> DataFrame:
-    """(key, id): each class under the rarest of its values that others have too."""
+    """(key, id, rank): each class under the rarest of its values that others have too;
+    a class that shares more of its values ranks lower, as more central."""
     posted = classes.select("id", F.explode("keys").alias("key"))
     counts = posted.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     shared = posted.join(counts, "key").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("values"))
     # Values of its own take the first places of a prefix of coordinates - least + 1.
     places = F.size("values") - least + 1
-    return shared.where(places > 0).select("id", F.explode(F.slice("values", 1, places)).alias("value")).select("value.key", "id")
+    rank = -F.size("values")
+    return shared.where(places > 0).select("id", rank.alias("rank"), F.explode(F.slice("values", 1, places)).alias("value")).select("value.key", "id", "rank")
 
 
 def near_duplicates(
@@ -140,19 +142,18 @@ def near_duplicates(
     classes = materialise(slim.where("n_shingles > 0").groupBy("high", "low").agg(F.min("doc_id").alias("class")))
     named = classes.where("class IS NOT NULL").select(F.col("class").alias("doc_id"), "high", "low")
     signs = materialise(base.join(named, ["doc_id", "high", "low"]).select(F.col("doc_id").alias("id"), "keys", "high", "low").dropDuplicates(["id", "high", "low"]))
-    postings = materialise(prefix_postings(signs, coordinates, least))
+    held = shared_postings(prefix_postings(signs, coordinates, least))
 
-    met = materialise(postings.select("id").distinct())
+    met = materialise(held.select("id").distinct())
     wanted = checked_broadcast(met.select(F.col("id").alias("doc_id")), 8)
-    sets = materialise(item_sets(own.join(wanted, "doc_id", "left_semi"), size).dropDuplicates(["id"]))
+    sets = materialise(item_sets(own.join(wanted, "doc_id", "left_semi"), size).dropDuplicates(["id"]).withColumn("size", F.size("items")))
 
-    def confirm(pairs: DataFrame) -> DataFrame:
+    def agree(pairs: DataFrame) -> DataFrame:
         one = signs.select(F.col("id").alias("a"), F.col("keys").alias("x"))
         other = signs.select(F.col("id").alias("b"), F.col("keys").alias("y"))
-        agree = pairs.join(one, "a").join(other, "b").where(F.size(F.array_intersect("x", "y")) >= least)
-        return similar_pairs(agree.select("a", "b"), sets, percent)
+        return pairs.join(one, "a").join(other, "b").where(F.size(F.array_intersect("x", "y")) >= least).select("a", "b")
 
-    _, labels = linked_components(postings, confirm)
+    labels = linked_components(held, sets, percent, agree)
     # By set: the smallest document of the component; a class is named by its smallest.
     found = labels.select(F.col("node").alias("class"), "component")
     whole = classes.join(found, "class", "left").select("high", "low", F.coalesce("component", "class").alias("component"))
