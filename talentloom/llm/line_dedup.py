@@ -24,10 +24,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from talentloom.llm.common import checked_broadcast
-from talentloom.llm.links import linked_components, similar_pairs, with_component
+from talentloom.llm.links import linked_components, shared_postings
 from talentloom.session import materialise
 
-SHINGLE = 8
+SHINGLE = 12
 PERCENT = 75
 BANDS = 8
 ROWS = 3
@@ -68,55 +68,63 @@ def band_postings(lines: DataFrame, size: int = SHINGLE, bands: int = BANDS, row
     return signs.select(F.explode(keys).alias("key"), "id")
 
 
-def line_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """(doc, doc_id, at, id, component, first): every non-blank line, the component of its
-    text, and whether it is the component's earliest line."""
+def shingle_sets(lines: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """(id, size, items): all distinct shingle hashes of each line (id, line)."""
+    # Explode makes the encoded line a value of its own, worked out once per line.
+    units = lines.select("id", F.explode(F.array(F.encode("line", "UTF-16BE"))).alias("units"))
+    last = (F.octet_length("units") / 2 - size).cast("int")
+    each = F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.substring(F.col("units"), 2 * i + 1, F.lit(2 * size))))
+    return units.where(last >= 0).select("id", F.array_distinct(each).alias("items")).select("id", F.size("items").alias("size"), "items")
+
+
+def line_places(own: DataFrame) -> DataFrame:
+    """(doc, doc_id, at, id) of every non-blank line of (doc, doc_id, text)."""
+    lines = own.select("doc", "doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line"))
+    full = lines.where(F.length(F.btrim("line", F.lit(" \t\n\x0b\x0c\r"))) > 0)
+    return full.select("doc", "doc_id", "at", F.xxhash64("line").alias("id"))
+
+
+def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """(doc, at): the lines that are not the earliest of their component, where `doc` is
+    the hash of a document's id and text."""
     source = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     own = source.select(_document(F.col("doc_id"), F.col("text")).alias("doc"), "doc_id", "text")
-    lines = own.select("doc", "doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line"))
-    full = lines.where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
-    places = materialise(full.select("doc", "doc_id", "at", F.xxhash64("line").alias("id")))
+    places = materialise(line_places(own))
     place = F.struct("doc_id", "doc", "at")
-    firsts = materialise(places.groupBy("id").agg(F.min(place).alias("place")).select("id", "place.doc", "place.at"))
+    firsts = places.groupBy("id").agg(F.min(place).alias("place"), F.count("*").alias("n"))
+    firsts = materialise(firsts.select("id", "place.*", "n"))
 
     # Of each distinct line one copy is read, in the document where it stands first.
-    texts = own.select("doc", "text")
+    def read(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+        found = wanted.groupBy("doc").agg(F.collect_set("at").alias("places"))
+        each = texts.join(found, "doc").select("doc", "places", F.posexplode(F.split("text", "\n")).alias("at", "line"))
+        return each.where(F.array_contains("places", F.col("at"))).select("doc", "at", F.xxhash64("line").alias("id"), "line")
 
-    def read(wanted: DataFrame) -> DataFrame:
-        found = wanted.groupBy("doc").agg(F.collect_list(F.struct("at", "id")).alias("places"))
-        each = texts.join(found, "doc").select("doc", F.split("text", "\n").alias("lines"), F.explode("places").alias("p"))
-        return each.select("doc", "p.at", "p.id", F.get("lines", F.col("p.at")).alias("line"))
-
-    postings = materialise(band_postings(read(firsts), size).distinct())
-    counts = postings.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    met = materialise(postings.join(counts, "key").select("id").distinct())
-    among = materialise(firsts.join(met, "id", "left_semi"))
+    texts = own.select("doc", "text")
+    postings = materialise(band_postings(read(texts, firsts), size).withColumn("rank", F.lit(0)))
+    held = shared_postings(postings)
+    among = materialise(firsts.join(checked_broadcast(materialise(held.select("id").distinct()), 8), "id", "left_semi").select("id", "doc", "at"))
     near = checked_broadcast(materialise(among.select("doc").distinct()), 8)
-    texts = texts.join(near, "doc", "left_semi")
-    sets = _shingles(read(among), "doc", "at", "id", size=size).groupBy("doc", "at", "id").agg(F.collect_set("h").alias("items"))
-    sets = materialise(sets.select("id", "items"))
-    _, labels = linked_components(postings, lambda pairs: similar_pairs(pairs, sets, percent))
+    sets = materialise(shingle_sets(read(texts.join(near, "doc", "left_semi"), among), size))
+    labels = linked_components(held, sets, percent)
 
-    named = with_component(firsts.select("id"), labels, "id", "component")
-    named = materialise(named)
-    placed = places.join(named, "id")
-    stays = placed.groupBy("component").agg(F.min(place).alias("place"))
-    joined = placed.join(stays, "component")
-    first = (F.col("place.doc") == F.col("doc")) & (F.col("place.at") == F.col("at"))
-    return joined.select("doc", "doc_id", "at", "id", "component", first.alias("first"))
+    # Only lines that stand more than once or have a link can be removed.
+    linked = labels.withColumnRenamed("node", "id")
+    named = firsts.join(linked, "id", "left").where("n > 1 OR component IS NOT NULL")
+    named = materialise(named.withColumn("component", F.coalesce("component", "id")))
+    stays = named.groupBy("component").agg(F.min(place).alias("place"))
+    keeps = materialise(named.select("id", "component").join(stays, "component").select("id", F.col("place.doc").alias("_doc"), F.col("place.at").alias("_at")))
+    met = places.join(checked_broadcast(keeps, 32), "id")
+    return met.where("doc <> _doc OR at <> _at").select("doc", "at")
 
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """`docs` with the lines removed that repeat, exactly or nearly, an earlier line; the
-    columns n_lines (non-blank lines before) and n_removed are added."""
-    placed = line_components(docs, doc_id, text, size, percent)
-    gone = F.collect_set(F.when(~F.col("first"), F.col("at")))
-    removed = materialise(placed.groupBy("doc").agg(F.countDistinct("at").alias("n_lines"), gone.alias("gone")))
-    changes = removed.withColumnRenamed("doc", "_doc")
-    kept = F.expr("array_join(filter(split(_text, '\\n'), (line, i) -> NOT array_contains(gone, i)), '\\n')")
-    cleaned = F.when(F.coalesce(F.size("gone"), F.lit(0)) > 0, kept).otherwise(F.col("_text"))
+    column n_removed is added."""
+    gone = repeated_lines(docs, doc_id, text, size, percent).groupBy(F.col("doc").alias("_doc")).agg(F.collect_set("at").alias("_gone"))
+    gone = materialise(gone)
+    kept = F.expr("array_join(filter(split(_text, '\n'), (line, i) -> NOT array_contains(_gone, i)), '\n')")
+    cleaned = F.when(F.col("_gone").isNull(), F.col("_text")).otherwise(kept)
     own = docs.withColumn("_text", F.col(f"`{text}`")).withColumn("_doc", _document(F.col(f"`{doc_id}`"), F.col(f"`{text}`")))
     columns = [cleaned.alias(text) if c == text else F.col(f"`{c}`") for c in docs.columns]
-    return own.join(changes, "_doc", "left").select(
-        *columns, F.coalesce("n_lines", F.lit(0)).alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).alias("n_removed")
-    )
+    return own.join(checked_broadcast(gone, 256), "_doc", "left").select(*columns, F.coalesce(F.size("_gone"), F.lit(0)).alias("n_removed"))

@@ -50,7 +50,7 @@ def op7_mixing(spark: SparkSession, folder: str) -> DataFrame:
 
 def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    return line_dedup.dedup_lines(docs).select("doc_id", "n_lines", "n_removed", "text")
+    return line_dedup.dedup_lines(docs).select("doc_id", "n_removed", "text")
 
 
 def op10_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
