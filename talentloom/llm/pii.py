@@ -225,14 +225,16 @@ def _log_sum(a: np.ndarray) -> np.ndarray:
     return top + np.log(np.exp(a - top[:, None]).sum(axis=1))
 
 
-def train(windows: list[tuple[str, list[Span]]], hidden: int = 12, epochs: int = 6, batch: int = 64, rate: float = 0.02, seed: int = 3) -> Tagger:
-    """Adam over padded windows; order and weights come from the seed alone."""
+def train(windows: list[tuple[str, list[Span]]], hidden: int = 12, epochs: int = 6, least_steps: int = 400, batch: int = 64, rate: float = 0.02, seed: int = 3) -> Tagger:
+    """Adam over padded windows, for `epochs` passes but `least_steps` batches at least;
+    order and weights come from the seed alone."""
     x = np.stack([classes(text.ljust(WINDOW)[:WINDOW]) for text, _ in windows])
     y = np.stack([tags_of(spans, 0, WINDOW) for _, spans in windows])
     model, source = Tagger.new(hidden, seed), np.random.default_rng(seed)
     moments, step = [(np.zeros_like(w), np.zeros_like(w)) for w in model.weights()], 0
-    for _ in range(epochs):
-        for rows in np.array_split(source.permutation(len(x)), max(1, len(x) // batch)):
+    batches = max(1, len(x) // batch)
+    for _ in range(max(epochs, -(-least_steps // batches))):
+        for rows in np.array_split(source.permutation(len(x)), batches):
             _, found = model.gradients(x[rows], y[rows])
             step += 1
             size = np.sqrt(sum((g**2).sum() for g in found))
@@ -366,9 +368,9 @@ def labelled_windows(docs: DataFrame, sample_docs: int, most: int) -> list[tuple
     return [(w, [tuple(map(int, s.split())) for s in spans.split(";") if s]) for w, spans in picked]
 
 
-def fit(docs: DataFrame, sample_docs: int = 20_000, most_windows: int = 3000) -> Tagger | None:
+def fit(docs: DataFrame, sample_docs: int = 20_000, most_windows: int = 3000, doc_id: str = "doc_id", text: str = "text") -> Tagger | None:
     """A tagger fitted on a bounded sample; None if the sample holds no labelled span."""
-    windows = labelled_windows(docs, sample_docs, most_windows)
+    windows = labelled_windows(own_columns(docs, doc_id=doc_id, text=text), sample_docs, most_windows)
     more = [w for text, spans in windows for w in looser(text, spans)]
     return train([*windows, *more]) if any(spans for _, spans in windows) else None
 
