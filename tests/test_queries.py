@@ -5,6 +5,7 @@ import os
 import pytest
 
 from __spark_entry__ import oracle_sql, queries
+from talentloom.plans.registry import all_queries, all_sql
 from tests.compare import database, difference
 
 FOLDER = "/root/testdata/sf0.001"
@@ -18,7 +19,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test table
 
 
 def test_every_query_has_a_twin():
-    assert set(queries()) == set(oracle_sql())
+    assert set(all_queries()) == set(all_sql())
 
 
 @pytest.mark.parametrize("name", SAMPLE)
