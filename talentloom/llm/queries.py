@@ -82,4 +82,86 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM ranked
 """
 
-SQL: dict[str, str] = {"op2_warc": OP2}
+OP3 = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+  FROM documents
+), m AS (
+  SELECT doc_id, t, len(lines) AS n_lines, len(ws) AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars,
+    length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
+    length(regexp_replace(t, '[^\p{Lu}]', '', 'g')) AS n_upper, length(regexp_replace(t, '[^\p{L}]', '', 'g')) AS n_letters
+  FROM d
+), w AS (
+  SELECT doc_id, unnest(range(1, len(ws) - 1)) AS i, unnest(list_transform(range(1, len(ws) - 1), lambda i: array_to_string(ws[i:i + 2], ' '))) AS three
+  FROM d WHERE len(ws) > 2
+), twice AS (
+  SELECT doc_id, i FROM w QUALIFY count(*) OVER (PARTITION BY doc_id, three) > 1
+), r AS (
+  SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS j FROM twice) GROUP BY doc_id
+), b AS (
+  SELECT m.*, coalesce(r.n, 0) AS n_repeat_words, n_words < 50 OR 100 * coalesce(r.n, 0) > 50 * n_words AS base_failed
+  FROM m LEFT JOIN r ON r.doc_id = m.doc_id
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT (base_failed OR 10 * n_symbols > n_words OR word_chars < 2 * n_words OR word_chars > 14 * n_words OR 2 * n_dup_lines > n_lines
+    OR 5 * n_upper > 2 * greatest(n_letters, 1) OR 10 * n_letters < 3 * length(t)) AS kept
+FROM b
+"""
+
+OP7 = r"""
+WITH RECURSIVE t AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) + 1 AS n FROM documents
+), s AS (
+  SELECT source, sum(n)::BIGINT AS tokens FROM t GROUP BY source
+), g AS (
+  SELECT sum(tokens)::BIGINT AS budget, max(tokens) AS top, 0.95 * ln(count(*)) AS target,
+    list(ln(tokens) - ln((SELECT max(tokens) FROM s))) AS logs FROM s
+), bisect(i, low, high) AS (
+  SELECT 0, 0.0::DOUBLE, 16.0::DOUBLE
+  UNION ALL
+  SELECT i + 1, CASE WHEN above THEN middle ELSE low END, CASE WHEN above THEN high ELSE middle END FROM (
+    SELECT i, low, high, middle, ln(z) - list_sum(list_transform(logs, lambda x: exp(middle * x) * middle * x)) / z >= target AS above FROM (
+      SELECT i, low, high, (low + high) / 2 AS middle, logs, target, list_sum(list_transform(logs, lambda x: exp((low + high) / 2 * x))) AS z
+      FROM bisect, g WHERE i < 36))
+), e AS (
+  SELECT round((low + high) / 2, 6) AS exponent FROM bisect WHERE i = 36
+), p AS (
+  SELECT source, tokens, greatest(round(scaled * budget / sum(scaled) OVER ())::BIGINT, 1) AS part, greatest(1, ceil(budget / 1048576))::BIGINT AS blocks
+  FROM (SELECT source, tokens, budget, exp(exponent * (ln(tokens) - ln(top))) AS scaled FROM s, g, e)
+), c AS (
+  SELECT t.doc_id, t.source, t.n, p.tokens, p.part, p.blocks, unnest(range(0, (p.part - 1) // p.tokens + 1)) AS copy
+  FROM t JOIN p ON p.source IS NOT DISTINCT FROM t.source
+), laid AS (
+  SELECT *, copy * tokens + coalesce(sum(n) OVER (PARTITION BY source, copy ORDER BY md5('1:' || copy || ':' || doc_id), n
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place FROM c
+)
+SELECT doc_id, source, copy::INTEGER AS copy, n AS n_tokens, floor(place / ceil(part / blocks))::BIGINT AS block FROM laid WHERE place + n <= part
+"""
+
+OP10 = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
+  FROM documents
+), sets AS (
+  SELECT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) END) AS shingle FROM d
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id
+), pairs AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM sets a JOIN sets b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL
+), links AS (
+  SELECT a, b FROM pairs JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * pairs.n >= 75 * (x.n + y.n - pairs.n)
+), reach(doc_id, other) AS (
+  SELECT doc_id, doc_id FROM d UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON l.a = r.other
+)
+SELECT d.doc_id, coalesce(any_value(sizes.n), 0) AS n_shingles, min(other) AS component_id, d.doc_id = min(other) AS kept
+FROM d JOIN reach ON reach.doc_id = d.doc_id LEFT JOIN sizes ON sizes.doc_id = d.doc_id GROUP BY d.doc_id
+"""
+
+SQL: dict[str, str] = {
+    "op2_warc": OP2,
+    "op3_quality_rules": OP3,
+    "op7_mixing": OP7,
+    "op10_minhash_near_dedup": OP10,
+}
