@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from talentloom import session
 from talentloom.functions.cleaning import min_years
 from talentloom.operators import evaluation, metrics
+from talentloom.sources import records
 
 
 def test_years_from_odd_text(spark):
@@ -45,3 +46,22 @@ def test_cluster_master_needs_a_shared_folder():
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         session.shared_folder(Session())
+
+
+def test_wrongly_typed_fields_do_not_reject_a_record(spark):
+    body = '{"name": 123, "skills": ["a", 3], "education": {}, "work_experience": [{"company": "c", "months": "7"}, 5], "candidate_location": {"lat": "1.5"}}'
+    df = spark.createDataFrame([(1, body), (2, '{"name": "x", "skills": "python"}'), (3, "[1]"), (4, None)], "id int, body string")
+    rows = {r.id: r for r in records.parse_records(df, "body", records.CANDIDATE_SCHEMA).collect()}
+    assert [rows[i].error for i in (1, 2, 3, 4)] == [None, None, "invalid JSON", "invalid JSON"]
+    first = rows[1].record
+    assert first.name is None and first.skills == ["a"] and first.education is None and first.candidate_location.lat == 1.5
+    assert [(j.company, j.months) for j in first.work_experience] == [("c", 7)] and rows[2].record.skills is None
+
+
+def test_blank_required_skill_keeps_its_weight(spark):
+    body = '{"required_skills": [{"skill": "", "weight": 2}, {"skill": "go", "alternatives": "x"}], "min_experience_years": "2.1", "preferred_skills": "x"}'
+    parsed = records.parse_records(spark.createDataFrame([("j", body)], "jd_id string, body string"), "body", records.JOB_SCHEMA)
+    jobs = records.normalise_jobs(parsed.select("jd_id", "record.*"))
+    rows = records.flat_requirements(jobs).collect()
+    assert sorted((r.req_pos, r.name, r.weight) for r in rows) == [(0, "", 2), (1, "go", 3)]
+    assert jobs.first().min_experience_years == 3 and jobs.first().preferred_skills == []
