@@ -143,7 +143,8 @@ def _(t: Tables) -> DataFrame:
     "E7_full_evaluation",
     o.sql(f"""
       SELECT a.cv_id, a.jd_id, r.missing_must_have, r.missing_preferred, r.missing_nice_to_have, r.skill_match_rate,
-        coalesce(b.bonus_skills, '') AS bonus_skills, s.experience_detail, {_VERDICT} AS education_verdict, c.is_resume AS is_valid_cv
+        coalesce(b.bonus_skills, '') AS bonus_skills, s.experience_detail, {_VERDICT} AS education_verdict,
+        c.is_resume AND (coalesce(c.name, '') <> '' OR c.cv_id IN (SELECT cv_id FROM cv_skills)) AS is_valid_cv
       FROM applications a JOIN candidates c ON c.cv_id = a.cv_id JOIN jobs j ON j.jd_id = a.jd_id
       JOIN ({_REPORT}) r ON r.cv_id = a.cv_id AND r.jd_id = a.jd_id
       JOIN ({_SENTENCE}) s ON s.cv_id = a.cv_id AND s.jd_id = a.jd_id
@@ -152,8 +153,9 @@ def _(t: Tables) -> DataFrame:
 def _(t: Tables) -> DataFrame:
     s = t.screening
     pair = ["cv_id", "jd_id"]
-    # Every candidate of these tables lists skills, so the flag alone decides validity.
-    valid = t.candidates.select("cv_id", F.col("is_resume").alias("is_valid_cv"))
+    listed = s.cv_skills.groupBy("cv_id").agg(F.count("*").alias("n_skills"))
+    is_valid = evaluation.is_valid_candidate(F.col("is_resume"), F.col("name"), F.col("n_skills"))
+    valid = t.candidates.join(listed, "cv_id", "left").select("cv_id", is_valid.alias("is_valid_cv"))
     verdict = evaluation.education_verdict("cv_rank", "jd_rank").alias("education_verdict")
     return (
         ranks(t)
