@@ -8,7 +8,9 @@ gives components, of which the earliest line (by document, then place) stays.
 A signature is taken over the shingles whose hash is divisible by a power of two that
 leaves 32 to 63 of them, whatever the line's length, and for lines just above a power
 also with the next smaller one, so that similar lines always have one sampling in
-common. Only candidate search uses the sampling, the similarity itself does not.
+common. Only candidate search uses the sampling, the similarity itself does not. Lines that say
+the same few words over and over hold few distinct shingles, so that a sampling may leave
+none; such lines are found as equal, but near copies of them can be missed.
 
 Defined results: null text stays null; blank lines are never removed; lines shorter
 than a shingle are only equal or different; a line is what stands between line feeds;

@@ -110,7 +110,6 @@ def mix(
         F.greatest(F.round(scaled * norm).cast("long"), F.when(F.lit(whole), F.col("tokens")).otherwise(F.lit(1))).alias("part"),
         (F.floor(F.col("docs") / range_docs) + 1).alias("ranges"),
     )
-    # F.round of a double is half up, as is round() in SQL.
     copies = F.explode(F.sequence(F.lit(0), F.floor((F.col("part") - 1) / F.col("tokens")).cast("int"))).alias("copy")
     laid = slim.join(parts, F.col("source").eqNullSafe(F.col("_source"))).select(
         "doc_id", "source", "document", "n_tokens", "tokens", "part", "ranges", copies
