@@ -5,12 +5,8 @@ distinct line are hashed; a MinHash signature is banded, lines that share a band
 candidates, and their full shingle sets decide. Union-find over the confirmed links
 gives components, of which the earliest line (by document, then place) stays.
 
-A signature is taken over the shingles whose hash is divisible by a power of two that
-leaves 32 to 63 of them, whatever the line's length, and for lines just above a power
-also with the next smaller one, so that similar lines always have one sampling in
-common. Only candidate search uses the sampling, the similarity itself does not. Lines that say
-the same few words over and over hold few distinct shingles, so that a sampling may leave
-none; such lines are found as equal, but near copies of them can be missed.
+A signature is taken over all shingles of a line, so that it depends on nothing but the
+set of shingles: lines with equal sets always meet, however often they repeat themselves.
 
 Defined results: null text stays null; blank lines are never removed; lines shorter
 than a shingle are only equal or different; a line is what stands between line feeds;
@@ -33,7 +29,6 @@ SHINGLE = 12
 PERCENT = 75
 BANDS = 8
 ROWS = 3
-SAMPLED = 5  # signatures are taken over 2^5 to 2^6 - 1 shingles of longer lines
 
 
 def _document(doc_id: Column, text: Column) -> Column:
@@ -53,20 +48,11 @@ def _masks(n: int) -> list[int]:
     return [source.getrandbits(64) - 2**63 for _ in range(n)]
 
 
-def band_postings(lines: DataFrame, size: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, sampled: int = SAMPLED) -> DataFrame:
+def band_postings(lines: DataFrame, size: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(key, id) of every band of every line (doc, at, id, line), in `doc` partitions."""
-    n = F.greatest(F.length("line") - size + 1, F.lit(1))
-    power = F.greatest(F.floor(F.log2(n)) - sampled, F.lit(0))
-    finest = F.expr("cast(shiftleft(1, cast(power as int)) as long)")
-    near = (F.col("power") > 0) & (F.col("n") * 3 < F.expr("shiftleft(1, cast(power as int) + %d)" % sampled) * 4 + 4 * size)
-    shaped = lines.select("doc", "at", "id", "line", n.alias("n"), power.alias("power"))
-    shaped = shaped.select("doc", "at", "id", "line", finest.alias("each"), F.when(near, finest / 2).otherwise(finest).cast("long").alias("least"))
-    kept = _shingles(shaped, "doc", "at", "id", "each", "least", size=size).where(F.col("h").bitwiseAND(F.col("least") - 1) == 0)
-    steps = F.when(F.col("each") == F.col("least"), F.array("each")).otherwise(F.array("each", "least"))
-    kept = kept.select("doc", "at", "id", "h", F.explode(steps).alias("step")).where(F.col("h").bitwiseAND(F.col("step") - 1) == 0)
     lows = [F.min(F.col("h").bitwiseXOR(F.lit(mask))).alias(f"m{i}") for i, mask in enumerate(_masks(bands * rows))]
-    signs = kept.groupBy("doc", "at", "id", "step").agg(*lows)
-    keys = F.array(*[F.xxhash64(F.lit(b), "step", *[f"m{b * rows + r}" for r in range(rows)]) for b in range(bands)])
+    signs = _shingles(lines, "doc", "at", "id", size=size).groupBy("doc", "at", "id").agg(*lows)
+    keys = F.array(*[F.xxhash64(F.lit(b), *[f"m{b * rows + r}" for r in range(rows)]) for b in range(bands)])
     return signs.select(F.explode(keys).alias("key"), "id")
 
 

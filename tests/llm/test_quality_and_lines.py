@@ -99,3 +99,13 @@ def test_lines_against_brute_force(spark):
     assert Counter((i, t) for i, t, _ in texts_of) == Counter((i, None if t is None else want[(i, t)]) for i, t in rows)
     assert next(n for i, _, n in texts_of if i == 2) >= 5
     assert line_dedup.dedup_lines(empty(spark)).count() == 0
+
+
+def test_lines_that_repeat_themselves_meet(spark):
+    say = "this sentence says the same words over and over "
+    pairs = [("-" * 500, "-" * 1000), ("|---" * 70 + "|", "|---" * 300 + "|"), (say * 5, say * 10), ("another chorus sung again, " * 4 + "end", "another chorus sung again, " * 30 + "end")]
+    rows = [(2 * i + j, line) for i, pair in enumerate(pairs) for j, line in enumerate(pair)]
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(documents(spark, rows)).collect()}
+    want = brute_lines(rows)
+    assert got == {i: want[(i, line)] for i, line in rows}
+    assert all(got[2 * i] == pair[0] and got[2 * i + 1] == "" for i, pair in enumerate(pairs))
