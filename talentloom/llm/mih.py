@@ -10,6 +10,8 @@ every code within the radius. Those are ranked by exact inner products.
 Largest inner product becomes smallest angle by one more dimension, which brings all
 vectors to the same length. The radius is calibrated: the exact neighbours of a bounded
 number of sample queries among all vectors tell how far, in bits, true neighbours lie.
+Queries that find fewer than k vectors within it are asked again with a doubled radius,
+up to all bits, so that every query ends with k.
 
 All vectors are indexed, in blocks; a block's index is built where it is used. Queries
 meet blocks by an equi-join on block numbers, and each block returns its best few.
@@ -167,6 +169,17 @@ def calibrate(base: DataFrame, codes: Codes, k: int, blocks: int, queries: int,
     return int(np.quantile(apart, share, method="higher"))
 
 
+def _short(asked: DataFrame, base: DataFrame, found: DataFrame, k: int) -> DataFrame:
+    """The queries that have found fewer than k vectors and have not found all candidates."""
+    candidates = base.count() - F.coalesce("own", F.lit(0))
+    own = base.groupBy("id").agg(F.count("*").alias("own"))
+    met = found.groupBy(F.col("query_id").alias("id")).agg(F.count("*").alias("met"))
+    each = asked.groupBy("id").agg(F.count("*").alias("times"))
+    least = F.col("times") * F.least(F.lit(k), candidates)
+    few = each.join(own, "id", "left").join(met, "id", "left").where(F.coalesce("met", F.lit(0)) < least)
+    return asked.join(few.select("id"), "id", "left_semi")
+
+
 def neighbours(
     vectors: DataFrame,
     queries: DataFrame,
@@ -183,6 +196,7 @@ def neighbours(
 
     Codes are fitted on at most `sample_rows` vectors (those with the smallest hash), the
     radius on `calibration_queries` queries against all vectors; every vector is indexed.
+    A query has fewer than k rows only if there are fewer candidates.
     """
     base = usable(vectors, vec_id, vector)
     sizes = base.groupBy(F.size("v").alias("size")).count().orderBy(F.desc("count"), "size").limit(1).collect()
@@ -196,5 +210,15 @@ def neighbours(
     codes = learn_codes(np.stack(sample["v"].to_numpy()), math.sqrt(square))
     blocks = rows // block_rows + 1
     radius = calibrate(base, codes, k, blocks, calibration_queries, share)
-    found = _pairs(base, asked, blocks, query_rows, _search(codes, radius, k))
+    asked = materialise(asked)
+    found = materialise(_pairs(base, asked, blocks, query_rows, _search(codes, radius, k)))
+    bits = codes.substrings * 16
+    while radius < bits:
+        asked = materialise(_short(asked, base, found, k))
+        if asked.isEmpty():
+            break
+        radius = min(max(2 * radius, 16), bits)
+        wider = _pairs(base, asked, blocks, query_rows, _search(codes, radius, k))
+        again = asked.select(F.col("id").alias("query_id")).distinct()
+        found = materialise(found.join(again, "query_id", "left_anti").unionByName(wider))
     return _top(found, k)

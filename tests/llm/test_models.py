@@ -45,6 +45,20 @@ def test_neighbours_have_recall_and_exact_scores(spark):
     assert mih.neighbours(few.limit(0), few.limit(0)).count() == 0
 
 
+def test_every_query_ends_with_k_rows(spark):
+    source = np.random.default_rng(6)
+    dense = source.normal(size=16) + 0.01 * source.normal(size=(400, 16))
+    x = np.concatenate([dense, 3 * source.normal(size=(6, 16)), -dense[:1]])
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = mih.neighbours(vectors, vectors.where("vec_id % 50 = 0 OR vec_id >= 400"), block_rows=100).collect()
+    assert Counter(r.query_id for r in got) == {q: 20 for q in [*range(0, 401, 50), *range(401, 407)]}
+    assert len({(r.query_id, r.vec_id) for r in got}) == len(got) and all(r.query_id != r.vec_id for r in got)
+    assert all(abs(r.score - x[r.query_id] @ x[r.vec_id]) < 1e-9 for r in got)
+    ten = vectors.where("vec_id >= 397")
+    counts = Counter(r.query_id for r in mih.neighbours(ten, ten).collect())
+    assert counts == {q: 9 for q in range(397, 407)}
+
+
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 
