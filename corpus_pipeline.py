@@ -2,7 +2,8 @@
 
 Every stage but the last returns the columns of `documents`. Defined results: a null
 text is rejected by the quality rules; documents of which line dedup leaves no word go;
-of near-duplicates the one with the smallest doc_id stays; mixing repeats documents of
+of near-duplicates the one with the smallest doc_id stays; documents without a doc_id
+are told apart by their text and come after those that have one; mixing repeats documents of
 small sources and drops none; an empty table gives no rows.
 """
 
@@ -28,8 +29,14 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of every group of near-duplicates."""
-    kept = near_dedup.near_duplicates(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    # Texts without a doc_id get keys from their hash, at the upper end of the range.
+    hashed = F.xxhash64("text").bitwiseAND(F.lit(2**62 - 1)).bitwiseOR(F.lit(2**62))
+    keyed = docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), hashed))
+    found = near_dedup.near_duplicates(keyed, doc_id="_key").where("kept").groupBy("doc_id").agg(F.max("n_shingles").alias("_items"))
+    kept = keyed.join(found.withColumnRenamed("doc_id", "_key"), "_key")
+    alike = F.col("doc_id").isNull() & (F.col("_items") > 0)  # copies of one text share a key
+    first = kept.where(alike).groupBy("_key").agg(F.min(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("_row"))
+    return kept.where(~alike).select(*docs.columns).unionByName(first.select("_row.*"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

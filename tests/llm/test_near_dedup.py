@@ -5,6 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from talentloom.llm import links, near_dedup
 from tests.llm.cases import documents, edited, empty, prose, texts
 
@@ -79,3 +80,18 @@ def test_components_of_a_long_chain(spark):
 
 def test_empty_table(spark):
     assert near_dedup.near_duplicates(empty(spark)).count() == 0
+
+
+def test_pipeline_keeps_documents_without_an_id(spark):
+    base, other, solo = prose(1, 200), prose(2, 200), prose(3, 200)
+    rows = [(7, base), (8, base), (None, base), (None, other), (None, other), (None, edited(other, 4, 150)), (None, solo), (None, ""), (9, ""), (-5, prose(4, 90)), (-5, prose(4, 90))]
+    docs = documents(spark, rows)
+    got = corpus_pipeline.near_stage(spark, docs, "")
+    assert got.columns == docs.columns
+    kept = [(r.doc_id, r.text) for r in got.collect()]
+    assert [i for i, t in kept if t == base] == [7] and kept.count((None, solo)) == 1
+    assert len([t for _, t in kept if t in (other, edited(other, 4, 150))]) == 1
+    assert kept.count((None, "")) == kept.count((9, "")) == 1 and kept.count((-5, prose(4, 90))) == 2 and len(kept) == 7
+    mixed = corpus_pipeline.mixing_stage(spark, got, "").select("text").distinct().count()
+    assert mixed == len({t for _, t in kept})
+    assert corpus_pipeline.near_stage(spark, empty(spark), "").count() == 0
