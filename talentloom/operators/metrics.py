@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -234,3 +236,52 @@ def distance_label(cv_rank: Column, jd_rank: Column) -> Column:
         .when(gap == 2, 0.3)
         .otherwise(0.1)
     )
+
+
+_PAIR_STATISTICS = "n_same long, sum_same double, min_same double, max_same double, n_cross long, sum_cross double, min_cross double, max_cross double, above long"
+
+
+def _block_pairs(units: DataFrame, id_column: str, label: str, blocks: int, limit: float | None, rows: int = 1024) -> DataFrame:
+    """Statistics of the cosines of every two blocks of units, by matrix products."""
+
+    def compare(one: pd.DataFrame, other: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(one) and len(other):
+            ids, labels, units = (one[c].to_numpy() for c in ("id", "label", "unit"))
+            other_ids, other_labels, right = other["id_b"].to_numpy(), other["label_b"].to_numpy(), np.stack(other["unit_b"].to_numpy()).T
+            inside = one["x"].iat[0] == one["y"].iat[0]
+            for i in range(0, len(ids), rows):
+                cosine = np.round(np.stack(units[i : i + rows]) @ right, 6)
+                paired = ids[i : i + rows, None] < other_ids if inside else np.ones(cosine.shape, bool)
+                equal = labels[i : i + rows, None] == other_labels
+                row = []
+                for held in (cosine[paired & equal], cosine[paired & ~equal]):
+                    row += [len(held), held.sum(), *((held.min(), held.max()) if len(held) else (None, None))]
+                above = 0 if limit is None else int((cosine[paired & equal] > limit).sum())
+                out.append((*row, above))
+        return pd.DataFrame(out, columns=[c.split()[0] for c in _PAIR_STATISTICS.split(", ")])
+
+    own = units.select(F.col(id_column).alias("id"), F.col(label).alias("label"), "unit")
+    own = own.where(F.col("label").isNotNull() & F.col("unit").isNotNull() & ~F.exists("unit", lambda x: x.isNull()))
+    own = own.select("*", F.size("unit").alias("size"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
+    left = own.withColumn("x", F.col("block")).withColumn("y", F.explode(F.sequence(F.col("block"), F.lit(blocks - 1))))
+    other = own.select(*[F.col(c).alias(f"{c}_b") for c in own.columns])  # names of its own, as both sides are one table
+    right = other.withColumn("y_b", F.col("block_b")).withColumn("x_b", F.explode(F.sequence(F.lit(0), F.col("block_b"))))
+    return left.groupBy("size", "x", "y").cogroup(right.groupBy("size_b", "x_b", "y_b")).applyInPandas(compare, _PAIR_STATISTICS)
+
+
+def pair_statistics(units: DataFrame, id_column: str, label: str, block_rows: int = 4096) -> DataFrame:
+    """Cosines of all pairs of `unit` vectors with ids a < b: least, mean and largest within
+    and across labels, and how many pairs within lie above the largest across.
+
+    Every two blocks of vectors meet in one task, so a task's memory is bounded and the
+    work is one product per pair. Vectors of different length are not compared.
+    """
+    blocks = units.count() // block_rows + 1
+    limit = _block_pairs(units, id_column, label, blocks, None).agg(F.max("max_cross")).first()[0]
+    mean = lambda name: F.round(F.try_divide(F.sum(f"sum_{name}"), F.sum(f"n_{name}")), 6)
+    return _block_pairs(units, id_column, label, blocks, limit).agg(
+        F.min("min_same").alias("within_min"), mean("same").alias("within_mean"), F.max("max_same").alias("within_max"),
+        F.min("min_cross").alias("cross_min"), mean("cross").alias("cross_mean"), F.max("max_cross").alias("cross_max"),
+        F.coalesce(F.sum("above"), F.lit(0)).alias("above"),
+    )

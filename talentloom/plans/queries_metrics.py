@@ -216,6 +216,26 @@ def _(t: Tables) -> DataFrame:
     )
 
 
+_ALL_PAIRS = """(
+  SELECT a.label = b.label AS same,
+    round(list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))), 6) AS cosine
+  FROM vectors a JOIN vectors b ON a.vec_id < b.vec_id)"""
+
+
+@query(
+    "A14_all_pairs",
+    o.sql(f"""
+      SELECT round(min(cosine) FILTER (same), 6) AS within_min, round(avg(cosine) FILTER (same), 6) AS within_mean,
+        round(max(cosine) FILTER (same), 6) AS within_max, round(min(cosine) FILTER (NOT same), 6) AS cross_min,
+        round(avg(cosine) FILTER (NOT same), 6) AS cross_mean, round(max(cosine) FILTER (NOT same), 6) AS cross_max,
+        count(*) FILTER (same AND cosine > (SELECT max(cosine) FROM {_ALL_PAIRS} WHERE NOT same)) AS above
+      FROM {_ALL_PAIRS}"""),
+)
+def _(t: Tables) -> DataFrame:
+    """Robustness over all pairs of one side, not over neighbouring variants only."""
+    return metrics.pair_statistics(t.units.join(t.vector_labels, "vec_id"), "vec_id", "label")
+
+
 @query(
     "J13_A15_hard_pairs",
     o.sql(f"""

@@ -1,5 +1,6 @@
 """Values and shapes that the tables do not hold."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -65,3 +66,23 @@ def test_blank_required_skill_keeps_its_weight(spark):
     rows = records.flat_requirements(jobs).collect()
     assert sorted((r.req_pos, r.name, r.weight) for r in rows) == [(0, "", 2), (1, "go", 3)]
     assert jobs.first().min_experience_years == 3 and jobs.first().preferred_skills == []
+
+
+def test_pair_statistics_cover_all_pairs(spark):
+    source = np.random.default_rng(3)
+    x, labels = source.normal(size=(60, 8)), source.integers(0, 4, 60)
+    x /= np.sqrt((x**2).sum(axis=1))[:, None]
+    x[41], labels[41] = x[2], labels[2] + 1  # the nearest pair across labels is no pair of neighbours
+    rows = [(i, v.tolist(), int(k)) for i, (v, k) in enumerate(zip(x, labels))]
+    rows += [(60, None, 1), (61, x[0].tolist(), None), (62, [1.0] * 3, 1), (5, x[5].tolist(), int(labels[5]))]
+    units = spark.createDataFrame(rows, "vec_id long, unit array<double>, label int")
+    pairs = [(i, j) for i in [*range(60), 5] for j in [*range(60), 5] if i < j]
+    within = [round(float(x[i] @ x[j]), 6) for i, j in pairs if labels[i] == labels[j]]
+    cross = [round(float(x[i] @ x[j]), 6) for i, j in pairs if labels[i] != labels[j]]
+    for rows_of_a_block in (7, 4096):
+        got = metrics.pair_statistics(units, "vec_id", "label", rows_of_a_block).first()
+        assert (got.within_min, got.within_max, got.cross_min, got.cross_max) == (min(within), max(within), min(cross), max(cross))
+        assert got.cross_max == 1.0 and got.above == sum(c > max(cross) for c in within)
+        assert abs(got.within_mean - np.mean(within)) < 2e-6 and abs(got.cross_mean - np.mean(cross)) < 2e-6
+    empty = metrics.pair_statistics(units.limit(0), "vec_id", "label").first()
+    assert empty.cross_max is None and empty.above == 0
