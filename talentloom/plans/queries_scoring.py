@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from talentloom.constants import DIMENSIONS
@@ -106,18 +106,12 @@ def _(t: Tables) -> DataFrame:
     return ranking.top_k(t.screening.scores, ["jd_id"], order, 10).withColumn("rank", F.col("rank").cast("bigint"))
 
 
-def score_bucket(score: str, tie: str) -> Column:
-    """Grows along (score descending, tie ascending): tenths of a point, then id ranges."""
-    tenths = (1000 - F.round(F.col(score) * 10)).cast("bigint")
-    return tenths * (1 << 40) + F.floor(F.col(tie) / (1 << 20))
-
-
 @query("A2_global_ranking", o.sql("""
   SELECT cv_id, jd_id, final_score, row_number() OVER (ORDER BY final_score DESC, cv_id, jd_id) AS "index" FROM scores"""))
 def _(t: Tables) -> DataFrame:
     order = [F.desc("final_score"), F.asc("cv_id"), F.asc("jd_id")]
     scores = t.screening.scores.select("cv_id", "jd_id", "final_score")
-    return ranking.numbered(scores, [], score_bucket("final_score", "cv_id"), order, "index")
+    return ranking.numbered(scores, [], order, "index")
 
 
 @query("P32_score_range_violations", o.sql("""

@@ -27,9 +27,8 @@ from talentloom.streaming import arrivals
 def _(t: Tables) -> DataFrame:
     """Newest first; the position is part of the result."""
     listing = batches.batch_listing(t.batches, t.results, t.jobs)
-    minutes = -F.unix_timestamp("created_at")
     order = [F.desc("created_at"), F.asc("batch_id")]
-    return ranking.numbered(listing, [], F.floor(minutes / 3600), order, "newest").select(
+    return ranking.numbered(listing, [], order, "newest").select(
         "batch_id", "name", F.coalesce("jd_title", F.lit("")).alias("jd_title"), "candidate_count", "newest"
     )
 
@@ -42,7 +41,7 @@ def _(t: Tables) -> DataFrame:
 )
 def _(t: Tables) -> DataFrame:
     joined = batches.batch_results(t.batches.select("batch_id", "name"), t.results.select("batch_id", "ord", "cv_url"))
-    placed = ranking.numbered(joined, ["batch_id"], F.floor(F.col("ord") / (1 << 20)), [F.asc("ord")], "position")
+    placed = ranking.numbered(joined, ["batch_id"], [F.asc("ord")], "position")
     return placed.select("batch_id", "name", "cv_url", "position")
 
 
@@ -55,9 +54,8 @@ def _(t: Tables) -> DataFrame:
 )
 def _(t: Tables) -> DataFrame:
     scored, _failed = batches.split_by_error(t.results)
-    bucket = (10000 - F.floor(F.col("final_score") * 100)) * (1 << 40) + F.floor(F.col("ord") / (1 << 20))
     order = [F.desc("final_score"), F.asc("ord")]
-    return score_table(scored, ["batch_id"], bucket, order, ())
+    return score_table(scored, ["batch_id"], order, ())
 
 
 @query(
