@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from talentloom.llm import chat, lbl, line_dedup, mih, mixing, near_dedup, packing, pii, quality, warc
+from talentloom.llm import chat, lbl, line_dedup, merkle, mih, mixing, near_dedup, packing, pii, quality, warc
 from talentloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,6 +57,10 @@ def op10_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, folder, "documents"))
 
 
+def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    return merkle.manifest(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_warc": op2_warc,
@@ -68,6 +72,7 @@ QUERIES: dict[str, Query] = {
     "op7_mixing": op7_mixing,
     "op9_line_dedup": op9_line_dedup,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
+    "op12_merkle_manifest": op12_merkle_manifest,
 }
 
 OP2 = """
@@ -159,9 +164,65 @@ SELECT d.doc_id, coalesce(any_value(sizes.n), 0) AS n_shingles, min(other) AS co
 FROM d JOIN reach ON reach.doc_id = d.doc_id LEFT JOIN sizes ON sizes.doc_id = d.doc_id GROUP BY d.doc_id
 """
 
+# The unsigned CRC-32 of a decimal number, bit by bit.
+CRC32 = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({0}::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+  lambda a, x: list_reduce(list_prepend(xor(a, x), [0, 1, 2, 3, 4, 5, 6, 7]::BIGINT[]),
+    lambda b, i: CASE WHEN b & 1 = 1 THEN xor(b >> 1, 3988292384::BIGINT) ELSE b >> 1 END)))"""
+
+
+def _field(value: str) -> str:
+    return f"coalesce(strlen({value}::VARCHAR) || ':' || {value}::VARCHAR, '-')"
+
+
+def _leaf(text: str) -> str:
+    return "sha256(" + " || ".join(_field(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+OP12 = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, lang, {_leaf("text")} AS leaf, CASE WHEN {CRC32.format("doc_id")} % 3 = 0
+    THEN {_leaf("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} END AS tampered,
+    row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS place
+  FROM documents
+), lower_levels(lang, level, nodes) AS (
+  SELECT lang, 0, list(leaf ORDER BY place) FROM d GROUP BY lang
+  UNION ALL
+  SELECT lang, level + 1, list_transform(range(0, (len(nodes) + 7) // 8), lambda i: sha256(array_to_string(nodes[8 * i + 1 : 8 * i + 8], '')))
+  FROM lower_levels WHERE len(nodes) > 1
+), subroots AS (
+  SELECT lang, nodes[1] AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS place FROM lower_levels WHERE len(nodes) = 1
+), upper_levels(level, nodes) AS (
+  SELECT 0, list(subroot ORDER BY place) FROM subroots
+  UNION ALL
+  SELECT level + 1, list_transform(range(0, (len(nodes) + 7) // 8), lambda i: sha256(array_to_string(nodes[8 * i + 1 : 8 * i + 8], '')))
+  FROM upper_levels WHERE len(nodes) > 1
+), steps AS (
+  SELECT doc_id, level, nodes, place // (8 ** level)::BIGINT AS q
+  FROM d JOIN lower_levels l ON l.lang IS NOT DISTINCT FROM d.lang WHERE len(nodes) > 1
+  UNION ALL
+  SELECT doc_id, 1000 + level, nodes, s.place // (8 ** level)::BIGINT
+  FROM d JOIN subroots s ON s.lang IS NOT DISTINCT FROM d.lang, upper_levels WHERE len(nodes) > 1
+), sides AS (
+  SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY level) AS step,
+    array_to_string(nodes[8 * (q // 8) + 1 : q], '') AS l, array_to_string(nodes[q + 2 : 8 * (q // 8) + 8], '') AS r FROM steps
+), proof AS (
+  SELECT doc_id, string_agg(l || r, '' ORDER BY step) AS p FROM sides GROUP BY doc_id
+), fold(doc_id, step, node) AS (
+  SELECT doc_id, 0, coalesce(tampered, leaf) FROM d
+  UNION ALL
+  SELECT f.doc_id, f.step + 1, sha256(l || node || r) FROM fold f JOIN sides s ON s.doc_id = f.doc_id AND s.step = f.step + 1
+), ends AS (
+  SELECT doc_id, arg_max(node, step) AS folded_root FROM fold GROUP BY doc_id
+)
+SELECT d.doc_id, leaf, subroot, u.nodes[1] AS root, sha256(coalesce(p, '')) AS proof_sha256, folded_root, folded_root = u.nodes[1] AS verified
+FROM d JOIN subroots s ON s.lang IS NOT DISTINCT FROM d.lang JOIN ends ON ends.doc_id = d.doc_id LEFT JOIN proof ON proof.doc_id = d.doc_id,
+  upper_levels u WHERE len(u.nodes) = 1
+"""
+
 SQL: dict[str, str] = {
     "op2_warc": OP2,
     "op3_quality_rules": OP3,
     "op7_mixing": OP7,
     "op10_minhash_near_dedup": OP10,
+    "op12_merkle_manifest": OP12,
 }
