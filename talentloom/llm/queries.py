@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from talentloom.llm import chat, lbl, line_dedup, merkle, mih, mixing, near_dedup, packing, pii, quality, warc
+from talentloom.llm import chat, lbl, line_dedup, merkle, mih, mixing, near_dedup, packing, pii, prefix_trie, quality, toxicity, warc
 from talentloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,10 +57,20 @@ def op10_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, folder, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    nodes = prefix_trie.trie(table(spark, folder, "conversations"))
+    return nodes.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
 def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     return merkle.manifest(table(spark, folder, "documents"))
 
 
+def op13_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    scored = toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
 QUERIES: dict[str, Query] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_warc": op2_warc,
@@ -72,7 +82,9 @@ QUERIES: dict[str, Query] = {
     "op7_mixing": op7_mixing,
     "op9_line_dedup": op9_line_dedup,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
+    "op11_prefix_trie": op11_prefix_trie,
     "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_toxicity": op13_toxicity,
 }
 
 OP2 = """
@@ -170,6 +182,40 @@ CRC32 = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_tra
     lambda b, i: CASE WHEN b & 1 = 1 THEN xor(b >> 1, 3988292384::BIGINT) ELSE b >> 1 END)))"""
 
 
+OP11 = f"""
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id
+    ORDER BY turn NULLS FIRST, coalesce(role, ''), sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS p
+  FROM conversations WHERE conv_id IS NOT NULL
+), c AS (
+  SELECT conv_id, {CRC32.format("conv_id")} % 9 AS h FROM (SELECT DISTINCT conv_id FROM t)
+), heads AS (
+  SELECT c.conv_id, p AS d, role, text FROM c JOIN t ON t.conv_id = c.conv_id - c.conv_id % 5 AND p <= h
+), seq AS (
+  SELECT * FROM heads UNION ALL
+  SELECT t.conv_id, p - h + (SELECT count(*) FROM heads x WHERE x.conv_id = t.conv_id), role, text FROM t JOIN c ON c.conv_id = t.conv_id AND p > h
+), whole AS (
+  SELECT c.conv_id, coalesce(list({{'role': role, 'text': text}} ORDER BY d) FILTER (d IS NOT NULL), []) AS turns
+  FROM c LEFT JOIN seq ON seq.conv_id = c.conv_id GROUP BY c.conv_id
+), members AS (
+  SELECT conv_id, unnest(range(0, len(turns) + 1)) AS depth, unnest(list_transform(range(0, len(turns) + 1), lambda d: turns[1 : d])) AS prefix, len(turns) AS n
+  FROM whole
+), nodes AS (
+  SELECT depth, prefix, min(conv_id) AS conv_id, count(*) AS n_convs,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (n = depth), '')) AS ends_sha256,
+    (count(*) - 1) * coalesce(strlen(any_value(prefix[depth].text)), 0) AS saved
+  FROM members GROUP BY depth, prefix
+), kids AS (
+  SELECT u.*, count(v.depth) AS n_children FROM nodes u LEFT JOIN nodes v ON v.depth = u.depth + 1 AND v.prefix[1 : u.depth] = u.prefix GROUP BY ALL
+), sums AS (
+  SELECT u.depth, u.prefix, count(*) FILTER (v.n_children = 0) AS n_leaves, sum(v.saved)::BIGINT AS saved_tokens
+  FROM nodes u JOIN kids v ON v.depth >= u.depth AND v.prefix[1 : u.depth] = u.prefix GROUP BY ALL
+)
+SELECT k.conv_id, k.depth, up.conv_id AS parent_conv_id, k.n_convs, n_children, n_leaves, saved_tokens, k.ends_sha256
+FROM kids k JOIN sums s ON s.depth = k.depth AND s.prefix = k.prefix LEFT JOIN nodes up ON up.depth = k.depth - 1 AND k.prefix[1 : k.depth - 1] = up.prefix
+"""
+
+
 def _field(value: str) -> str:
     return f"coalesce(strlen({value}::VARCHAR) || ':' || {value}::VARCHAR, '-')"
 
@@ -224,5 +270,6 @@ SQL: dict[str, str] = {
     "op3_quality_rules": OP3,
     "op7_mixing": OP7,
     "op10_minhash_near_dedup": OP10,
+    "op11_prefix_trie": OP11,
     "op12_merkle_manifest": OP12,
 }
