@@ -8,9 +8,10 @@ with the best key both sides share.
     c:skill    its canonical skill, and implied ones     1 identity, 2 entailment
     p:frame    its level in a proficiency framework      4 proficiency
 
-Both sides stay linear in tokens and names: no name is paired with all tokens
-of a canonical group or framework. What a candidate meets is worked out once per
-(candidate, name); applications are expanded to required names afterwards.
+Keys are joined once, on the vocabulary of distinct tokens and names, into a written
+index. Candidates then need one join, by token, in which only tokens that very many
+candidates list are split. What a candidate meets is worked out once per (candidate,
+name); applications are expanded to required names afterwards.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from talentloom.functions.strings import strip
 from talentloom.operators.fuzzy import fuzzy_pairs
 from talentloom.operators.intervals import merged_spans, union_months
 from talentloom.operators.resolve import resolve_names
-from talentloom.session import salted_join
+from talentloom.session import hot_join, salted_join
 
 LAYERS = ("layer0", "layer1", "layer2", "layer3", "proficiency", "missing")
 MISSING = len(LAYERS) - 1
@@ -149,37 +150,42 @@ def ask_classes(asked: DataFrame, given: DataFrame) -> tuple[DataFrame, DataFram
     return class_of, class_asks
 
 
-def met_names(tokens: DataFrame, given: DataFrame, asked: DataFrame) -> DataFrame:
+def name_index(given: DataFrame, asked: DataFrame) -> DataFrame:
+    """(token, name, layer, order, credit): how well each token meets each name it meets.
+
+    Both sides are joined on their keys here, on the vocabulary, so that candidates need
+    one join by token. Earlier layers win, then the higher ratio or level.
+    """
+    order = F.when(_layer() == 3, -F.col("ratio")).when(_layer() == 4, -F.col("rank")).otherwise(0.0)
+    hit = F.struct(_layer().alias("layer"), order.alias("order"), _is_met().cast("double").alias("credit"))
+    best = given.join(asked, "key").groupBy("token", "name").agg(F.min(hit).alias("hit"))
+    return best.select("token", "name", "hit.layer", "hit.order", "hit.credit")
+
+
+def class_index(given: DataFrame, class_asks: DataFrame) -> DataFrame:
+    """(token, class): the classes of names each token meets."""
+    met = F.col("asked_rank").isNull() | (F.col("rank") >= F.col("asked_rank"))
+    return given.select("token", "key", "rank").join(class_asks, "key").filter(met).select("token", "class").distinct()
+
+
+def met_names(tokens: DataFrame, index: DataFrame, hot: DataFrame) -> DataFrame:
     """Best match per (cv_id, name): layer, via, credit. Names nothing meets are absent.
 
     Earlier layers win; then the higher ratio or level; then the smaller token.
     """
-    order = F.when(_layer() == 3, -F.col("ratio")).when(_layer() == 4, -F.col("rank")).otherwise(0.0)
-    result = F.struct(
-        _layer().alias("layer"),
-        order.alias("order"),
-        F.col("token").alias("via"),
-        _is_met().cast("double").alias("credit"),
-    )
-    return (
-        tokens.join(given, "token")
-        .join(asked, "key")
-        .groupBy("cv_id", "name")
-        .agg(F.min(result).alias("hit"))
-        .select("cv_id", "name", "hit.layer", "hit.via", "hit.credit")
-    )
+    result = F.struct("layer", "order", F.col("token").alias("via"), "credit")
+    hits = hot_join(tokens.select("cv_id", "token"), index, "token", hot, ["cv_id"])
+    return hits.groupBy("cv_id", "name").agg(F.min(result).alias("hit")).select("cv_id", "name", "hit.layer", "hit.via", "hit.credit")
 
 
-def worked_names(
-    stacks: DataFrame, spans: DataFrame, given: DataFrame, asked: DataFrame
-) -> DataFrame:
+def worked_names(stacks: DataFrame, spans: DataFrame, index: DataFrame, hot: DataFrame) -> DataFrame:
     """(cv_id, name, months, spans): when a candidate worked in jobs whose own stack meets a name.
 
     stacks is (cv_id, job_id, token), spans (cv_id, job_id, start_m, end_m).
     """
     used = stack_spans(stacks, spans).filter("start_m is not null")
-    hits = used.join(given, "token").join(asked, "key").filter(_is_met())
-    return merged_spans(hits, ["cv_id", "name"])
+    met = index.filter("credit = 1").select("token", "name")
+    return merged_spans(hot_join(used, met, "token", hot, ["cv_id"]), ["cv_id", "name"])
 
 
 def stack_spans(stacks: DataFrame, spans: DataFrame) -> DataFrame:
@@ -191,7 +197,7 @@ def stack_spans(stacks: DataFrame, spans: DataFrame) -> DataFrame:
     )
 
 
-def met_classes(listed: DataFrame, used: DataFrame, given: DataFrame, class_asks: DataFrame) -> DataFrame:
+def met_classes(listed: DataFrame, used: DataFrame, index: DataFrame, hot: DataFrame) -> DataFrame:
     """(cv_id, class, months, spans) of every class a candidate meets.
 
     `listed` (cv_id, token) counts for the match only, `used` (cv_id, token,
@@ -201,9 +207,7 @@ def met_classes(listed: DataFrame, used: DataFrame, given: DataFrame, class_asks
     tokens = used.select("cv_id", "token", "start_m", "end_m").union(
         listed.select("cv_id", "token", none, none)
     )
-    met = F.col("asked_rank").isNull() | (F.col("rank") >= F.col("asked_rank"))
-    hits = tokens.join(given.select("token", "key", "rank"), "token").join(class_asks, "key").filter(met)
-    return merged_spans(hits, ["cv_id", "class"])
+    return merged_spans(hot_join(tokens, index, "token", hot, ["cv_id"]), ["cv_id", "class"])
 
 
 def requirement_groups(names: DataFrame) -> DataFrame:
@@ -232,20 +236,23 @@ def asked_names(pairs: DataFrame, requirements: DataFrame) -> DataFrame:
 def evidence(pairs: DataFrame, requirements: DataFrame, groups: DataFrame, met: DataFrame) -> DataFrame:
     """One row per (candidate, job, requirement) with status, layer, via and credit.
 
-    Within an OR-group earlier layers win, then credit, then the group's order.
+    Applications are expanded once, to all names of all requirements; what the candidate
+    meets is joined to them. Within an OR-group earlier layers win, then credit, then the
+    group's order. Rows of a pair stay together for the sums that follow.
     """
-    names = requirements.filter(F.col("name") != "").select("jd_id", "req_pos", "alt_pos", "name")
-    best = F.min(F.struct("layer", (-F.col("credit")).alias("minus_credit"), "alt_pos", "via"))
-    found = (
-        asked_names(pairs, names)
-        .join(met, ["cv_id", "name"])
+    names = requirements.select("jd_id", "req_pos", "alt_pos", F.when(F.col("name") != "", F.col("name")).alias("name"))
+    asked = names.join(groups.select("jd_id", "tier", "req_pos", "weight", "label"), ["jd_id", "req_pos"])
+    hit = F.when(F.col("layer").isNotNull(), F.struct("layer", (-F.col("credit")).alias("minus_credit"), "alt_pos", "via"))
+    best = (
+        asked_names(pairs, asked)
+        .join(met, ["cv_id", "name"], "left")
+        .repartition("cv_id", "jd_id")
         .groupBy("cv_id", "jd_id", "req_pos")
-        .agg(best.alias("best"))
+        .agg(*[F.first(c).alias(c) for c in ("tier", "label", "weight")], F.min(hit).alias("best"))
     )
-    every = asked_names(pairs, groups.select("jd_id", "tier", "req_pos", "weight", "label"))
     layer = F.coalesce("best.layer", F.lit(MISSING))
     credit = F.coalesce(-F.col("best.minus_credit"), F.lit(0.0))
-    return every.join(found, ["cv_id", "jd_id", "req_pos"], "left").select(
+    return best.select(
         "cv_id",
         "jd_id",
         "tier",

@@ -1,4 +1,5 @@
-"""The five dimensions and their weighted total, per (candidate, job) pair."""
+"""The five dimensions and their weighted total, per (candidate, job) pair. Nothing is
+rounded before the total; vectors meet in `blocks`."""
 
 from __future__ import annotations
 
@@ -21,35 +22,6 @@ from talentloom.session import salted_join
 # --- D1 -------------------------------------------------------------------------
 
 
-def dot(a: Column | str, b: Column | str) -> Column:
-    products = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
-    return F.aggregate(products, F.lit(0.0), lambda s, x: s + x)
-
-
-def unit_vectors(vectors: DataFrame, id_column: str, vector: str = "embedding") -> DataFrame:
-    """Vectors scaled to length 1 once per side; a zero vector stays zero, an empty one is null."""
-    v = F.transform(vector, lambda x: x.cast("double"))
-    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
-    sized = vectors.withColumn("_norm", norm)
-    unit = F.transform(vector, lambda x: F.when(F.col("_norm") > 0, F.try_divide(x.cast("double"), F.col("_norm"))).otherwise(0.0))
-    return sized.select(id_column, F.when(F.size(vector) > 0, unit).alias("unit"))
-
-
-def cosine(a: Column | str, b: Column | str) -> Column:
-    """Cosine of two unit vectors, to six decimals; null where a side is missing.
-
-    Vectors of different length cannot be compared and fail the row's check
-    (`vector_problem`) instead of giving a number.
-    """
-    a, b = F.col(a) if isinstance(a, str) else a, F.col(b) if isinstance(b, str) else b
-    return F.when(F.size(a) == F.size(b), F.round(dot(a, b), 6))
-
-
-def vector_problem(a: Column | str, b: Column | str) -> Column:
-    a, b = F.col(a) if isinstance(a, str) else a, F.col(b) if isinstance(b, str) else b
-    return F.when((F.size(a) > 0) & (F.size(b) > 0) & (F.size(a) != F.size(b)), "vector length")
-
-
 def semantic_score(similarity: Column, low: float = COSINE_MIN, high: float = COSINE_MAX) -> Column:
     """Cosine stretched to [0, 1]; neutral where a vector is missing.
 
@@ -59,17 +31,6 @@ def semantic_score(similarity: Column, low: float = COSINE_MIN, high: float = CO
     return F.when(similarity.isNull(), NEUTRAL).otherwise(F.greatest(stretched, F.lit(0.0)))
 
 
-def pair_similarity(pairs: DataFrame, cv_units: DataFrame, jd_units: DataFrame) -> DataFrame:
-    """(cv_id, jd_id, cosine) for the given pairs, null where a vector is missing."""
-    cv = cv_units.select("cv_id", F.col("unit").alias("cv_unit"))
-    jd = jd_units.select("jd_id", F.col("unit").alias("jd_unit"))
-    return (
-        salted_join(pairs.select("cv_id", "jd_id"), jd, ["jd_id"], ["cv_id"], "left")
-        .join(cv, "cv_id", "left")
-        .select("cv_id", "jd_id", cosine("cv_unit", "jd_unit").alias("cosine"))
-    )
-
-
 # --- D2 -------------------------------------------------------------------------
 
 
@@ -85,11 +46,12 @@ def skill_scores(pairs: DataFrame, evidence: DataFrame) -> DataFrame:
 # --- D3 -------------------------------------------------------------------------
 
 
-def depth_share(months: Column | str, years: Column | str) -> Column:
-    """Share of the required months spent on a group, at most 1."""
+def counted_months(months: Column | str, years: Column | str) -> Column:
+    """Months spent on a group as far as they are asked for. A job asks the same years of
+    all its groups, so their weighted sum, a whole number, gives the depth by one division."""
     m = F.col(months) if isinstance(months, str) else months
     y = F.col(years) if isinstance(years, str) else years
-    return F.least(F.try_divide(F.coalesce(m, F.lit(0)), y * 12), F.lit(1.0))
+    return F.least(F.coalesce(m, F.lit(0)), y * 12)
 
 
 def years_share(months: Column | str, years: Column | str) -> Column:
@@ -102,7 +64,7 @@ def experience_score(years: Column | str, depth: Column | str, general: Column |
     """1 if no years are required; half depth and half years, or years alone."""
     y, d, g = (F.col(c) if isinstance(c, str) else c for c in (years, depth, general))
     blend = F.when(d.isNull(), g).otherwise((d + g) / 2)
-    return F.round(F.when(y == 0, 1.0).otherwise(blend), 9)
+    return F.when(y == 0, 1.0).otherwise(blend)
 
 
 # --- D4, D5 -----------------------------------------------------------------------
@@ -159,6 +121,22 @@ def geocode(places: DataFrame, address: str, gazetteer: DataFrame) -> DataFrame:
     )
 
 
+def has_coordinates() -> Column:
+    return F.col("lat1").isNotNull() & F.col("lng1").isNotNull() & F.col("lat2").isNotNull() & F.col("lng2").isNotNull()
+
+
+def with_minutes(placed: DataFrame, routes: DataFrame) -> DataFrame:
+    """`placed` pairs with the driving minutes between their coordinates, null without a route.
+
+    Only pairs whose score depends on a route look for one. The others, most of all pairs,
+    would meet in one task as null keys; they are spread by candidate and job instead.
+    """
+    needs = (F.col("work_mode") != "remote") & ~F.coalesce("willing_to_relocate", F.lit(False)) & ~is_blank("raw_address") & has_coordinates()
+    spread = F.when(F.coalesce(needs, F.lit(False)), F.lit(-1)).otherwise(F.pmod(F.xxhash64("cv_id", "jd_id"), F.lit(1 << 20)).cast("int"))
+    ways = routes.withColumn("_spread", F.lit(-1))
+    return placed.withColumn("_spread", spread).join(ways, ["lat1", "lng1", "lat2", "lng2", "_spread"], "left").drop("_spread")
+
+
 def location_scores(pairs: DataFrame, candidates: DataFrame, jobs: DataFrame, routes: DataFrame) -> DataFrame:
     """candidates(cv_id, city, raw_address, willing_to_relocate, lat, lng),
     jobs(jd_id, city, work_mode, lat, lng), routes(lat1, lng1, lat2, lng2, duration_min)."""
@@ -171,11 +149,8 @@ def location_scores(pairs: DataFrame, candidates: DataFrame, jobs: DataFrame, ro
         F.col("lat").alias("lat2"), F.col("lng").alias("lng2"),
     )
     placed = salted_join(pairs.select("cv_id", "jd_id"), jd, ["jd_id"], ["cv_id"]).join(cv, "cv_id")
-    located = placed.join(routes, ["lat1", "lng1", "lat2", "lng2"], "left")
-    coordinates = (
-        F.col("lat1").isNotNull() & F.col("lng1").isNotNull()
-        & F.col("lat2").isNotNull() & F.col("lng2").isNotNull()
-    )
+    located = with_minutes(placed, routes)
+    coordinates = has_coordinates()
     score = location_score(
         F.col("work_mode"), F.col("willing_to_relocate"), F.col("raw_address"), F.col("cv_city"),
         F.col("jd_city"), coordinates, F.col("duration_min"),

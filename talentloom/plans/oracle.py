@@ -305,7 +305,7 @@ VIEWS: dict[str, str] = {
     "vectors": "SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings",
     "labelled_pairs": """
       SELECT a.cv_id, a.jd_id, c.label AS cv_label, j.label AS jd_label, c.label = j.label AS same,
-        round(list_dot_product(c.v, j.v) / (sqrt(list_dot_product(c.v, c.v)) * sqrt(list_dot_product(j.v, j.v))), 6) AS cosine
+        list_dot_product(c.v, j.v) / (sqrt(list_dot_product(c.v, c.v)) * sqrt(list_dot_product(j.v, j.v))) AS exact, round(exact, 6) AS cosine
       FROM applications a JOIN vectors c ON c.vec_id = a.cv_id JOIN vectors j ON j.vec_id = a.jd_id""",
     "tokens": f"""
       SELECT DISTINCT cv_id, token FROM (
@@ -404,7 +404,7 @@ VIEWS: dict[str, str] = {
       JOIN name_month_lists n ON n.cv_id = a.cv_id AND n.name = r.name
       GROUP BY a.cv_id, a.jd_id, r.req_pos""",
     "semantic": """
-      SELECT a.cv_id, a.jd_id, CASE WHEN l.cosine IS NULL THEN 0.5::DOUBLE ELSE greatest(least(l.cosine, 1.0), 0.0) END AS semantic
+      SELECT a.cv_id, a.jd_id, CASE WHEN l.exact IS NULL THEN 0.5::DOUBLE ELSE greatest(least(l.exact, 1.0), 0.0) END AS semantic
       FROM applications a LEFT JOIN labelled_pairs l ON l.cv_id = a.cv_id AND l.jd_id = a.jd_id""",
     "skills": """
       SELECT cv_id, jd_id, CASE WHEN sum(weight) > 0 THEN sum(weight * credit) / sum(weight) ELSE 1.0 END AS skills
@@ -412,18 +412,18 @@ VIEWS: dict[str, str] = {
     "experience": """
       SELECT a.cv_id, a.jd_id, j.min_years,
         CASE WHEN j.min_years > 0 THEN least(coalesce(t.total_months, 0) / 12.0::DOUBLE / j.min_years, 1.0) END AS years_ratio,
-        CASE WHEN j.min_years > 0 AND w.required_weight > 0 THEN coalesce(d.depth, 0) / w.required_weight END AS depth_ratio
+        CASE WHEN j.min_years > 0 AND w.required_weight > 0 THEN coalesce(d.depth, 0) / (j.min_years * 12 * w.required_weight) END AS depth_ratio
       FROM applications a JOIN jobs j ON j.jd_id = a.jd_id
       LEFT JOIN total_months t ON t.cv_id = a.cv_id
       LEFT JOIN (SELECT jd_id, sum(weight) AS required_weight FROM groups WHERE tier = 'required' GROUP BY 1) w ON w.jd_id = a.jd_id
       LEFT JOIN (
-        SELECT m.cv_id, m.jd_id, sum(g.weight * least(m.months / (j2.min_years * 12.0::DOUBLE), 1.0)) AS depth
+        SELECT m.cv_id, m.jd_id, sum(g.weight * least(m.months, j2.min_years * 12)) AS depth
         FROM group_months m JOIN groups g ON g.jd_id = m.jd_id AND g.req_pos = m.req_pos
         JOIN jobs j2 ON j2.jd_id = m.jd_id WHERE j2.min_years > 0
         GROUP BY m.cv_id, m.jd_id) d ON d.cv_id = a.cv_id AND d.jd_id = a.jd_id""",
     "experience_scores": """
-      SELECT cv_id, jd_id, round(CAST(CASE WHEN min_years = 0 THEN 1.0 WHEN depth_ratio IS NULL THEN years_ratio
-        ELSE (depth_ratio + years_ratio) / 2 END AS DOUBLE), 9) AS experience FROM experience""",
+      SELECT cv_id, jd_id, CAST(CASE WHEN min_years = 0 THEN 1.0 WHEN depth_ratio IS NULL THEN years_ratio
+        ELSE (depth_ratio + years_ratio) / 2 END AS DOUBLE) AS experience FROM experience""",
     "education": """
       SELECT a.cv_id, a.jd_id, CAST(CASE WHEN j.degree_rank = 0 THEN 1.0 WHEN c.degree_rank = 0 THEN 0.5
         ELSE least(c.degree_rank / j.degree_rank, 1.0) END AS DOUBLE) AS education

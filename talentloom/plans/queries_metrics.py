@@ -10,10 +10,12 @@ from talentloom.functions import text
 from talentloom.functions.skills import proficiency
 from talentloom.functions.strings import strip
 from talentloom.operators import fuzzy, metrics, scoring
+from talentloom.operators.blocks import pair_cosines
 from talentloom.operators.resolve import resolve_names
 from talentloom.plans import oracle as o
 from talentloom.plans.queries_matching import ranks
 from talentloom.plans.registry import query
+from talentloom.session import materialise
 from talentloom.sources.tables import Tables
 
 
@@ -176,11 +178,13 @@ def _(t: Tables) -> DataFrame:
 
 def twins(t: Tables) -> DataFrame:
     """Neighbouring vectors 2k and 2k + 1 as variants of one text; a.id < b.id."""
-    units = t.units.join(t.vector_labels, "vec_id").withColumn("twin", F.floor(F.col("vec_id") / 2))
-    a = units.filter("vec_id % 2 = 0").select("twin", F.col("vec_id").alias("a_id"), F.col("unit").alias("a_unit"), F.col("label").alias("a_label"))
-    b = units.filter("vec_id % 2 = 1").select("twin", F.col("vec_id").alias("b_id"), F.col("unit").alias("b_unit"), F.col("label").alias("b_label"))
-    return a.join(b, "twin").select(
-        "a_id", "b_id", (F.col("a_label") == F.col("b_label")).alias("same"), scoring.cosine("a_unit", "b_unit").alias("cosine")
+    ids = t.vector_labels
+    a = ids.filter("vec_id % 2 = 0").select(F.col("vec_id").alias("a_id"), (F.col("vec_id") + 1).alias("b_id"), F.col("label").alias("a_label"))
+    b = ids.select(F.col("vec_id").alias("b_id"), F.col("label").alias("b_label"))
+    pairs = materialise(a.join(b, "b_id").select("a_id", "b_id", (F.col("a_label") == F.col("b_label")).alias("same")))
+    one, other = (t.vectors.withColumnRenamed("vec_id", c) for c in ("a_id", "b_id"))
+    return pairs.join(pair_cosines(pairs, one, other, "a_id", "b_id"), ["a_id", "b_id"]).select(
+        "a_id", "b_id", "same", F.round("cosine", 6).alias("cosine")
     )
 
 

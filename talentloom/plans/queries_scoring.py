@@ -22,14 +22,14 @@ from talentloom.sources.tables import Tables
   FROM applications a LEFT JOIN labelled_pairs l ON l.cv_id = a.cv_id AND l.jd_id = a.jd_id"""))
 def _(t: Tables) -> DataFrame:
     """Every application's cosine; -9 marks a missing vector."""
-    pairs = scoring.pair_similarity(t.applications, t.cv_units, t.jd_units)
-    return pairs.withColumn("cosine", F.coalesce("cosine", F.lit(-9.0)))
+    pairs = t.screening.cosines.select("cv_id", "jd_id", "cosine")
+    return pairs.withColumn("cosine", F.coalesce(F.round("cosine", 6), F.lit(-9.0)))
 
 
-@query("D1b_semantic", o.sql("SELECT cv_id, jd_id, semantic FROM semantic"))
+@query("D1b_semantic", o.sql("SELECT cv_id, jd_id, round(semantic, 6) AS semantic FROM semantic"))
 def _(t: Tables) -> DataFrame:
-    pairs = scoring.pair_similarity(t.applications, t.cv_units, t.jd_units)
-    return pairs.select("cv_id", "jd_id", scoring.semantic_score(F.col("cosine")).alias("semantic"))
+    semantic = scoring.semantic_score(F.col("cosine"))
+    return t.screening.cosines.select("cv_id", "jd_id", F.round(semantic, 6).alias("semantic"))
 
 
 @query("D2_skill_score", o.sql("SELECT cv_id, jd_id, round(skills, 9) AS skills FROM skills"))
@@ -54,9 +54,9 @@ def _(t: Tables) -> DataFrame:
     return months.withColumn("req_pos", F.col("req_pos").cast("bigint"))
 
 
-@query("D3d_D3_experience", o.sql("SELECT cv_id, jd_id, experience FROM experience_scores"))
+@query("D3d_D3_experience", o.sql("SELECT cv_id, jd_id, round(experience, 9) AS experience FROM experience_scores"))
 def _(t: Tables) -> DataFrame:
-    return t.screening.dimensions.select("cv_id", "jd_id", "experience")
+    return t.screening.dimensions.select("cv_id", "jd_id", F.round("experience", 9).alias("experience"))
 
 
 @query("D4_education", o.sql("SELECT cv_id, jd_id, round(education, 9) AS education FROM education"))

@@ -15,8 +15,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from talentloom.operators import matching, scoring
+from talentloom.operators.blocks import pair_cosines
 from talentloom.operators.intervals import merged_months, union_months
-from talentloom.session import materialise, salted_join
+from talentloom.session import hot_keys, materialise, salted_join
 
 
 @dataclass
@@ -33,8 +34,8 @@ class Screening:
     requirements  jd_id, tier, req_pos, alt_pos, name, weight
     aliases       alias, canonical
     implies       src, dst (closed)
-    cv_units      cv_id, unit
-    jd_units      jd_id, unit
+    cv_vectors    cv_id, embedding
+    jd_vectors    jd_id, embedding
     routes        lat1, lng1, lat2, lng2, duration_min
     """
 
@@ -48,8 +49,8 @@ class Screening:
     requirements: DataFrame
     aliases: DataFrame
     implies: DataFrame
-    cv_units: DataFrame
-    jd_units: DataFrame
+    cv_vectors: DataFrame
+    jd_vectors: DataFrame
     routes: DataFrame
 
     @cached_property
@@ -60,9 +61,27 @@ class Screening:
     def tokens(self) -> DataFrame:
         return matching.candidate_tokens(self.cv_skills, self.stacks, self.credentials)
 
+    @cached_property
+    def pairs(self) -> DataFrame:
+        """The applications, written once, as scoring reads them several times."""
+        return materialise(self.applications.select("cv_id", "jd_id"))
+
+    @cached_property
+    def cosines(self) -> DataFrame:
+        return pair_cosines(self.pairs, self.cv_vectors, self.jd_vectors)
+
+    @cached_property
+    def token_counts(self) -> DataFrame:
+        """(token, n): the vocabulary, with the number of candidates of every token."""
+        return materialise(self.tokens.groupBy("token").agg(F.count("*").alias("n")))
+
+    @cached_property
+    def hot(self) -> DataFrame:
+        return hot_keys(self.token_counts, "token")
+
     @cached_property
     def facts(self) -> DataFrame:
-        return materialise(matching.token_facts(self.tokens, self.aliases))
+        return materialise(matching.token_facts(self.token_counts, self.aliases))
 
     @cached_property
     def given(self) -> DataFrame:
@@ -75,7 +94,7 @@ class Screening:
 
     @cached_property
     def met(self) -> DataFrame:
-        return matching.met_names(self.tokens, self.given, self.asked)
+        return matching.met_names(self.tokens, self.index, self.hot)
 
     @cached_property
     def job_tokens(self) -> DataFrame:
@@ -83,16 +102,21 @@ class Screening:
 
     @cached_property
     def worked(self) -> DataFrame:
-        return matching.worked_names(self.job_tokens, self.employment, self.given, self.asked)
+        return matching.worked_names(self.job_tokens, self.employment, self.index, self.hot)
+
+    @cached_property
+    def index(self) -> DataFrame:
+        return materialise(matching.name_index(self.given, self.asked))
 
     @cached_property
     def classes(self) -> tuple[DataFrame, DataFrame]:
+        """(name, class), and the index (token, class)."""
         class_of, class_asks = matching.ask_classes(self.asked, self.given)
-        return materialise(class_of), materialise(class_asks)
+        return materialise(class_of), materialise(matching.class_index(self.given, class_asks))
 
     @cached_property
     def months(self) -> DataFrame:
-        return matching.group_months(self.applications, self.requirements, self.worked)
+        return matching.group_months(self.pairs, self.requirements, self.worked)
 
     @cached_property
     def total_months(self) -> DataFrame:
@@ -100,21 +124,21 @@ class Screening:
 
     @cached_property
     def evidence(self) -> DataFrame:
-        return matching.evidence(self.applications, self.requirements, self.groups, self.met)
+        return matching.evidence(self.pairs, self.requirements, self.groups, self.met)
 
     @cached_property
     def sums(self) -> DataFrame:
-        """(cv_id, jd_id, got, depth): matched weight and weighted depth shares.
+        """(cv_id, jd_id, got, months): matched weight, and weighted months as far as asked for.
 
         One expansion of applications to name classes feeds both. Rows move twice:
         to meet the candidate's classes, then by pair for the two nested sums.
         """
-        class_of, class_asks = self.classes
+        class_of, index = self.classes
         met = matching.met_classes(
             matching.listed_tokens(self.cv_skills, self.credentials),
             matching.stack_spans(self.job_tokens, self.employment),
-            self.given,
-            class_asks,
+            index,
+            self.hot,
         )
         deep = (F.col("tier") == "required") & (F.col("min_years") > 0)
         weights = self.groups.select("jd_id", "req_pos", "weight")
@@ -127,7 +151,7 @@ class Screening:
             .select("jd_id", "req_pos", "class", "weight", F.when(deep, F.col("min_years")).alias("years"))
         )
         per_group = (
-            matching.asked_names(self.applications, asked)
+            matching.asked_names(self.pairs, asked)
             .join(met, ["cv_id", "class"])
             .select(
                 "cv_id", "jd_id", "req_pos", "weight", "years",
@@ -142,11 +166,9 @@ class Screening:
                 union_months("months", "spans").alias("months"),
             )
         )
-        share = F.when(
-            F.col("months") > 0, F.col("weight") * scoring.depth_share("months", "years")
-        ).otherwise(0.0)
+        counted = F.when(F.col("months") > 0, F.col("weight") * scoring.counted_months("months", "years")).otherwise(0)
         return per_group.groupBy("cv_id", "jd_id").agg(
-            F.sum("weight").alias("got"), F.sum(share).alias("depth")
+            F.sum("weight").alias("got"), F.sum(counted).alias("months")
         )
 
     @cached_property
@@ -159,50 +181,49 @@ class Screening:
         )
         jd = (
             self.jobs.join(totals, "jd_id", "left")
-            .join(self.jd_units, "jd_id", "left")
             .select(
                 "jd_id", "min_years", "total_weight", "required_weight", "work_mode",
                 F.col("degree_rank").alias("jd_rank"), F.col("city").alias("jd_city"),
-                F.col("lat").alias("lat2"), F.col("lng").alias("lng2"), F.col("unit").alias("jd_unit"),
+                F.col("lat").alias("lat2"), F.col("lng").alias("lng2"),
             )
         )
         cv = (
             self.candidates.join(self.total_months, "cv_id", "left")
-            .join(self.cv_units, "cv_id", "left")
             .select(
                 "cv_id", "total_months", "raw_address", "willing_to_relocate",
                 F.col("degree_rank").alias("cv_rank"), F.col("city").alias("cv_city"),
-                F.col("lat").alias("lat1"), F.col("lng").alias("lng1"), F.col("unit").alias("cv_unit"),
+                F.col("lat").alias("lat1"), F.col("lng").alias("lng1"),
             )
         )
-        wide = (
-            salted_join(self.applications, jd, ["jd_id"], ["cv_id"])
-            .join(cv, "cv_id")
-            .join(self.routes, ["lat1", "lng1", "lat2", "lng2"], "left")
-            .join(self.sums, ["cv_id", "jd_id"], "left")
-        )
-        has_coordinates = (
-            F.col("lat1").isNotNull() & F.col("lng1").isNotNull()
-            & F.col("lat2").isNotNull() & F.col("lng2").isNotNull()
+        placed = salted_join(self.pairs, jd, ["jd_id"], ["cv_id"]).join(cv, "cv_id")
+        slim = scoring.with_minutes(placed, self.routes).select(
+            "cv_id",
+            "jd_id",
+            "min_years",
+            "total_weight",
+            "required_weight",
+            scoring.years_share("total_months", "min_years").alias("general"),
+            scoring.education_score("cv_rank", "jd_rank").alias("education"),
+            scoring.location_score(
+                F.col("work_mode"), F.col("willing_to_relocate"), F.col("raw_address"),
+                F.col("cv_city"), F.col("jd_city"), scoring.has_coordinates(), F.col("duration_min"),
+            ).alias("location"),
         )
+        wide = slim.join(self.sums, ["cv_id", "jd_id"], "left").join(self.cosines, ["cv_id", "jd_id"], "left")
         depth = F.when(
-            F.col("required_weight") > 0, F.try_divide(F.coalesce("depth", F.lit(0.0)), F.col("required_weight"))
+            F.col("required_weight") > 0,
+            F.try_divide(F.coalesce("months", F.lit(0)), F.col("min_years") * 12 * F.col("required_weight")),
         )
         return wide.select(
             "cv_id",
             "jd_id",
-            scoring.semantic_score(scoring.cosine("cv_unit", "jd_unit")).alias("semantic"),
+            scoring.semantic_score(F.col("cosine")).alias("semantic"),
             F.when(F.col("total_weight") > 0, F.try_divide(F.coalesce("got", F.lit(0)), F.col("total_weight")))
             .otherwise(1.0)
             .alias("skills"),
-            scoring.experience_score(
-                "min_years", depth, scoring.years_share("total_months", "min_years")
-            ).alias("experience"),
-            scoring.education_score("cv_rank", "jd_rank").alias("education"),
-            scoring.location_score(
-                F.col("work_mode"), F.col("willing_to_relocate"), F.col("raw_address"),
-                F.col("cv_city"), F.col("jd_city"), has_coordinates, F.col("duration_min"),
-            ).alias("location"),
+            scoring.experience_score("min_years", depth, F.col("general")).alias("experience"),
+            "education",
+            "location",
         )
 
     @cached_property

@@ -78,3 +78,17 @@ def salted_join(
     left = many.withColumn("_salt", salt(*spread_by, salts=n))
     right = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
+
+
+def hot_keys(counted: DataFrame, key: str, rows: int = 100_000) -> DataFrame:
+    """(key, _copies): keys of `counted` (key, n) with more than `rows` rows, and how many ways to split them."""
+    return counted.where(F.col("n") > rows).select(key, F.least(F.ceil(F.col("n") / rows), F.lit(256)).cast("int").alias("_copies"))
+
+
+def hot_join(many: DataFrame, few: DataFrame, key: str, hot: DataFrame, spread_by: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join in which only the keys of `hot` are split: rows of `many` over the copies of
+    the key, rows of `few` repeated once per copy. All other keys meet once, as usual."""
+    copies = F.coalesce("_copies", F.lit(1))
+    left = many.join(hot, key, "left").withColumn("_salt", F.pmod(F.xxhash64(*spread_by), copies).cast("int")).drop("_copies")
+    right = few.join(hot, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), copies - 1))).drop("_copies")
+    return left.join(right, [key, "_salt"], how).drop("_salt")

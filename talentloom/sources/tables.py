@@ -302,17 +302,21 @@ class Tables:
             (F.abs(a - b) * 7.0 + 3.0).alias("duration_min"),
         )
 
+    @cached_property
+    def vectors(self) -> DataFrame:
+        return self.read("embeddings", "vec_id", "embedding")
+
     @cached_property
     def units(self) -> DataFrame:
-        return scoring.unit_vectors(self.read("embeddings", "vec_id", "embedding"), "vec_id")
+        return scoring.unit_vectors(self.vectors, "vec_id")
 
     @cached_property
-    def cv_units(self) -> DataFrame:
-        return self.units.withColumnRenamed("vec_id", "cv_id")
+    def cv_vectors(self) -> DataFrame:
+        return self.vectors.withColumnRenamed("vec_id", "cv_id")
 
     @cached_property
-    def jd_units(self) -> DataFrame:
-        return self.units.withColumnRenamed("vec_id", "jd_id")
+    def jd_vectors(self) -> DataFrame:
+        return self.vectors.withColumnRenamed("vec_id", "jd_id")
 
     @cached_property
     def vector_labels(self) -> DataFrame:
@@ -331,8 +335,8 @@ class Tables:
             requirements=self.requirements,
             aliases=self.aliases,
             implies=self.implies,
-            cv_units=self.cv_units,
-            jd_units=self.jd_units,
+            cv_vectors=self.cv_vectors,
+            jd_vectors=self.jd_vectors,
             routes=self.routes,
         )
 
@@ -340,8 +344,9 @@ class Tables:
 
     @cached_property
     def labelled_pairs(self) -> DataFrame:
-        """Applications whose two vectors exist, with cosine and whether labels agree."""
-        scored = scoring.pair_similarity(self.applications, self.cv_units, self.jd_units)
+        """Applications whose two vectors exist, with cosine (to six decimals, so that thresholds
+        and ties mean the same everywhere) and whether labels agree."""
+        scored = self.screening.cosines.withColumn("cosine", F.round("cosine", 6)).drop("problem")
         labels = self.vector_labels
         cv = labels.select(F.col("vec_id").alias("cv_id"), F.col("label").alias("cv_label"))
         jd = labels.select(F.col("vec_id").alias("jd_id"), F.col("label").alias("jd_label"))

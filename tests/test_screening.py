@@ -66,7 +66,7 @@ def screening(spark):
         "alias string, canonical string",
     )
     edges = spark.createDataFrame([("python", "programming-language")], "src string, dst string")
-    units = spark.createDataFrame([], "cv_id string, unit array<double>")
+    vectors = spark.createDataFrame([], "cv_id string, embedding array<float>")
     return Screening(
         applications=cv.select("cv_id").join(jd.select("jd_id"), F.lit(True)),
         candidates=cv.select(
@@ -84,8 +84,8 @@ def screening(spark):
         requirements=records.flat_requirements(jd),
         aliases=aliases,
         implies=edges,
-        cv_units=units,
-        jd_units=units.withColumnRenamed("cv_id", "jd_id"),
+        cv_vectors=vectors,
+        jd_vectors=vectors.withColumnRenamed("cv_id", "jd_id"),
         routes=spark.createDataFrame([], "lat1 double, lng1 double, lat2 double, lng2 double, duration_min double"),
     )
 
