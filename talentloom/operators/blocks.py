@@ -38,22 +38,6 @@ def cells(pairs: DataFrame, a: str, b: str, per_cell: int) -> DataFrame:
     )
 
 
-def _matrices(table: pa.Table, id_column: str) -> tuple[pa.Array, np.ndarray, dict[int, np.ndarray], np.ndarray]:
-    """Ids, length of every vector, a matrix of unit rows per length, and each vector's row there."""
-    own = table.filter(pc.is_valid(table[id_column])).combine_chunks()
-    vectors = own["_vector"].combine_chunks() if own.num_rows else pa.array([], pa.list_(pa.float64()))
-    lengths = np.asarray(pc.fill_null(pc.list_value_length(vectors), 0).to_numpy(zero_copy_only=False), np.int64)
-    place, units = np.zeros(len(lengths), np.int64), {}
-    for n in set(lengths[lengths > 0].tolist()):
-        rows = np.flatnonzero(lengths == n)
-        flat = vectors.take(pa.array(rows)).flatten()
-        matrix = np.asarray(flat.to_numpy(zero_copy_only=False), np.float64).reshape(len(rows), n)
-        norm = np.sqrt(np.einsum("ij,ij->i", matrix, matrix))[:, None]
-        units[n] = np.divide(matrix, norm, out=np.where(np.isnan(norm), np.nan, np.zeros_like(matrix)), where=norm > 0)
-        place[rows] = np.arange(len(rows))
-    return own[id_column].combine_chunks(), lengths, units, place
-
-
 def pair_cosines(
     pairs: DataFrame, a_vectors: DataFrame, b_vectors: DataFrame, a: str = "cv_id", b: str = "jd_id", vector: str = "embedding", per_cell: int = 200_000
 ) -> DataFrame:
@@ -72,11 +56,26 @@ def pair_cosines(
         other.select(*to, F.lit(None).cast(kind[a]).alias(f"{a}_"), F.col(b).alias(f"{b}_"), "_vector")
     )
 
-    # Nested, so that workers receive the function itself and need no install of more.
+    # Nested, so that workers receive the functions themselves and need no install.
+    def matrices(table: pa.Table, id_column: str) -> tuple[pa.Array, np.ndarray, dict[int, np.ndarray], np.ndarray]:
+        """Ids, length of every vector, a matrix of unit rows per length, and each vector's row there."""
+        own = table.filter(pc.is_valid(table[id_column])).combine_chunks()
+        vectors = own["_vector"].combine_chunks() if own.num_rows else pa.array([], pa.list_(pa.float64()))
+        lengths = np.asarray(pc.fill_null(pc.list_value_length(vectors), 0).to_numpy(zero_copy_only=False), np.int64)
+        place, units = np.zeros(len(lengths), np.int64), {}
+        for n in set(lengths[lengths > 0].tolist()):
+            rows = np.flatnonzero(lengths == n)
+            flat = vectors.take(pa.array(rows)).flatten()
+            matrix = np.asarray(flat.to_numpy(zero_copy_only=False), np.float64).reshape(len(rows), n)
+            norm = np.sqrt(np.einsum("ij,ij->i", matrix, matrix))[:, None]
+            units[n] = np.divide(matrix, norm, out=np.where(np.isnan(norm), np.nan, np.zeros_like(matrix)), where=norm > 0)
+            place[rows] = np.arange(len(rows))
+        return own[id_column].combine_chunks(), lengths, units, place
+
     def multiply(asked: pa.Table, given: pa.Table) -> pa.Table:
         asked = asked.select([a, b]).group_by([a, b]).aggregate([])
-        ids, lengths, units, place = _matrices(given, f"{a}_")
-        other_ids, other_lengths, other_units, other_place = _matrices(given, f"{b}_")
+        ids, lengths, units, place = matrices(given, f"{a}_")
+        other_ids, other_lengths, other_units, other_place = matrices(given, f"{b}_")
         i = pc.fill_null(pc.index_in(asked[a].combine_chunks(), value_set=ids), -1).to_numpy(zero_copy_only=False)
         j = pc.fill_null(pc.index_in(asked[b].combine_chunks(), value_set=other_ids), -1).to_numpy(zero_copy_only=False)
         cosine, both = np.full(len(i), np.nan), (i >= 0) & (j >= 0)

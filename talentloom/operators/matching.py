@@ -228,9 +228,10 @@ def requirement_groups(names: DataFrame) -> DataFrame:
 def asked_names(pairs: DataFrame, requirements: DataFrame) -> DataFrame:
     """Applications expanded to required names.
 
-    A job with a large share of all applications is spread by candidate.
+    A job with a large share of all applications is spread by candidate. Many rows come
+    of few, so both sides are dealt by job even where one could be broadcast to a few tasks.
     """
-    return salted_join(pairs.select("cv_id", "jd_id"), requirements, ["jd_id"], ["cv_id"])
+    return salted_join(pairs.select("cv_id", "jd_id"), requirements.hint("merge"), ["jd_id"], ["cv_id"])
 
 
 def evidence(pairs: DataFrame, requirements: DataFrame, groups: DataFrame, met: DataFrame) -> DataFrame:

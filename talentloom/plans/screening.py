@@ -11,7 +11,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from talentloom.operators import matching, scoring
@@ -130,16 +130,13 @@ class Screening:
     def sums(self) -> DataFrame:
         """(cv_id, jd_id, got, months): matched weight, and weighted months as far as asked for.
 
-        One expansion of applications to name classes feeds both. Rows move twice:
-        to meet the candidate's classes, then by pair for the two nested sums.
+        Applications are expanded to name classes and meet the classes of the candidate;
+        groups of one class and of several go separate ways to the sums of the pair.
         """
         class_of, index = self.classes
-        met = matching.met_classes(
-            matching.listed_tokens(self.cv_skills, self.credentials),
-            matching.stack_spans(self.job_tokens, self.employment),
-            index,
-            self.hot,
-        )
+        listed = matching.listed_tokens(self.cv_skills, self.credentials)
+        used = matching.stack_spans(self.job_tokens, self.employment)
+        met = materialise(matching.met_classes(listed, used, index, self.hot))
         deep = (F.col("tier") == "required") & (F.col("min_years") > 0)
         weights = self.groups.select("jd_id", "req_pos", "weight")
         asked = (
@@ -148,28 +145,28 @@ class Screening:
             .distinct()
             .join(weights, ["jd_id", "req_pos"])
             .join(self.jobs.select("jd_id", "min_years"), "jd_id")
-            .select("jd_id", "req_pos", "class", "weight", F.when(deep, F.col("min_years")).alias("years"))
+            .withColumn("classes", F.count("*").over(Window.partitionBy("jd_id", "req_pos")))
+            .select("jd_id", "req_pos", "class", "classes", "weight", F.when(deep, F.col("min_years")).alias("years"))
         )
-        per_group = (
-            matching.asked_names(self.pairs, asked)
-            .join(met, ["cv_id", "class"])
+        counted = F.when(F.col("months") > 0, F.col("weight") * scoring.counted_months("months", "years")).otherwise(0)
+
+        def met_by(some: DataFrame) -> DataFrame:
+            return matching.asked_names(self.pairs, some).join(met, ["cv_id", "class"])
+
+        # A group with one class needs no union of months, so only sums of it move on.
+        single = met_by(asked.where("classes = 1")).select("cv_id", "jd_id", "weight", counted.alias("counted"))
+        several = (
+            met_by(asked.where("classes > 1"))
             .select(
                 "cv_id", "jd_id", "req_pos", "weight", "years",
                 F.when(F.col("years").isNotNull(), F.col("months")).alias("months"),
                 F.when(F.col("years").isNotNull(), F.col("spans")).alias("spans"),
             )
-            .repartition("cv_id", "jd_id")
-            .groupBy("cv_id", "jd_id", "req_pos")
-            .agg(
-                F.first("weight").alias("weight"),
-                F.first("years").alias("years"),
-                union_months("months", "spans").alias("months"),
-            )
-        )
-        counted = F.when(F.col("months") > 0, F.col("weight") * scoring.counted_months("months", "years")).otherwise(0)
-        return per_group.groupBy("cv_id", "jd_id").agg(
-            F.sum("weight").alias("got"), F.sum(counted).alias("months")
+            .groupBy("cv_id", "jd_id", "req_pos", "weight", "years")
+            .agg(union_months("months", "spans").alias("months"))
+            .select("cv_id", "jd_id", "weight", counted.alias("counted"))
         )
+        return single.union(several).groupBy("cv_id", "jd_id").agg(F.sum("weight").alias("got"), F.sum("counted").alias("months"))
 
     @cached_property
     def dimensions(self) -> DataFrame:
