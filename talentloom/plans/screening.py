@@ -148,7 +148,8 @@ class Screening:
             .withColumn("classes", F.count("*").over(Window.partitionBy("jd_id", "req_pos")))
             .select("jd_id", "req_pos", "class", "classes", "weight", F.when(deep, F.col("min_years")).alias("years"))
         )
-        counted = F.when(F.col("months") > 0, F.col("weight") * scoring.counted_months("months", "years")).otherwise(0)
+        counts = F.col("years").isNotNull() & (F.col("months") > 0)
+        counted = F.when(counts, F.col("weight") * scoring.counted_months("months", "years")).otherwise(0)
 
         def met_by(some: DataFrame) -> DataFrame:
             return matching.asked_names(self.pairs, some).join(met, ["cv_id", "class"])
