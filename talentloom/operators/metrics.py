@@ -285,3 +285,16 @@ def pair_statistics(units: DataFrame, id_column: str, label: str, block_rows: in
         F.min("min_cross").alias("cross_min"), mean("cross").alias("cross_mean"), F.max("max_cross").alias("cross_max"),
         F.coalesce(F.sum("above"), F.lit(0)).alias("above"),
     )
+
+
+def hard_pairs(pairs: DataFrame, named: DataFrame, keys: list[str], score: str, positive: Column) -> DataFrame:
+    """Per named pair of labels: number of pairs, mean and largest score, and how many pairs
+    reach the weakest score of all positive pairs. `pairs` is read twice."""
+    weakest = pairs.agg(F.min(F.when(positive, F.col(score))).alias("_weakest"))
+    reached = F.coalesce(F.sum((F.col(score) >= F.col("_weakest")).cast("bigint")), F.lit(0))
+    return (
+        pairs.join(F.broadcast(named.distinct()), keys, "left_semi")
+        .join(F.broadcast(weakest))  # one row
+        .groupBy(*keys)
+        .agg(F.count("*").alias("pairs"), F.round(F.avg(score), 6).alias("mean_cosine"), F.max(score).alias("max_cosine"), reached.alias("above"))
+    )

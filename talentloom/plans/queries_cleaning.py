@@ -305,13 +305,13 @@ def _(t: Tables) -> DataFrame:
     )
 
 
-_WORDS = f"len(regexp_extract_all(text, {o.quote('[^' + WHITESPACE_CLASS.replace('{85}', '{0085}').replace('{a0}', '{00a0}') + ']+')}))"
+WORDS = f"len(regexp_extract_all(text, {o.quote('[^' + WHITESPACE_CLASS.replace('{85}', '{0085}').replace('{a0}', '{00a0}') + ']+')}))"
 
 
 @query(
     "P22_text_statistics",
     f"""
-      SELECT conv_id, turn, length(text)::BIGINT AS chars, {_WORDS}::BIGINT AS words,
+      SELECT conv_id, turn, length(text)::BIGINT AS chars, {WORDS}::BIGINT AS words,
         greatest(len(regexp_extract_all(text, '[.!?]')), 1)::BIGINT AS sentences FROM conversations""",
 )
 def _(t: Tables) -> DataFrame:

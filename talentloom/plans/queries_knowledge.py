@@ -146,6 +146,15 @@ def _(t: Tables) -> DataFrame:
     )
 
 
+def sighted(t: Tables) -> DataFrame:
+    """(cv_id, cv_name, seen_on): under which name and when a candidate came in."""
+    return t.raw_candidates.select(
+        "cv_id",
+        F.coalesce(F.nullif(F.col("name"), F.lit("")), F.lit("unknown_cv")).alias("cv_name"),
+        F.format_string("2001-09-%02d", (F.col("cv_id") % 28 + 1).cast("int")).alias("seen_on"),
+    )
+
+
 @query(
     "K11_B11_unknown_skills",
     o.sql("""
@@ -157,12 +166,7 @@ def _(t: Tables) -> DataFrame:
       FROM tokens JOIN strange USING (token) JOIN raw_candidates USING (cv_id) GROUP BY token"""),
 )
 def _(t: Tables) -> DataFrame:
-    seen = t.raw_candidates.select(
-        "cv_id",
-        F.coalesce(F.nullif(F.col("name"), F.lit("")), F.lit("unknown_cv")).alias("cv_name"),
-        F.format_string("2001-09-%02d", (F.col("cv_id") % 28 + 1).cast("int")).alias("seen_on"),
-    )
-    return matching.unknown_skills(t.screening.tokens, t.aliases, seen)
+    return matching.unknown_skills(t.screening.tokens, t.aliases, sighted(t))
 
 
 @query("S2_knowledge_files", o.sql("SELECT alias, coalesce(canonical, '') AS canonical FROM aliases"))

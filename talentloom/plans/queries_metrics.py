@@ -13,6 +13,7 @@ from talentloom.operators import fuzzy, metrics, scoring
 from talentloom.operators.blocks import pair_cosines
 from talentloom.operators.resolve import resolve_names
 from talentloom.plans import oracle as o
+from talentloom.plans.queries_cleaning import WORDS
 from talentloom.plans.queries_matching import ranks
 from talentloom.plans.registry import query
 from talentloom.session import materialise
@@ -242,18 +243,18 @@ def _(t: Tables) -> DataFrame:
 
 @query(
     "J13_A15_hard_pairs",
-    o.sql(f"""
-      SELECT jd_label, cv_label, mean_cosine, mean_cosine >= (SELECT min(mean_cosine) FROM {_MATRIX} WHERE jd_label = cv_label) AS above
-      FROM {_MATRIX} WHERE (cv_label = jd_label + 1) OR (jd_label = cv_label + 1)"""),
+    o.sql("""
+      SELECT jd_label, cv_label, count(*) AS pairs, round(avg(cosine), 6) AS mean_cosine, max(cosine) AS max_cosine,
+        count(*) FILTER (cosine >= (SELECT min(cosine) FROM labelled_pairs WHERE same)) AS above
+      FROM labelled_pairs WHERE (cv_label = jd_label + 1) OR (jd_label = cv_label + 1) GROUP BY 1, 2"""),
 )
 def _(t: Tables) -> DataFrame:
-    """Neighbouring labels, in both directions, against the weakest matching label."""
-    means = matrix(t)
+    """Applications between neighbouring labels, in both directions: how close they come, and
+    how many come as close as the weakest application whose labels agree."""
     label = t.vector_labels.select("label").distinct()
     forward = label.select(F.col("label").alias("jd_label"), (F.col("label") + 1).alias("cv_label"))
     named = forward.union(forward.select(F.col("cv_label"), F.col("jd_label")))
-    weakest = means.filter("jd_label = cv_label").select(F.min("mean_cosine")).scalar()
-    return means.join(named, ["jd_label", "cv_label"], "left_semi").withColumn("above", F.col("mean_cosine") >= weakest)
+    return metrics.hard_pairs(t.labelled_pairs, named, ["jd_label", "cv_label"], "cosine", F.col("same"))
 
 
 def spelling_cases(t: Tables) -> DataFrame:
@@ -295,11 +296,11 @@ def depth_study(t: Tables) -> DataFrame:
 
     pairs = salted_join(s.applications, jobs, ["jd_id"], ["cv_id"])
     return (
-        pairs.join(s.sums.select("cv_id", "jd_id", "depth"), ["cv_id", "jd_id"], "left")
+        pairs.join(s.sums.select("cv_id", "jd_id", "months"), ["cv_id", "jd_id"], "left")
         .join(s.total_months, "cv_id", "left")
         .select(
             "cv_id", "jd_id", "work_mode",
-            F.round(F.coalesce("depth", F.lit(0.0)) / F.col("required_weight"), 9).alias("depth_ratio"),
+            F.round(F.coalesce("months", F.lit(0)) / (F.col("min_years") * 12 * F.col("required_weight")), 9).alias("depth_ratio"),
             F.round(scoring.years_share("total_months", "min_years"), 9).alias("years_ratio"),
         )
     )
@@ -393,7 +394,7 @@ def years_grid(t: Tables) -> DataFrame:
     score = scoring.experience_score(
         "min_years", F.lit(None).cast("double"), scoring.years_share("months", "min_years")
     )
-    return grid.withColumn("score", score)
+    return grid.withColumn("score", F.round(score, 9))
 
 
 _GRID = """(
@@ -433,8 +434,8 @@ def _(t: Tables) -> DataFrame:
 
 @query(
     "A28_corpus_statistics",
-    """
-      SELECT lang, source, count(*) AS texts, sum(length(text))::BIGINT AS chars,
+    f"""
+      SELECT lang, source, count(*) AS texts, sum(length(text))::BIGINT AS chars, sum({WORDS})::BIGINT AS words,
         sum(greatest(len(regexp_extract_all(text, '[.!?]')), 1))::BIGINT AS sentences FROM documents GROUP BY lang, source""",
 )
 def _(t: Tables) -> DataFrame:
@@ -442,6 +443,7 @@ def _(t: Tables) -> DataFrame:
     return t.read("documents", "lang", "source", "text").groupBy("lang", "source").agg(
         F.count("*").alias("texts"),
         F.sum(stats["chars"]).cast("bigint").alias("chars"),
+        F.sum(stats["words"]).cast("bigint").alias("words"),
         F.sum(stats["sentences"]).cast("bigint").alias("sentences"),
     )
 

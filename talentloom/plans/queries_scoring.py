@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from talentloom.constants import DIMENSIONS
 from talentloom.functions import cleaning
 from talentloom.functions.strings import half_even
-from talentloom.operators import intervals, ranking, scoring
+from talentloom.operators import intervals, matching, ranking, scoring
 from talentloom.plans import oracle as o
 from talentloom.plans.queries_cleaning import weight_configs
 from talentloom.plans.queries_matching import ranks
 from talentloom.plans.registry import query
-from talentloom.session import salted_join
+from talentloom.session import new_folder, salted_join
+from talentloom.sources.sinks import score_table, write_score_table
 from talentloom.sources.tables import Tables
 
 
@@ -48,10 +49,15 @@ def _(t: Tables) -> DataFrame:
 
 
 @query("D3c_group_months", o.sql("""
-  SELECT cv_id, jd_id, req_pos::BIGINT AS req_pos, months FROM group_months WHERE months > 0"""))
+  SELECT a.cv_id, a.jd_id, g.req_pos::BIGINT AS req_pos, coalesce(m.months, 0)::BIGINT AS months
+  FROM applications a JOIN groups g ON g.jd_id = a.jd_id AND g.tier = 'required'
+  LEFT JOIN group_months m ON m.cv_id = a.cv_id AND m.jd_id = a.jd_id AND m.req_pos = g.req_pos"""))
 def _(t: Tables) -> DataFrame:
-    months = t.screening.months.filter("months > 0")
-    return months.withColumn("req_pos", F.col("req_pos").cast("bigint"))
+    """Every required group of every application, those without any months included."""
+    s = t.screening
+    required = s.groups.where("tier = 'required'").select("jd_id", "req_pos")
+    every = matching.asked_names(s.pairs, required).join(s.months, ["cv_id", "jd_id", "req_pos"], "left")
+    return every.select("cv_id", "jd_id", F.col("req_pos").cast("bigint").alias("req_pos"), F.coalesce("months", F.lit(0)).alias("months"))
 
 
 @query("D3d_D3_experience", o.sql("SELECT cv_id, jd_id, round(experience, 9) AS experience FROM experience_scores"))
@@ -119,3 +125,17 @@ def _(t: Tables) -> DataFrame:
 def _(t: Tables) -> DataFrame:
     ok = cleaning.scores_in_range("final_score", *DIMENSIONS)
     return t.screening.scores.filter(~ok).select("cv_id", "jd_id", "final_score")
+
+
+@query("S4_score_export", o.sql(f"""
+  SELECT jd_id, row_number() OVER (PARTITION BY jd_id ORDER BY final_score DESC, cv_id) AS row_index, cv_id || '.pdf' AS cv,
+    {", ".join(f"{o.fixed(c, 1)} AS {c}" for c in ("final_score", *DIMENSIONS))} FROM scores"""))
+def _(t: Tables) -> DataFrame:
+    """The ranked table of every job with all six scores, as a tab-separated file with a
+    header, read back as text."""
+    scores = t.screening.scores.withColumn("cv_url", F.concat(F.lit("https://cv.example.org/"), F.col("cv_id").cast("string"), F.lit(".pdf")))
+    table = score_table(scores, ["jd_id"], [F.desc("final_score"), F.asc("cv_id")])
+    path = new_folder(t.spark)
+    write_score_table(table, path)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in table.schema)
+    return t.spark.read.schema(schema).option("sep", "\t").option("header", True).csv(path)

@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-import dataclasses
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from talentloom.functions.strings import fixed
 from talentloom.operators import batches, ranking
 from talentloom.plans import oracle as o
+from talentloom.plans.queries_knowledge import sighted
 from talentloom.plans.registry import query
+from talentloom.session import materialise, new_folder
 from talentloom.sources.sinks import score_table
-from talentloom.sources.tables import Tables
-from talentloom.streaming import arrivals
+from talentloom.sources.tables import AS_OF, Tables
+from talentloom.streaming import scoring_stream, skill_log
 
 
 @query(
@@ -158,47 +158,54 @@ def _(t: Tables) -> DataFrame:
     )
 
 
-@query("T1_streamed_scoring", o.sql("SELECT cv_id, jd_id, final_score FROM scores"))
-def _(t: Tables) -> DataFrame:
-    """Arriving candidates are scored against the stored jobs, batch by batch."""
-    schema = t.read("customer", "c_custkey").schema
-    arriving = arrivals.table_stream(t.spark, t.folder, "customer", schema)
-
-    def score(batch: DataFrame) -> DataFrame:
-        here = batch.select(F.col("c_custkey").alias("cv_id")).distinct()
-
-        def only(df: DataFrame) -> DataFrame:
-            return df.join(here, "cv_id", "left_semi")
+def arriving_records(t: Tables) -> DataFrame:
+    """(value): each candidate with jobs and vector as a line of JSON; some lines arrive
+    again cut short."""
+    skills = t.cv_skills.groupBy("cv_id").agg(F.sort_array(F.collect_list(F.struct("pos", "skill")))["skill"].alias("skills"))
+    stacks = t.stacks.groupBy("cv_id", "job_id").agg(F.sort_array(F.collect_list("skill")).alias("tech_stack"))
+    job = F.struct("job_id", F.lit("C").alias("company"), "start", "end", "tech_stack")
+    work = t.raw_employment.join(stacks, ["cv_id", "job_id"], "left").groupBy("cv_id").agg(F.sort_array(F.collect_list(job)).alias("work_experience"))
+    applied = t.applications.groupBy("cv_id").agg(F.sort_array(F.collect_list("jd_id")).alias("jd_ids"))
+    degree = [F.struct(F.lit("U").alias("institution"), F.col(c).alias("degree")) for c in ("degree_text", "second_degree_text")]
+    record = F.struct(
+        "cv_id", "jd_ids", "embedding", F.lit(True).alias("is_resume"), "name", "skills", "work_experience", F.array(*degree).alias("education"),
+        F.array("language").alias("languages"), F.struct(F.col("city_text").alias("city"), "raw_address", "willing_to_relocate").alias("candidate_location"),
+    )
+    whole = t.raw_candidates
+    for side in (skills, work, applied, t.cv_vectors):
+        whole = whole.join(side, "cv_id", "left")
+    line = whole.select("cv_id", F.to_json(record).alias("value"))
+    cut = line.where("cv_id % 25 = 4").select(F.expr("left(value, length(value) - 2)").alias("value"))
+    return line.select("value").union(cut)
 
-        s = t.screening
-        arrived = dataclasses.replace(
-            s,
-            applications=only(s.applications),
-            candidates=only(s.candidates),
-            cv_skills=only(s.cv_skills),
-            credentials=only(s.credentials),
-            employment=only(s.employment),
-            stacks=only(s.stacks),
-        )
-        return arrived.scores.select("cv_id", "jd_id", "final_score")
 
-    path = arrivals.run_to_parquet(arriving, score)
-    return t.spark.read.parquet(path).select("cv_id", "jd_id", "final_score")
+@query("T1_streamed_scoring", o.sql("SELECT cv_id, jd_id, final_score FROM scores"))
+def _(t: Tables) -> DataFrame:
+    """Records arrive as JSON lines and are scored against prepared jobs, batch by batch."""
+    root = new_folder(t.spark)
+    arriving_records(t).repartition(4).write.text(f"{root}/arrivals")
+    side = scoring_stream.JobSide(t.jobs, t.requirements, t.aliases, t.implies, t.jd_vectors, t.routes, t.gazetteer).written()
+    lines = scoring_stream.line_stream(t.spark, f"{root}/arrivals", files_per_batch=2)
+    path = scoring_stream.score_arrivals(lines, side, AS_OF, f"{root}/stream")
+    return t.spark.read.parquet(f"{path}/scores").select("cv_id", "jd_id", "final_score")
 
 
 @query(
     "T2_running_unknown_counts",
     o.sql("""
-      SELECT event_type || '-' || json_extract_string(props, '$.k') AS token, count(DISTINCT user_id) AS cv_count
-      FROM events WHERE event_type || '-' || json_extract_string(props, '$.k') NOT IN (SELECT alias FROM aliases) GROUP BY 1"""),
+      WITH strange AS (
+        SELECT token FROM token_facts WHERE NOT found AND framework IS NULL AND token NOT IN (
+          SELECT a FROM unknown_ratio WHERE ratio >= 0.85))
+      SELECT token AS skill, count(DISTINCT coalesce(nullif(name, ''), 'unknown_cv')) AS cv_count, '2001-09-' ||
+        printf('%02d', max(cv_id % 28 + 1)::INT) AS last_seen
+      FROM tokens JOIN strange USING (token) JOIN raw_candidates USING (cv_id) GROUP BY token"""),
 )
 def _(t: Tables) -> DataFrame:
-    """Event kinds with their code stand for skills no alias lists; users for candidates."""
-    schema = t.read("events", "user_id", "event_type", "props").schema
-    token = F.concat_ws("-", "event_type", F.get_json_object("props", "$.k"))
-    tokens = arrivals.table_stream(t.spark, t.folder, "events", schema).select(
-        token.alias("token"), F.col("user_id").alias("cv_id")
-    )
-    unknown = tokens.join(t.aliases.select(F.col("alias").alias("token")), "token", "left_anti")
-    path = arrivals.run_to_parquet(arrivals.running_counts(unknown), lambda batch: batch, "update")
-    return arrivals.latest_counts(t.spark.read.parquet(path))
+    """Tokens of candidates arrive in several batches; the log ends as the batch query has it."""
+    root = new_folder(t.spark)
+    sightings = t.screening.tokens.join(sighted(t), "cv_id").select("token", "cv_name", "seen_on")
+    sightings.repartition(4).write.parquet(f"{root}/sightings")
+    stream = t.spark.readStream.schema(sightings.schema).option("maxFilesPerTrigger", 2).parquet(f"{root}/sightings")
+    aliases = materialise(t.aliases)
+    path = skill_log.run_log(stream, aliases, path=f"{root}/log")
+    return skill_log.read_log(t.spark.read.parquet(path), aliases)

@@ -41,13 +41,18 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+def new_folder(spark: SparkSession) -> str:
+    """A folder of its own below the shared one."""
+    return f"{shared_folder(spark)}/talentloom-{uuid.uuid4().hex}"
+
+
 def materialise(df: DataFrame, codec: str | None = None) -> DataFrame:
     """Cut lineage: write the rows to the shared folder and read them back.
 
     Losing executors costs nothing afterwards, later plans stay short, and file
     sizes tell Spark whether a table is small enough to broadcast.
     """
-    path = f"{shared_folder(df.sparkSession)}/talentloom-{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession)
     df.write.parquet(path, compression=codec)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

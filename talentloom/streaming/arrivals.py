@@ -1,31 +1,23 @@
-"""Arriving candidates and running unknown-skill counts as structured streams.
+"""Running a stream into files.
 
-Both sinks write one folder per micro-batch and overwrite it on a retry, so a
-batch that runs twice after a failure leaves one copy.
+The sink writes one folder per micro-batch and overwrites it on a retry, so a batch that
+runs twice after a failure leaves one copy.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql import DataFrame
 
-from talentloom.session import shared_folder
-
-
-def table_stream(spark: SparkSession, folder: str, name: str, schema: StructType) -> DataFrame:
-    """Files of one table, as they appear in a folder."""
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}*.parquet").parquet(folder)
+from talentloom.session import new_folder
 
 
 def run_to_parquet(
     stream: DataFrame, work: Callable[[DataFrame], DataFrame], output_mode: str = "append", path: str | None = None
 ) -> str:
     """Run what is available now; `work` turns each micro-batch into rows for `path`."""
-    root = path or f"{shared_folder(stream.sparkSession)}/talentloom-stream-{uuid.uuid4().hex}"
+    root = path or new_folder(stream.sparkSession)
 
     def write(batch: DataFrame, epoch: int) -> None:
         work(batch).write.mode("overwrite").parquet(f"{root}/rows/epoch={epoch}")
@@ -39,17 +31,3 @@ def run_to_parquet(
     )
     running.awaitTermination()
     return f"{root}/rows"
-
-
-def running_counts(tokens: DataFrame) -> DataFrame:
-    """Distinct candidates per token of a (token, cv_id) stream.
-
-    State grows with distinct (token, candidate) pairs; no event time exists to
-    bound it, so candidates re-sent later are still counted once.
-    """
-    return tokens.dropDuplicates(["token", "cv_id"]).groupBy("token").agg(F.count("*").alias("cv_count"))
-
-
-def latest_counts(rows: DataFrame) -> DataFrame:
-    """The last emitted count per token from the epochs of an update-mode sink."""
-    return rows.groupBy("token").agg(F.max_by("cv_count", "epoch").alias("cv_count"))
