@@ -6,9 +6,12 @@ kb_implies(src, dst): directed edges between canonical skills.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from talentloom.operators.ranking import numbered
 from talentloom.session import materialise
 
 
@@ -100,22 +103,53 @@ def violations(
 
 
 def transitive_closure(edges: DataFrame) -> DataFrame:
-    """All (src, dst) reachable over one or more edges, self edges left out.
+    """All (src, dst) reachable over one or more edges, self edges left out."""
+    return _grown([], _proper(edges))
+
+
+def extend_closure(closed: DataFrame, new_edges: DataFrame) -> DataFrame:
+    """The closure after edges were added: only pairs that need a new edge are worked out.
+
+    The first pairs to grow from are those with one new edge between known paths.
+    """
+    closed, new = _proper(closed), materialise(_proper(new_edges))
+    before = _steps(closed, new).union(new)
+    around = _proper(before.union(_steps(before, closed)))
+    return _grown([closed], around.join(closed, ["src", "dst"], "left_anti"))
+
+
+def _proper(edges: DataFrame) -> DataFrame:
+    return edges.select("src", "dst").where("src <> dst").distinct()
+
+
+def _steps(first: DataFrame, second: DataFrame) -> DataFrame:
+    """Pairs (src, dst) with a path of `first` followed by one of `second`."""
+    onward = second.select(F.col("src").alias("mid"), "dst")
+    return first.withColumnRenamed("dst", "mid").join(onward, "mid").where("src <> dst").select("src", "dst")
+
+
+def _grown(known: list[DataFrame], delta: DataFrame) -> DataFrame:
+    """Adds what follows from the pairs of the last round alone.
 
-    Path lengths double each round, so a chain of length n takes about log2(n)
-    rounds. Each round is written out; rounds stop when no pair was added.
+    A shortest path that is new in a round starts with a pair of the round before and goes
+    on with a known one, so lengths double: a chain of n edges takes about log2(n)
+    rounds. Every pair is written once, in the round that finds it.
     """
-    closed = materialise(edges.select("src", "dst").filter("src <> dst").distinct())
-    size = closed.count()
-    while True:
-        left = closed.withColumnRenamed("dst", "mid")
-        right = closed.select(F.col("src").alias("mid"), "dst")
-        longer = left.join(right, "mid").filter("src <> dst").select("src", "dst")
-        closed = materialise(closed.union(longer).distinct())
-        grown = closed.count()
-        if grown == size:
-            return closed
-        size = grown
+    delta = materialise(delta)
+    while not delta.isEmpty():
+        known = [*known, delta]
+        closed = reduce(DataFrame.union, known)
+        delta = materialise(_steps(delta, closed).distinct().join(closed, ["src", "dst"], "left_anti"))
+    return reduce(DataFrame.union, known) if known else delta
+
+
+def append_edges(edges: DataFrame, new_edges: DataFrame) -> DataFrame:
+    """(src, dst, pos): new targets of a source come after those it has, in their own order."""
+    fresh = new_edges.groupBy("src", "dst").agg(F.min("pos").alias("later")).join(edges, ["src", "dst"], "left_anti")
+    behind = edges.groupBy("src").agg((F.max("pos") + 1).alias("behind"))
+    placed = numbered(fresh, ["src"], [F.asc("later"), F.asc("dst")], "place").join(behind, "src", "left")
+    pos = F.coalesce("behind", F.lit(0)) + F.col("place") - 1
+    return edges.select("src", "dst", "pos").unionByName(placed.select("src", "dst", pos.cast("bigint").alias("pos")))
 
 
 def closure_in_order(edges: DataFrame, closed: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from talentloom.functions.strings import strip
 from talentloom.operators import fuzzy, knowledge, matching, resolve
 from talentloom.plans import oracle as o
 from talentloom.plans.registry import query
+from talentloom.session import new_folder
 from talentloom.sources import knowledge_files
 from talentloom.sources.tables import Tables
 
@@ -169,18 +170,6 @@ def _(t: Tables) -> DataFrame:
     return matching.unknown_skills(t.screening.tokens, t.aliases, sighted(t))
 
 
-@query("S2_knowledge_files", o.sql("SELECT alias, coalesce(canonical, '') AS canonical FROM aliases"))
-def _(t: Tables) -> DataFrame:
-    """Alias rows written as JSON maps, one per line, and read back."""
-    lines = t.aliases.select(
-        F.concat(
-            F.lit("{"), F.to_json(F.array("alias")).substr(F.lit(2), F.length(F.to_json(F.array("alias"))) - 2), F.lit(": "),
-            F.when(F.col("canonical").isNull(), "null").otherwise(F.concat(F.lit('"'), "canonical", F.lit('"'))), F.lit("}"),
-        ).alias("value")
-    )
-    return knowledge_files.aliases_from_json(lines).select("alias", F.coalesce("canonical", F.lit("")).alias("canonical"))
-
-
 @query("B1_alias_table", o.sql("SELECT alias, coalesce(canonical, '') AS canonical FROM aliases"))
 def _(t: Tables) -> DataFrame:
     return t.aliases.select("alias", F.coalesce("canonical", F.lit("")).alias("canonical"))
@@ -192,17 +181,35 @@ def _(t: Tables) -> DataFrame:
 
 
 def additions(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """New canonicals (brands), aliases (types, and one clash per tag), edges brand -> tag."""
-    part = t.read("part", "p_name", "p_brand", "p_type")
+    """New canonicals (brands), aliases (types, and one clash per tag), edges brand -> tag in part order."""
+    part = t.read("part", "p_partkey", "p_name", "p_brand", "p_type")
     brand = F.lower(F.replace("p_brand", F.lit("#"), F.lit("-")))
     tag = F.replace("p_name", F.lit(" "), F.lit("-"))
     canonicals = part.select(brand.alias("skill")).distinct()
     kinds = part.groupBy(F.lower("p_type").alias("alias")).agg(F.min(brand).alias("canonical"))
     clashes = part.groupBy(tag.alias("alias")).agg(F.min(brand).alias("canonical"))
-    edges = part.select(brand.alias("src"), tag.alias("dst")).distinct()
+    edges = part.groupBy(brand.alias("src"), tag.alias("dst")).agg(F.min("p_partkey").alias("pos"))
     return canonicals, kinds.union(clashes), edges
 
 
+def published(t: Tables) -> knowledge_files.KnowledgeBase:
+    """The maps of the tables as the first version of a knowledge base in files."""
+    base = knowledge_files.KnowledgeBase(t.spark, new_folder(t.spark))
+    base.publish(t.aliases, t.edges.withColumn("pos", F.lit(0).cast("bigint")))
+    return base
+
+
+def merged(t: Tables) -> knowledge_files.KnowledgeBase:
+    """The additions that pass the gate as the second version: edges need two canonical ends."""
+    base = published(t)
+    canonicals, new_aliases, new_edges = additions(t)
+    known = knowledge.canonical_skills(knowledge.merge_aliases(t.aliases, canonicals, new_aliases.limit(0)))
+    for end in ("src", "dst"):
+        new_edges = new_edges.join(known.withColumnRenamed("skill", end), end, "left_semi")
+    base.merge(canonicals, new_aliases, new_edges)
+    return base
+
+
 _ADDED = """
   added_brands AS (SELECT DISTINCT lower(replace(p_brand, '#', '-')) AS skill FROM part),
   added_aliases AS (
@@ -211,7 +218,38 @@ _ADDED = """
   added_edges AS (SELECT DISTINCT lower(replace(p_brand, '#', '-')) AS src, replace(p_name, ' ', '-') AS dst FROM part),
   known AS (
     SELECT alias AS skill FROM aliases WHERE canonical IS NULL OR canonical = alias
-    UNION SELECT skill FROM added_brands WHERE skill NOT IN (SELECT alias FROM aliases))"""
+    UNION SELECT skill FROM added_brands WHERE skill NOT IN (SELECT alias FROM aliases)),
+  later_edges AS (
+    SELECT src, dst, min(pos) AS pos FROM (
+      SELECT lower(replace(p_brand, '#', '-')) AS src, replace(p_name, ' ', '-') AS dst, p_partkey AS pos FROM part
+      WHERE lower(replace(p_brand, '#', '-')) IN (SELECT skill FROM known) AND replace(p_name, ' ', '-') IN (SELECT skill FROM known)
+      UNION ALL SELECT alias, canonical, 4611686018427387904 FROM added_aliases
+      WHERE alias <> canonical AND alias IN (SELECT alias FROM aliases WHERE canonical IS NULL OR canonical = alias))
+    GROUP BY src, dst),
+  given AS (
+    SELECT src, dst, 0 AS pos FROM edges
+    UNION ALL SELECT src, dst, coalesce(behind, 0) + row_number() OVER (PARTITION BY src ORDER BY pos, dst) - 1
+    FROM later_edges LEFT JOIN (SELECT src, count(*) AS behind FROM edges GROUP BY src) USING (src)
+    WHERE (src, dst) NOT IN (SELECT (src, dst) FROM edges))"""
+
+
+@query(
+    "S2_knowledge_files",
+    o.sql(f"""
+      SELECT * FROM (WITH {_ADDED}
+        SELECT 'alias' AS map, alias AS key, coalesce(canonical, '') AS value, 0 AS pos FROM aliases
+        UNION ALL SELECT 'alias', skill, '', 0 FROM added_brands WHERE skill NOT IN (SELECT alias FROM aliases)
+        UNION ALL SELECT 'alias', alias, canonical, 0 FROM added_aliases
+          WHERE alias NOT IN (SELECT alias FROM aliases) AND alias NOT IN (SELECT skill FROM added_brands)
+        UNION ALL SELECT 'implies', src, dst, pos FROM given)"""),
+)
+def _(t: Tables) -> DataFrame:
+    """Both maps of the merged knowledge base, as the files hold them."""
+    base = merged(t)
+    aliases = base.aliases().select(
+        F.lit("alias").alias("map"), F.col("alias").alias("key"), F.coalesce("canonical", F.lit("")).alias("value"), F.lit(0).cast("bigint").alias("pos")
+    )
+    return aliases.union(base.edges().select(F.lit("implies"), "src", "dst", "pos"))
 
 
 @query(
@@ -224,9 +262,7 @@ _ADDED = """
           WHERE alias NOT IN (SELECT alias FROM aliases) AND alias NOT IN (SELECT skill FROM added_brands))"""),
 )
 def _(t: Tables) -> DataFrame:
-    canonicals, new_aliases, _edges = additions(t)
-    merged = knowledge.merge_aliases(t.aliases, canonicals, new_aliases)
-    return merged.select("alias", F.coalesce("canonical", F.lit("")).alias("canonical"))
+    return merged(t).aliases().select("alias", F.coalesce("canonical", F.lit("")).alias("canonical"))
 
 
 @query(
@@ -255,8 +291,13 @@ def _(t: Tables) -> DataFrame:
           WHERE a.canonical IS DISTINCT FROM n.canonical)"""),
 )
 def _(t: Tables) -> DataFrame:
-    canonicals, new_aliases, new_edges = additions(t)
-    return knowledge.violations(t.aliases, canonicals, new_aliases, new_edges, strict_aliases=True)
+    """Why the knowledge base refuses all additions at once; no row if it takes them."""
+    base = published(t)
+    try:
+        base.merge(*additions(t), strict_aliases=True)
+    except knowledge_files.MergeRefused as refused:
+        return refused.violations
+    return t.spark.createDataFrame([], "kind string, name string")
 
 
 @query("B6_transitive_closure", o.sql("SELECT src, dst FROM implies"))
@@ -266,14 +307,18 @@ def _(t: Tables) -> DataFrame:
 
 @query(
     "B7_closure_order",
-    o.sql("""
-      SELECT src, string_agg(dst, '|' ORDER BY derived, dst) AS targets FROM (
-        SELECT i.src, i.dst, CASE WHEN e.src IS NULL THEN 1 ELSE 0 END AS derived
-        FROM implies i LEFT JOIN edges e ON e.src = i.src AND e.dst = i.dst) GROUP BY src"""),
+    o.sql(f"""
+      SELECT src, string_agg(dst, '|' ORDER BY derived, pos, dst) AS targets FROM (WITH RECURSIVE {_ADDED},
+          closed AS (SELECT src, dst FROM given UNION SELECT c.src, g.dst FROM closed c JOIN given g ON g.src = c.dst)
+        SELECT c.src, c.dst, CASE WHEN g.src IS NULL THEN 1 ELSE 0 END AS derived, coalesce(g.pos, 0) AS pos
+        FROM closed c LEFT JOIN given g ON g.src = c.src AND g.dst = c.dst WHERE c.src <> c.dst)
+      GROUP BY src"""),
 )
 def _(t: Tables) -> DataFrame:
-    edges = t.edges.withColumn("pos", F.lit(0).cast("bigint"))
-    ordered = knowledge.closure_in_order(edges, t.implies)
+    """The merged edges in the order of the file, then what follows from them; only what needs a new edge is worked out anew."""
+    edges = merged(t).edges()
+    closed = knowledge.extend_closure(t.implies, edges.join(t.edges, ["src", "dst"], "left_anti"))
+    ordered = knowledge.closure_in_order(edges, closed)
     return ordered.select("src", F.array_join("targets", "|").alias("targets"))
 
 

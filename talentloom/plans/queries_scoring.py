@@ -12,6 +12,7 @@ from talentloom.operators import intervals, matching, ranking, scoring
 from talentloom.plans import oracle as o
 from talentloom.plans.queries_cleaning import weight_configs
 from talentloom.plans.queries_matching import ranks
+from talentloom.plans.queries_storage import stored
 from talentloom.plans.registry import query
 from talentloom.session import new_folder, salted_join
 from talentloom.sources.sinks import score_table, write_score_table
@@ -97,11 +98,12 @@ _TOTAL = """100 * (0.0::DOUBLE + d.semantic * CASE WHEN c THEN 0.2 ELSE 0.3 END:
 @query("F2_rescore_with_config", o.sql(f"""
   SELECT cv_id, jd_id, {o.half_even(_TOTAL, 1)} AS final_score FROM (SELECT *, jd_id % 5 = 0 AS c FROM dims) d"""))
 def _(t: Tables) -> DataFrame:
-    """Stored dimensions recombined with each job's own weights; no matching is redone."""
+    """Dimensions stored once, then recombined with each job's own weights from the stored table alone."""
     configs = weight_configs(t).filter(cleaning.weights_problem("weights").isNull())
-    stored = salted_join(t.screening.dimensions, configs, ["jd_id"], ["cv_id"], "left")
+    table = stored(t, t.screening.dimensions.select("cv_id", "jd_id", *DIMENSIONS), ["cv_id", "jd_id"])
+    scored = salted_join(table.read(), configs, ["jd_id"], ["cv_id"], "left")
     total = scoring.weighted_total(cleaning.weights_used("weights"))
-    return stored.select("cv_id", "jd_id", half_even(total, 1).alias("final_score"))
+    return scored.select("cv_id", "jd_id", half_even(total, 1).alias("final_score"))
 
 
 @query("A1_top_ten_per_job", o.sql("""

@@ -13,9 +13,25 @@ from talentloom.plans.registry import query
 from talentloom.session import materialise, new_folder
 from talentloom.sources.sinks import score_table
 from talentloom.sources.tables import AS_OF, Tables
+from talentloom.sources.versions import VersionedTable
 from talentloom.streaming import scoring_stream, skill_log
 
 
+def stored(t: Tables, rows: DataFrame, keys: list[str]) -> VersionedTable:
+    """Rows as the first version of a stored table."""
+    table = VersionedTable(t.spark, new_folder(t.spark), rows.schema, keys)
+    table.create(rows)
+    return table
+
+
+def stored_results(t: Tables) -> VersionedTable:
+    return stored(t, t.results, ["batch_id", "ord"])
+
+
+def stored_batches(t: Tables) -> VersionedTable:
+    return stored(t, t.batches, ["batch_id"])
+
+
 @query(
     "A3_J17_batch_listing",
     o.sql("""
@@ -67,11 +83,11 @@ def _(t: Tables) -> DataFrame:
       FROM results"""),
 )
 def _(t: Tables) -> DataFrame:
-    """Re-scored rows (here: half the score) replace the stored ones."""
-    rescore, _reparse = batches.rescore_split(t.results)
-    fresh = rescore.withColumn("final_score", F.col("final_score") / 2)
-    stored = batches.upsert(t.results, fresh, ["batch_id", "ord"])
-    return stored.select(
+    """Re-scored rows (here: half the score) replace the stored ones in a second version."""
+    table = stored_results(t)
+    rescore, _reparse = batches.rescore_split(table.read())
+    table.upsert(rescore.withColumn("final_score", F.col("final_score") / 2))
+    return table.read().select(
         "ord", "batch_id", F.coalesce("error", F.lit("")).alias("error"),
         F.coalesce(fixed("final_score", 3), F.lit("")).alias("final_score"),
     )
@@ -95,7 +111,7 @@ def _(t: Tables) -> DataFrame:
       FROM results WHERE error IS NULL"""),
 )
 def _(t: Tables) -> DataFrame:
-    rescore, reparse = batches.rescore_split(t.results)
+    rescore, reparse = batches.rescore_split(stored_results(t).read())
     return rescore.select("batch_id", "ord", F.lit("rescore").alias("list")).union(
         reparse.select("batch_id", "ord", F.lit("needs_reparse"))
     )
@@ -122,8 +138,10 @@ def _(t: Tables) -> DataFrame:
         (e % 5 == 0).alias("has_narrative"),
         F.lit(True).alias("include_narrative"),
     )
-    done = batches.update_configs(t.batches, updates)
-    return done.select(
+    table = stored_batches(t)
+    named = table.read().join(updates.select("batch_id"), "batch_id", "left_semi")
+    table.upsert(batches.update_configs(named, updates))
+    return table.read().select(
         "batch_id", "name", F.coalesce(F.try_element_at("weights", F.lit("skills")), F.lit(-1.0)).alias("w_skills"), "include_narrative"
     )
 
@@ -136,9 +154,12 @@ def _(t: Tables) -> DataFrame:
 )
 def _(t: Tables) -> DataFrame:
     """Batches without a job go, with their results."""
-    doomed = t.batches.filter("jd_id is null")
-    _batches, results = batches.delete_batches(t.batches, t.results, doomed)
-    return results.groupBy("batch_id").agg(F.count("*").alias("results_left"))
+    held, results = stored_batches(t), stored_results(t)
+    doomed = held.read().filter("jd_id is null").select("batch_id")
+    results.delete(doomed, ["batch_id"])
+    held.delete(doomed, ["batch_id"])
+    kept = results.read().join(held.read().select("batch_id"), "batch_id", "left_semi")
+    return kept.groupBy("batch_id").agg(F.count("*").alias("results_left"))
 
 
 @query(
