@@ -196,13 +196,16 @@ def neighbours(
 
     Codes are fitted on at most `sample_rows` vectors (those with the smallest hash), the
     radius on `calibration_queries` queries against all vectors; every vector is indexed.
-    A query has fewer than k rows only if there are fewer candidates.
+    A query has fewer than k rows only if there are fewer candidates. Rows of `queries` that
+    repeat id and vector ask once; no row with the id of the query is its neighbour; other
+    repeated rows of `vectors` are candidates each. Extra columns, whatever their names, are
+    not read.
     """
     base = usable(vectors, vec_id, vector)
     sizes = base.groupBy(F.size("v").alias("size")).count().orderBy(F.desc("count"), "size").limit(1).collect()
     size = sizes[0]["size"] if sizes else 0
     base = materialise(base.where(F.size("v") == size))
-    asked = usable(queries, vec_id, vector).where(F.size("v") == size)
+    asked = usable(queries, vec_id, vector).where(F.size("v") == size).dropDuplicates(["id", "v"])
     if not size:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     rows, square = base.agg(F.count("*"), F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))).first()

@@ -40,6 +40,8 @@ def test_neighbours_have_recall_and_exact_scores(spark):
         assert all(abs(r.score - s[r.vec_id]) < 1e-9 for r in mine)
         assert [r.vec_id for r in sorted(mine, key=lambda r: r.rank)] == [r.vec_id for r in sorted(mine, key=lambda r: (-r.score, r.vec_id))]
     assert hits >= 0.9 * 75 * 10
+    twice = [r.vec_id for r in got if r.query_id == 20]  # asked by two equal rows
+    assert len(twice) == len(set(twice)) == 10
     few = vectors.where("vec_id < 5")
     assert mih.neighbours(few, few.where("vec_id = 0"), k=10).count() == 4
     assert mih.neighbours(few.limit(0), few.limit(0)).count() == 0
