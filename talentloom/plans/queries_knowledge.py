@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from string import ascii_lowercase as LOWER
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from talentloom.functions.skills import credential_tokens, proficiency, spelling_variants
 from talentloom.functions.strings import strip
-from talentloom.operators import fuzzy, knowledge, matching, resolve
+from talentloom.operators import fuzzy, knowledge, matching, resolve, variants
 from talentloom.plans import oracle as o
 from talentloom.plans.registry import query
 from talentloom.session import new_folder
@@ -437,30 +435,37 @@ def _(t: Tables) -> DataFrame:
     return coverage(_found(t).withColumn("kind", grouped), "kind", F.col("found"))
 
 
+_VARIANTS = """unnest([replace(name, ' ', '-'), replace(name, '.', ''), replace(name, '-', ' '), upper(name), lower(name),
+          list_reduce(list_prepend('', list_transform(regexp_extract_all(name, '\\p{L}+|\\P{L}+'), lambda w: upper(w[1]) || lower(w[2:]))), lambda x, y: x || y),
+          translate(name, 'abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ', 'ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz'),
+          upper(replace(name, ' ', '-')), lower(replace(name, ' ', '-')), replace(name, ' ', '_')])"""
+
+
 @query(
     "A27_format_variants",
-    o.sql("""
-      WITH base AS (SELECT DISTINCT name FROM raw_requirements),
-      made AS (
-        SELECT DISTINCT unnest([replace(name, ' ', '-'), replace(name, '.', ''), replace(name, '-', ' '), upper(name), lower(name),
-          upper(replace(name, ' ', '-')), lower(replace(name, ' ', '-')), replace(name, ' ', '_'),
-          translate(name, 'abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ', 'ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz')]) AS name FROM base)
+    o.sql(f"""
+      WITH base AS (SELECT DISTINCT name FROM raw_requirements), made AS (SELECT DISTINCT {_VARIANTS} AS name FROM base)
       SELECT name, 'written' AS origin, NULL AS fill_order FROM base
       UNION ALL
       SELECT name, 'variant', sha256('42' || chr(1) || name) FROM made WHERE name <> '' AND name NOT IN (SELECT name FROM base)"""),
 )
 def _(t: Tables) -> DataFrame:
     """Written names and all their rewrites; a corpus is filled up in the order of the hash."""
-    base = t.raw_requirements.select("name").distinct()
-    space, dash = F.lit(" "), F.lit("-")
-    dashed = F.replace("name", space, dash)
-    rewrites = F.array(
-        dashed, F.replace("name", F.lit("."), F.lit("")), F.replace("name", dash, space), F.upper("name"),
-        F.lower("name"), F.upper(dashed), F.lower(dashed), F.replace("name", space, F.lit("_")),
-        F.translate("name", LOWER + LOWER.upper(), LOWER.upper() + LOWER),
-    )
-    made = base.select(F.explode(rewrites).alias("name")).filter("name <> ''").distinct()
-    fresh = made.join(base, "name", "left_anti")
-    order = F.sha2(F.concat(F.lit("42\u0001"), "name"), 256)
-    written = base.select("name", F.lit("written").alias("origin"), F.lit(None).cast("string").alias("fill_order"))
-    return written.unionByName(fresh.select("name", F.lit("variant").alias("origin"), order.alias("fill_order")))
+    return variants.all_variants(t.raw_requirements.select("name").distinct(), "name").select("name", "origin", "fill_order")
+
+
+@query(
+    "A27_filled_pairs",
+    o.sql(f"""
+      WITH base AS (SELECT dst AS parent, src AS name FROM edges), size AS (SELECT count(*) * 3 AS target FROM base),
+      made AS (SELECT name, min(parent) AS parent FROM (SELECT {_VARIANTS} AS name, parent FROM base)
+        WHERE name <> '' AND name NOT IN (SELECT name FROM base) GROUP BY name)
+      SELECT name AS child, parent, 'written' AS origin FROM base
+      UNION ALL
+      SELECT name, parent, 'variant' FROM (SELECT *, row_number() OVER (ORDER BY sha256('43' || chr(1) || name), name) AS place FROM made)
+        WHERE place <= (SELECT target FROM size) - (SELECT count(*) FROM base)"""),
+)
+def _(t: Tables) -> DataFrame:
+    """Given edges filled up to three times their number with rewrites of the child; the parent stays."""
+    pairs = t.edges.select(F.col("src").alias("child"), F.col("dst").alias("parent"))
+    return variants.filled(pairs, "child", 3 * pairs.count(), seed=43).select("child", "parent", "origin")

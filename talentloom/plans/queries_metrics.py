@@ -6,13 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from talentloom.constants import CHECK_TOLERANCE, FUZZY_THRESHOLD
-from talentloom.functions import text
+from talentloom.functions import cleaning, text
 from talentloom.functions.skills import proficiency
 from talentloom.functions.strings import strip
 from talentloom.operators import fuzzy, metrics, scoring
 from talentloom.operators.blocks import pair_cosines
 from talentloom.operators.resolve import resolve_names
 from talentloom.plans import oracle as o
+from talentloom.plans import properties
 from talentloom.plans.queries_cleaning import WORDS
 from talentloom.plans.queries_matching import ranks
 from talentloom.plans.registry import query
@@ -454,25 +455,23 @@ def _(t: Tables) -> DataFrame:
       SELECT 'above one' AS kind, count(*) FILTER (score > 1) AS n FROM {_GRID}
       UNION ALL SELECT 'not monotone', count(*) FILTER (score < before) FROM (
         SELECT score, lag(score) OVER (PARTITION BY jd_id ORDER BY months) AS before FROM {_GRID})
-      UNION ALL SELECT 'order matters', 0
+      UNION ALL SELECT 'requirement order matters', 0 UNION ALL SELECT 'overlap counts twice', 0
+      UNION ALL SELECT 'listing counts as months', 0 UNION ALL SELECT 'education order matters', 0
       UNION ALL SELECT 'other is not high school', 0"""),
 )
 def _(t: Tables) -> DataFrame:
-    """Counts of broken properties over the grids; every count should be zero."""
+    """Counts of broken properties, over the grids and over all applications scored again on
+    changed inputs; every count should be zero."""
     grid = years_grid(t)
     above = grid.agg(F.lit("above one").alias("kind"), F.coalesce(F.sum((F.col("score") > 1 + CHECK_TOLERANCE).cast("bigint")), F.lit(0)).alias("n"))
     falling = metrics.decreases(grid, ["jd_id"], "months", "score", CHECK_TOLERANCE).agg(
         F.lit("not monotone").alias("kind"), F.count("*").alias("n")
     )
-    # A set of levels scores the same in any order: compare with the reversed set.
-    subsets = degree_subsets(t)
-    reversed_top = F.array_max(F.reverse("levels"))
-    order = subsets.filter(reversed_top != F.col("top")).agg(F.lit("order matters").alias("kind"), F.count("*").alias("n"))
-    from talentloom.functions.cleaning import degree_rank
-
-    other = scoring.education_score(degree_rank(F.lit("other")), F.col("degree_rank"))
-    school = scoring.education_score(degree_rank(F.lit("high_school")), F.col("degree_rank"))
+    other = scoring.education_score(cleaning.degree_rank(F.lit("other")), F.col("degree_rank"))
+    school = scoring.education_score(cleaning.degree_rank(F.lit("high_school")), F.col("degree_rank"))
     same = t.jobs.filter(other != school).agg(
         F.lit("other is not high school").alias("kind"), F.count("*").alias("n")
     )
-    return above.union(falling).union(order).union(same)
+    held = F.array(*[F.struct(cleaning.degree(c).alias("degree")) for c in ("degree_text", "second_degree_text")])
+    again = properties.broken(t.screening, t.raw_candidates.select("cv_id", held.alias("education")))
+    return above.union(falling).union(again).union(same)
