@@ -57,6 +57,16 @@ def materialise(df: DataFrame, codec: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(written: DataFrame) -> None:
+    """Delete the folder of a table that materialise wrote, once everything read from it has
+    been written in turn: lost executors then go back to those later tables."""
+    spark = written.sparkSession
+    for folder in {file.rsplit("/", 1)[0] for file in written.inputFiles()}:
+        if folder.rsplit("/", 1)[1].startswith("talentloom-"):
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def default_salts(df: DataFrame) -> int:
     """How many ways a hot key is split: a share of the shuffle width."""
     return max(2, min(64, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 4))
