@@ -22,8 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from talentloom.llm.common import checked_broadcast
-from talentloom.llm.links import linked_components, shared_postings
-from talentloom.session import materialise
+from talentloom.llm.links import WORDS, bitmap, linked_components, shared_postings
+from talentloom.session import discard, materialise
 
 SHINGLE = 12
 PERCENT = 75
@@ -56,13 +56,26 @@ def band_postings(lines: DataFrame, size: int = SHINGLE, bands: int = BANDS, row
     return signs.select(F.explode(keys).alias("key"), "id")
 
 
-def shingle_sets(lines: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """(id, size, items): all distinct shingle hashes of each line (id, line)."""
-    # Explode makes the encoded line a value of its own, worked out once per line.
-    units = lines.select("id", F.explode(F.array(F.encode("line", "UTF-16BE"))).alias("units"))
-    last = (F.octet_length("units") / 2 - size).cast("int")
-    each = F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.substring(F.col("units"), 2 * i + 1, F.lit(2 * size))))
-    return units.where(last >= 0).select("id", F.array_distinct(each).alias("items")).select("id", F.size("items").alias("size"), "items")
+def outlines(lines: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """(id, low, high, bits): bounds of the number of distinct shingles of each line (id,
+    line), and their bitmap; lines shorter than a shingle have none."""
+    each = _shingles(lines, "id", size=size).groupBy("id").agg(F.count("*").alias("high"), *bitmap(F.col("h")))
+    bits = each.select("id", "high", F.array(*[f"b{w}" for w in range(WORDS)]).alias("bits"))
+    return bits.select("id", sum(F.bit_count(F.col("bits")[w]) for w in range(WORDS)).cast("long").alias("low"), "high", "bits")
+
+
+def similar_lines(pairs: DataFrame, lines: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """Of the (a, b) pairs of line ids, those whose shingle sets have a Jaccard similarity of
+    at least `percent` in a hundred. The lines move, not their shingles, which are counted
+    where the pair is."""
+    pairs = materialise(pairs)
+    one = pairs.join(lines.withColumnRenamed("id", "a"), "a").withColumnRenamed("line", "first")
+    both = one.join(lines.withColumnRenamed("id", "b"), "b")
+    sides = F.explode(F.array(*[F.struct(F.lit(side).alias("side"), F.col(c).alias("line")) for side, c in ((1, "first"), (2, "line"))]))
+    each = _shingles(both.select("a", "b", sides.alias("s")).select("a", "b", "s.*"), "a", "b", "side", size=size)
+    items = each.groupBy("a", "b", "h").agg(F.bit_or("side").alias("sides"))
+    counts = items.groupBy("a", "b").agg(F.count("*").alias("n"), F.count_if(F.col("sides") == 3).alias("both"))
+    return counts.where(F.col("both") * 100 >= percent * F.col("n")).select("a", "b")
 
 
 def line_places(own: DataFrame) -> DataFrame:
@@ -91,10 +104,17 @@ def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     texts = own.select("doc", "text")
     postings = materialise(band_postings(read(texts, firsts), size).withColumn("rank", F.lit(0)))
     held = shared_postings(postings)
-    among = materialise(firsts.join(checked_broadcast(materialise(held.select("id").distinct()), 8), "id", "left_semi").select("id", "doc", "at"))
+    met = materialise(held.select("id").distinct())
+    among = materialise(firsts.join(checked_broadcast(met, 8), "id", "left_semi").select("id", "doc", "at"))
+    discard(postings)
     near = checked_broadcast(materialise(among.select("doc").distinct()), 8)
-    sets = materialise(shingle_sets(read(texts.join(near, "doc", "left_semi"), among), size))
-    labels = linked_components(held, sets, percent)
+    lines = materialise(read(texts.join(near, "doc", "left_semi"), among).select("id", "line"), "zstd")
+
+    def item_rows(active: DataFrame) -> DataFrame:
+        return _shingles(lines.join(active, "id"), "id", "component", size=size).withColumnRenamed("h", "item").distinct()
+
+    outlined = materialise(outlines(lines, size))
+    labels = linked_components(held, outlined, percent, lambda pairs: similar_lines(pairs, lines, size, percent), item_rows)
 
     # Only lines that stand more than once or have a link can be removed.
     linked = labels.withColumnRenamed("node", "id")

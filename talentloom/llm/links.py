@@ -3,20 +3,23 @@
 DataFrame operations only. A key's members are never paired with each other all at
 once: each is first compared with one hub of the key, its most central member. What
 these links join needs no further comparison. Where a key still holds several
-components, the pairs across them that an exact bound leaves are compared at last, so
-that no link between components is lost.
+components, the pairs across them that exact bounds leave are compared at last, so
+that no link between components is lost. Bounds come from outlines of the sets, which are
+small; what decides, the sets or their texts, moves only for pairs that they leave.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from talentloom.llm.common import checked_broadcast
 from talentloom.session import materialise
 
+WORDS = 16  # longs of a bitmap
+
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable, for every node of (a, b) edges.
@@ -47,28 +50,50 @@ def components(edges: DataFrame) -> DataFrame:
     return labels
 
 
+def bitmap(item: Column, words: int = WORDS) -> list[Column]:
+    """Aggregates b0, b1, ...: a presence bitmap of the items of a group, in longs. An item
+    that comes twice sets the same bit again."""
+    word, bit = F.shiftrightunsigned(item, 6).bitwiseAND(F.lit(words - 1)), F.call_function("shiftleft", F.lit(1).cast("long"), item.bitwiseAND(F.lit(63)).cast("int"))
+    return [F.bit_or(F.when(word == w, bit).otherwise(F.lit(0))).alias(f"b{w}") for w in range(words)]
+
+
+def possible(percent: int, one: str = "_a", other: str = "_b", words: int = WORDS) -> Column:
+    """Whether two sets can have a Jaccard similarity of `percent` in a hundred, from bounds
+    low and high of their sizes and their bitmaps: each bit that differs is an item, at
+    least, that only one of them has. Never false for a pair that reaches it."""
+    low, high = (lambda side: F.col(f"low{side}")), (lambda side: F.col(f"high{side}"))
+    sizes = (high(one) * 100 >= low(other) * percent) & (high(other) * 100 >= low(one) * percent)
+    apart = sum(F.bit_count(F.col(f"bits{one}")[w].bitwiseXOR(F.col(f"bits{other}")[w])) for w in range(words))
+    return sizes & (apart * (100 + percent) <= (100 - percent) * (high(one) + high(other)))
+
+
+def sided(outlines: DataFrame, side: str) -> DataFrame:
+    return outlines.select(F.col("id").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("low", "high", "bits")])
+
+
+def possible_pairs(pairs: DataFrame, outlines: DataFrame, percent: int) -> DataFrame:
+    """The (a, b) pairs that the outlines (id, low, high, bits) of their sets do not exclude."""
+    return pairs.join(sided(outlines, "a"), "a").join(sided(outlines, "b"), ["b"]).where(possible(percent)).select("a", "b")
+
+
 def similar_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of the (a, b) pairs, those whose sets (id, size, items) have a Jaccard similarity
-    of at least `percent` in a hundred, exactly. Sizes alone exclude many pairs, so only
-    the items of the others are read and moved."""
-    n, m = (sets.select(F.col("id").alias(c), F.col("size").alias(f"size_{c}")) for c in ("a", "b"))
-    close = F.least("size_a", "size_b") * 100 >= F.greatest("size_a", "size_b") * percent
-    pairs = materialise(pairs.join(n, "a").join(m, "b").where(close))
+    of at least `percent` in a hundred, exactly."""
+    pairs = materialise(pairs)
     needed = checked_broadcast(materialise(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()), 8)
-    used = sets.select("id", "items").join(needed, "id", "left_semi")
-    one = used.select(F.col("id").alias("a"), F.col("items").alias("x"))
-    other = used.select(F.col("id").alias("b"), F.col("items").alias("y"))
+    used = sets.select("id", "size", "items").join(needed, "id", "left_semi")
+    one = used.select(F.col("id").alias("a"), F.col("items").alias("x"), F.col("size").alias("n"))
+    other = used.select(F.col("id").alias("b"), F.col("items").alias("y"), F.col("size").alias("m"))
     both = F.size(F.array_intersect("x", "y"))
-    sized = pairs.join(one, "a").join(other, "b").select("a", "b", "size_a", "size_b", both.alias("both"))
-    return sized.where(F.col("both") * (100 + percent) >= percent * (F.col("size_a") + F.col("size_b"))).select("a", "b")
+    sized = pairs.join(one, "a").join(other, "b").select("a", "b", "n", "m", both.alias("both"))
+    return sized.where(F.col("both") * (100 + percent) >= percent * (F.col("n") + F.col("m"))).select("a", "b")
 
 
-def shared_items(sets: DataFrame, active: DataFrame) -> DataFrame:
-    """(id, item, n): the items of active sets that n > 1 of them have."""
-    own = sets.join(checked_broadcast(active, 8), "id", "left_semi")
-    each = own.select("id", F.explode("items").alias("item"))
-    counts = each.groupBy("item").agg(F.count("*").alias("n")).where("n > 1")
-    return materialise(each.join(counts, "item").select("id", "item", "n"))
+def shared_items(rows: DataFrame) -> DataFrame:
+    """Of item rows (id, ..., item), those of items that n > 1 sets have, with n."""
+    rows = materialise(rows)
+    counts = rows.groupBy("item").agg(F.count("*").alias("n")).where("n > 1")
+    return materialise(rows.join(counts, "item"))
 
 
 def shared_postings(postings: DataFrame) -> DataFrame:
@@ -81,14 +106,21 @@ def shared_postings(postings: DataFrame) -> DataFrame:
 
 
 def linked_components(
-    held: DataFrame, sets: DataFrame, percent: int, confirm: Callable[[DataFrame], DataFrame] | None = None, large: int = 64
+    held: DataFrame,
+    outlines: DataFrame,
+    percent: int,
+    confirm: Callable[[DataFrame], DataFrame],
+    item_rows: Callable[[DataFrame], DataFrame],
+    large: int = 64,
 ) -> DataFrame:
-    """(node, component) under all links between sets (id, size, items) that share a key
-    of `held`, made by shared_postings. Ids without a link are left out.
-
-    A link is a pair with a Jaccard similarity of at least `percent` in a hundred that
-    `confirm`, a cheaper test put before, keeps. Pairs inside a component are not tried.
-    Up to `large` members, a key's pairs across components are simply taken. Above, a
+    """(node, component) under all links between sets that share a key of `held`, made by
+    shared_postings. Ids without a link are left out.
+
+    `outlines` (id, low, high, bits) bound the sizes of the sets and hold their bitmaps; ids
+    without one have no links. `confirm` keeps the links of (a, b) pairs that the outlines
+    leave, exactly; `item_rows` adds a row per distinct item to rows (id, component). Pairs
+    inside a component are not tried. Keys with the same members count once. Up to `large`
+    members, a key's pairs across components are taken if the outlines leave them. Above, a
     link either has an item that at most `large` sets share, by which it is found, or its
     intersection consists of more frequent items, whose number bounds it. No way misses a
     link.
@@ -97,7 +129,7 @@ def linked_components(
     best = stars.groupBy("b").agg(F.max(F.struct("keys", "a")).getField("a").alias("a"))
 
     def tested(pairs: DataFrame) -> DataFrame:
-        return materialise(similar_pairs(confirm(pairs) if confirm else pairs, sets, percent))
+        return materialise(confirm(possible_pairs(pairs, outlines, percent)))
 
     links = tested(best.select("a", "b"))
     labels = components(links)
@@ -107,37 +139,36 @@ def linked_components(
         links = links.unionByName(more)
         labels = components(links)
 
-    def split(members: DataFrame) -> DataFrame:
-        """Members of keys that hold several components."""
-        several = members.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1")
-        return members.join(several.select("key"), "key", "left_semi")
-
-    # Pairs with the hub have been tried; what is left needs two others.
+    # Pairs with the hub have been tried; what is left needs two others, in two components.
     rest = held.where("n > 2 AND id <> hub").select("key", "id", "n")
-    active = split(with_component(rest, labels, "id", "component"))
-    active = materialise(active.join(sets.select("id", "size"), "id"))
-    small = active.where(F.col("n") <= large).select("key", "id", "component", "size", F.col("size").alias("common"))
+    active = materialise(with_component(rest, labels, "id", "component"))
+    members = [F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("s"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("x")]
+    several = active.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("k"), *members)
+    keys = several.where("c0 < c1").groupBy("k", "s", "x").agg(F.min("key").alias("key")).select("key")
+    active = materialise(active.join(materialise(keys), "key", "left_semi"))
+    outlined = materialise(outlines.join(materialise(active.select("id").distinct()), "id", "left_semi"))
+    small = active.where(F.col("n") <= large).select("key", "id", "component")
     big = active.where(F.col("n") > large)
-    rare = None
+    found = None
     if not big.isEmpty():
         placed = materialise(big.select("id", "component").distinct())
-        items = shared_items(sets, placed.select("id"))
-        own = items.where(F.col("n") <= large).join(placed, "id")
+        items = shared_items(item_rows(placed))
+        own = items.where(F.col("n") <= large)
         one = own.select("item", F.col("id").alias("a"), F.col("component").alias("ca"))
         other = own.select("item", F.col("id").alias("b"), F.col("component").alias("cb"))
-        rare = one.join(other, "item").where("ca < cb").select("a", "b").distinct()
+        found = one.join(other, "item").where("ca < cb").select("a", "b").distinct()
         frequent = items.where(F.col("n") > large).groupBy("id").agg(F.count("*").alias("common"))
-        sized = big.join(materialise(frequent), "id")
-        least = sized.groupBy("key").agg(F.min("size").alias("least"))
-        possible = sized.join(least, "key").where(f"common * {100 + percent} >= {percent} * (size + least)")
-        small = small.unionByName(split(possible.select("key", "id", "component", "size", "common")))
-    alive = materialise(small)
-    one = alive.select("key", *[F.col(c).alias(f"{c}_a") for c in ("id", "component", "size", "common")])
-    other = alive.select("key", *[F.col(c).alias(f"{c}_b") for c in ("id", "component", "size", "common")])
-    bound = F.least("common_a", "common_b") * (100 + percent) >= percent * (F.col("size_a") + F.col("size_b"))
-    pairs = one.join(other, (one["key"] == other["key"]) & (F.col("component_a") < F.col("component_b")) & bound)
+        sized = big.join(materialise(frequent.join(outlined.select("id", "low"), "id")), "id")
+        least = sized.groupBy("key").agg(F.min("low").alias("least"))
+        left = sized.join(least, "key").where(f"common * {100 + percent} >= {percent} * (low + least)")
+        small = small.unionByName(left.select("key", "id", "component"))
+    alive = materialise(small.join(outlined, "id"))
+    one, other = (alive.select("key", *[F.col(c).alias(f"{c}_{side}") for c in ("id", "component", "low", "high", "bits")]) for side in ("a", "b"))
+    pairs = one.join(other, (one["key"] == other["key"]) & (F.col("component_a") < F.col("component_b")) & possible(percent))
     pairs = pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
-    more = tested(pairs if rare is None else pairs.unionByName(rare).distinct())
+    more = materialise(confirm(pairs))
+    if found is not None:
+        more = more.unionByName(tested(found))
     return labels if more.isEmpty() else components(links.unionByName(more))
 
 

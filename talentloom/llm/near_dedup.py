@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from talentloom.llm.common import checked_broadcast, lower_words, own_columns, per_row, utf8
-from talentloom.llm.links import linked_components, shared_postings
+from talentloom.llm.links import WORDS, linked_components, shared_postings, similar_pairs
 from talentloom.session import materialise
 
 COORDINATES = 64
@@ -103,15 +103,22 @@ def signed(docs: DataFrame, size: int = 5, coordinates: int = COORDINATES) -> Da
     return docs.mapInArrow(per_row(start, schema), "doc_id long, n_shingles long, high long, low long, keys array<long>")
 
 
-def item_sets(docs: DataFrame, size: int = 5) -> DataFrame:
-    """(id, items): the full shingle set of each document."""
-    schema = pa.schema([("id", pa.int64()), ("items", pa.list_(pa.int64()))])
+def item_sets(docs: DataFrame, size: int = 5, words: int = WORDS) -> DataFrame:
+    """(id, items, bits): the full shingle set of each document and its bitmap."""
+    longs = pa.list_(pa.int64())
+    schema = pa.schema([("id", pa.int64()), ("items", longs), ("bits", longs)])
 
     def start():
         shingler = Shingler(size)
-        return lambda key, text: (key, shingler.shingles(text).view(np.int64))
 
-    return docs.mapInArrow(per_row(start, schema, flush=500), "id long, items array<long>")
+        def handle(key, text):
+            items, bits = shingler.shingles(text), np.zeros(words, np.uint64)
+            np.bitwise_or.at(bits, ((items >> np.uint64(6)) & np.uint64(words - 1)).astype(int), np.uint64(1) << (items & np.uint64(63)))
+            return key, items.view(np.int64), bits.view(np.int64)
+
+        return handle
+
+    return docs.mapInArrow(per_row(start, schema, flush=500), "id long, items array<long>, bits array<long>")
 
 
 def prefix_postings(classes: DataFrame, coordinates: int, least: int) -> DataFrame:
@@ -153,7 +160,11 @@ def near_duplicates(
         other = signs.select(F.col("id").alias("b"), F.col("keys").alias("y"))
         return pairs.join(one, "a").join(other, "b").where(F.size(F.array_intersect("x", "y")) >= least).select("a", "b")
 
-    labels = linked_components(held, sets, percent, agree)
+    def item_rows(active: DataFrame) -> DataFrame:
+        return sets.join(active, "id").select("id", "component", F.explode("items").alias("item"))
+
+    outlined = sets.select("id", F.col("size").alias("low"), F.col("size").alias("high"), "bits")
+    labels = linked_components(held, outlined, percent, lambda pairs: similar_pairs(agree(pairs), sets, percent), item_rows)
     # By set: the smallest document of the component; a class is named by its smallest.
     found = labels.select(F.col("node").alias("class"), "component")
     whole = classes.join(found, "class", "left").select("high", "low", F.coalesce("component", "class").alias("component"))

@@ -6,7 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from talentloom.llm import links, near_dedup
+from talentloom.llm import line_dedup, links, near_dedup
 from tests.llm.cases import documents, edited, empty, prose, texts
 
 
@@ -54,9 +54,17 @@ def test_bound_drops_only_what_has_no_partner(spark):
     source = random.Random(2)
     sets = {i: sorted(source.sample(range(40), 30)) for i in range(60)}
     frame = spark.createDataFrame([(i, len(s), s) for i, s in sets.items()], "id long, size int, items array<long>")
-    held = links.shared_postings(frame.select(F.lit(1).alias("key"), "id", F.lit(0).alias("rank")))
+    # Keys 1 and 2 have the same members, key 3 half of them.
+    keys = F.explode(F.when(F.col("id") < 30, F.array(*map(F.lit, (1, 2, 3)))).otherwise(F.array(F.lit(1), F.lit(2))))
+    held = links.shared_postings(frame.select(keys.alias("key"), "id", F.lit(0).alias("rank")))
+    bits = frame.select("id", F.explode("items").alias("item")).groupBy("id").agg(*links.bitmap(F.col("item")))
+    outlines = frame.join(bits, "id").select("id", F.col("size").alias("low"), F.col("size").alias("high"), F.array(*[f"b{w}" for w in range(links.WORDS)]).alias("bits"))
+
+    def item_rows(active):
+        return frame.join(active, "id").select("id", "component", F.explode("items").alias("item"))
+
     for large in (2, 1000):
-        found = links.linked_components(held, frame, 75, large=large)
+        found = links.linked_components(held, outlines, 75, lambda pairs: links.similar_pairs(pairs, frame, 75), item_rows, large)
         got = {r.node: r.component for r in found.collect()}
         parent = {i: i for i in sets}
 
@@ -72,6 +80,24 @@ def test_bound_drops_only_what_has_no_partner(spark):
         assert {i: got.get(i, i) for i in sets} == {i: root(i) for i in sets}
 
 
+def test_outlines_never_exclude_a_link(spark):
+    """Lines at and around the bound, lines that repeat themselves, and short ones."""
+    source = random.Random(5)
+    base = "".join(source.choice("abcdefgh ") for _ in range(300))
+    lines = [base[:n] + "".join(source.choice("xyz") for _ in range(m)) for n in (40, 150, 260, 300) for m in (0, 5, 20, 60)]
+    lines += ["same words again " * n for n in (2, 3, 9, 40)] + ["short", "", "exactly 12 c"]
+    frame = spark.createDataFrame(list(enumerate(lines)), "id long, line string")
+    pairs = spark.createDataFrame(list(itertools.combinations(range(len(lines)), 2)), "a long, b long")
+    outlines = line_dedup.outlines(frame)
+    left = {tuple(r) for r in links.possible_pairs(pairs, outlines, 75).collect()}
+    found = {tuple(r) for r in line_dedup.similar_lines(pairs, frame).collect()}
+    sets = [{line[k : k + 12] for k in range(len(line) - 11)} for line in lines]
+    want = {(a, b) for a, b in itertools.combinations(range(len(lines)), 2) if sets[a] | sets[b] and 4 * len(sets[a] & sets[b]) >= 3 * len(sets[a] | sets[b])}
+    assert found == want and want <= left and len(left) < pairs.count() / 2
+    for r in outlines.collect():
+        assert r.low <= len(sets[r.id]) <= r.high
+
+
 def test_components_of_a_long_chain(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)], "a long, b long")
     got = {r.node: r.component for r in links.components(chain).collect()}
