@@ -57,14 +57,20 @@ def bitmap(item: Column, words: int = WORDS) -> list[Column]:
     return [F.bit_or(F.when(word == w, bit).otherwise(F.lit(0))).alias(f"b{w}") for w in range(words)]
 
 
+def distance(one: str = "_a", other: str = "_b", words: int = WORDS) -> Column:
+    """A lower bound of the items that only one of two sets has, as a share of their sizes:
+    each bit that differs in their bitmaps stands for one, at least."""
+    apart = sum(F.bit_count(F.col(f"bits{one}")[w].bitwiseXOR(F.col(f"bits{other}")[w])) for w in range(words))
+    return apart / (F.col(f"high{one}") + F.col(f"high{other}"))
+
+
 def possible(percent: int, one: str = "_a", other: str = "_b", words: int = WORDS) -> Column:
     """Whether two sets can have a Jaccard similarity of `percent` in a hundred, from bounds
-    low and high of their sizes and their bitmaps: each bit that differs is an item, at
-    least, that only one of them has. Never false for a pair that reaches it."""
+    low and high of their sizes and from their bitmaps. Never false for a pair that reaches
+    it: the margin is far above the rounding of the quotient."""
     low, high = (lambda side: F.col(f"low{side}")), (lambda side: F.col(f"high{side}"))
     sizes = (high(one) * 100 >= low(other) * percent) & (high(other) * 100 >= low(one) * percent)
-    apart = sum(F.bit_count(F.col(f"bits{one}")[w].bitwiseXOR(F.col(f"bits{other}")[w])) for w in range(words))
-    return sizes & (apart * (100 + percent) <= (100 - percent) * (high(one) + high(other)))
+    return sizes & (distance(one, other, words) <= (100 - percent) / (100 + percent) + 1e-9)
 
 
 def sided(outlines: DataFrame, side: str) -> DataFrame:
@@ -72,8 +78,16 @@ def sided(outlines: DataFrame, side: str) -> DataFrame:
 
 
 def possible_pairs(pairs: DataFrame, outlines: DataFrame, percent: int) -> DataFrame:
-    """The (a, b) pairs that the outlines (id, low, high, bits) of their sets do not exclude."""
-    return pairs.join(sided(outlines, "a"), "a").join(sided(outlines, "b"), ["b"]).where(possible(percent)).select("a", "b")
+    """The (a, b) pairs that the outlines (id, low, high, bits) of their sets do not exclude,
+    with the distance these show."""
+    met = pairs.join(sided(outlines, "a"), "a").join(sided(outlines, "b"), "b")
+    return met.where(possible(percent)).select("a", "b", distance().alias("distance"))
+
+
+def nearest(pairs: DataFrame) -> DataFrame:
+    """Of (a, b, distance) pairs, the nearest one of every end."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("end"), "distance", "a", "b")
+    return ends.groupBy("end").agg(F.min(F.struct("distance", "a", "b")).alias("pair")).select("pair.a", "pair.b").distinct()
 
 
 def similar_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -120,7 +134,8 @@ def linked_components(
     without one have no links. `confirm` keeps the links of (a, b) pairs that the outlines
     leave, exactly; `item_rows` adds a row per distinct item to rows (id, component). Pairs
     inside a component are not tried. Keys with the same members count once. Up to `large`
-    members, a key's pairs across components are taken if the outlines leave them. Above, a
+    members, a key's pairs across components are taken if the outlines leave them, the nearest
+    ones first. Above, a
     link either has an item that at most `large` sets share, by which it is found, or its
     intersection consists of more frequent items, whose number bounds it. No way misses a
     link.
@@ -129,7 +144,7 @@ def linked_components(
     best = stars.groupBy("b").agg(F.max(F.struct("keys", "a")).getField("a").alias("a"))
 
     def tested(pairs: DataFrame) -> DataFrame:
-        return materialise(confirm(possible_pairs(pairs, outlines, percent)))
+        return materialise(confirm(possible_pairs(pairs, outlines, percent).select("a", "b")))
 
     links = tested(best.select("a", "b"))
     labels = components(links)
@@ -164,12 +179,24 @@ def linked_components(
         small = small.unionByName(left.select("key", "id", "component"))
     alive = materialise(small.join(outlined, "id"))
     one, other = (alive.select("key", *[F.col(c).alias(f"{c}_{side}") for c in ("id", "component", "low", "high", "bits")]) for side in ("a", "b"))
-    pairs = one.join(other, (one["key"] == other["key"]) & (F.col("component_a") < F.col("component_b")) & possible(percent))
-    pairs = pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
-    more = materialise(confirm(pairs))
+    met = one.join(other, (one["key"] == other["key"]) & (F.col("component_a") < F.col("component_b")) & possible(percent))
+    pairs = met.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), distance().alias("distance"))
     if found is not None:
-        more = more.unionByName(tested(found))
-    return labels if more.isEmpty() else components(links.unionByName(more))
+        pairs = pairs.unionByName(possible_pairs(found, outlined, percent))
+    pairs = materialise(pairs.distinct())
+    # What the nearest pairs connect leaves few of the others across components.
+    for turn in range(3):
+        if pairs.isEmpty():
+            break
+        picked = pairs.select("a", "b") if turn == 2 else materialise(nearest(pairs))
+        more = materialise(confirm(picked))
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            labels = components(links)
+        if turn < 2:
+            ends = with_component(with_component(pairs.join(picked, ["a", "b"], "left_anti"), labels, "a", "ca"), labels, "b", "cb")
+            pairs = materialise(ends.where("ca <> cb").select("a", "b", "distance"))
+    return labels
 
 
 def with_component(df: DataFrame, labels: DataFrame, column: str, name: str) -> DataFrame:

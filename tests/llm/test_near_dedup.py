@@ -89,7 +89,7 @@ def test_outlines_never_exclude_a_link(spark):
     frame = spark.createDataFrame(list(enumerate(lines)), "id long, line string")
     pairs = spark.createDataFrame(list(itertools.combinations(range(len(lines)), 2)), "a long, b long")
     outlines = line_dedup.outlines(frame)
-    left = {tuple(r) for r in links.possible_pairs(pairs, outlines, 75).collect()}
+    left = {(r.a, r.b) for r in links.possible_pairs(pairs, outlines, 75).collect()}
     found = {tuple(r) for r in line_dedup.similar_lines(pairs, frame).collect()}
     sets = [{line[k : k + 12] for k in range(len(line) - 11)} for line in lines]
     want = {(a, b) for a, b in itertools.combinations(range(len(lines)), 2) if sets[a] | sets[b] and 4 * len(sets[a] & sets[b]) >= 3 * len(sets[a] | sets[b])}
