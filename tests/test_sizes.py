@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from talentloom.session import FILE_FACTOR
-from talentloom.sources.tables import Tables
+from talentloom.plans.queries_cleaning import clean_records
+from talentloom.sources.tables import Tables, record_json
 
 
 @pytest.fixture
@@ -35,3 +36,16 @@ def test_a_factor_set_by_the_submitter_stays(spark, folder):
         assert spark.conf.get(FILE_FACTOR) == "4.0"
     finally:
         spark.conf.unset(FILE_FACTOR)
+
+
+def test_records_are_dealt_out_by_rows_and_parsed_before_any_filter(spark, tmp_path):
+    rows = [(i, f"n{i}", i % 25, "BUILDING") for i in range(200)]
+    spark.createDataFrame(rows, "c_custkey long, c_name string, c_nationkey int, c_mktsegment string").coalesce(1).write.parquet(
+        f"{tmp_path}/customer.parquet"
+    )
+    t = Tables(spark, str(tmp_path))
+    assert record_json(t).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    records = clean_records(t)
+    plan = records._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Filter" in line.split("(")[0] and "parseJson" in line]
+    assert records.count() == 192
