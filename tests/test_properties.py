@@ -93,3 +93,10 @@ def test_rewrites_and_filling(spark):
         assert variants.filled(base, "name", 2, 43, digits).count() == 2
         assert variants.filled(base, "name", 0, 43, digits).count() == 0
     assert variants.filled(base.limit(0), "name", 5).count() == 0
+
+
+def test_changed_plans_share_what_does_not_derive_from_the_change(small, spark):
+    assert all(f(small).pairs is small.pairs for f in (properties.reordered_requirements, properties.overlapping_spells, properties.listed_stacks))
+    assert properties.overlapping_spells(small).index is small.index
+    properties.broken(small, held(spark))
+    assert any("talentloom-" in file for file in small.sums.inputFiles())  # written once, read by three checks
