@@ -86,3 +86,11 @@ def test_pair_statistics_cover_all_pairs(spark):
         assert abs(got.within_mean - np.mean(within)) < 2e-6 and abs(got.cross_mean - np.mean(cross)) < 2e-6
     empty = metrics.pair_statistics(units.limit(0), "vec_id", "label").first()
     assert empty.cross_max is None and empty.above == 0
+
+
+def test_pairs_are_cut_into_no_more_blocks_than_tasks_and_memory_ask_for():
+    assert metrics.pair_blocks(2_000, 64, 200, 4096) == 1
+    assert metrics.pair_blocks(40_000, 64, 200, 4096) == 10
+    assert metrics.pair_blocks(650_000, 64, 200, 4096) == 20  # 159 blocks of 4096 send eight times as much
+    assert metrics.pair_blocks(650_000, 8_192, 200, 4096) == 159
+    assert metrics.pair_blocks(0, 0, 200, 4096) == 1
