@@ -1,9 +1,12 @@
 """Joins between tables that grow do not gather one of them on the driver."""
 
+import time
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
-from talentloom.session import FILE_FACTOR
+from talentloom.session import CLEANUP, FILE_FACTOR, materialise
 from talentloom.plans.queries_cleaning import clean_records
 from talentloom.sources.tables import Tables, record_json
 
@@ -49,3 +52,21 @@ def test_records_are_dealt_out_by_rows_and_parsed_before_any_filter(spark, tmp_p
     plan = records._jdf.queryExecution().optimizedPlan().toString()
     assert not [line for line in plan.splitlines() if "Filter" in line.split("(")[0] and "parseJson" in line]
     assert records.count() == 192
+
+
+def shuffle_files(spark):
+    folders = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    return {file.name for folder in folders for file in Path(folder).rglob("shuffle_*.data")}
+
+
+def test_a_written_table_leaves_no_shuffle_files(spark):
+    numbers = spark.range(20_000).select("id", (F.col("id") % 1000).alias("k"))
+    sums = numbers.join(numbers.groupBy("k").agg(F.sum("id").alias("s")).hint("merge"), "k")
+    kept, setting = shuffle_files(spark), spark.conf.get(CLEANUP)
+    written = materialise(sums)
+    deadline = time.time() + 20
+    while shuffle_files(spark) - kept and time.time() < deadline:
+        time.sleep(0.2)
+    assert not shuffle_files(spark) - kept
+    assert spark.conf.get(CLEANUP) == setting
+    assert written.count() == sums.count() == 20_000
