@@ -6,7 +6,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from talentloom.session import CLEANUP, FILE_FACTOR, materialise
+from talentloom.session import ADAPTIVE, CLEANUP, FILE_FACTOR, STATIC, broadcast_by_rows, materialise
 from talentloom.plans.queries_cleaning import clean_records
 from talentloom.sources.tables import Tables, record_json
 
@@ -70,3 +70,31 @@ def test_a_written_table_leaves_no_shuffle_files(spark):
     assert not shuffle_files(spark) - kept
     assert spark.conf.get(CLEANUP) == setting
     assert written.count() == sums.count() == 20_000
+
+
+def test_adaptive_execution_broadcasts_only_what_is_small_in_memory(spark):
+    numbers = spark.range(2_000_000).where("id % 20 = 0")  # Spark expects all of them to pass
+    rows = numbers.select((F.col("id") % 1_000_000).alias("k"), "id")
+    few = rows.where("k % 200 = 0")
+    spark.conf.unset(ADAPTIVE), broadcast_by_rows(spark)
+    spark.conf.set(STATIC, "10MB")
+    try:
+        for right, gathered in ((rows, False), (few, True)):
+            counts = right.groupBy("k").agg(F.max("id").alias("most"))
+            met = rows.join(counts, "k")
+            assert "BroadcastHashJoin" not in planned(met)
+            met.collect()
+            final = met._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+            assert ("BroadcastHashJoin" in final) == gathered
+    finally:
+        spark.conf.unset(ADAPTIVE), spark.conf.unset(STATIC)
+
+
+@pytest.mark.parametrize("own", [(STATIC, "256k"), (ADAPTIVE, "4MB"), (STATIC, "-1")])
+def test_a_threshold_set_by_the_submitter_stays(spark, own):
+    spark.conf.unset(ADAPTIVE), spark.conf.set(*own)
+    try:
+        broadcast_by_rows(spark)
+        assert spark.conf.get(ADAPTIVE, None) == (own[1] if own[0] == ADAPTIVE else None)
+    finally:
+        spark.conf.unset(ADAPTIVE), spark.conf.unset(STATIC)
