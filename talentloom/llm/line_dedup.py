@@ -64,18 +64,26 @@ def outlines(lines: DataFrame, size: int = SHINGLE) -> DataFrame:
     return bits.select("id", sum(F.bit_count(F.col("bits")[w]) for w in range(WORDS)).cast("long").alias("low"), "high", "bits")
 
 
+def _shingle_set(line: str, size: int) -> Column:
+    """The distinct shingle hashes of a line, as an array; the same hashes as _shingles has."""
+    units = F.encode(line, "UTF-16BE")  # two bytes a character
+    last = (F.octet_length(units) / 2 - size).cast("int")
+    of = lambda held: F.transform(F.sequence(F.lit(0), held["last"]), lambda at: F.xxhash64(F.substring(held["units"], 2 * at + 1, F.lit(2 * size))))
+    once = F.array(F.struct(units.alias("units"), last.alias("last")))  # held, so that a line is encoded once
+    return F.array_distinct(F.when(last >= 0, F.transform(once, of)[0]).otherwise(F.array().cast("array<bigint>")))
+
+
 def similar_lines(pairs: DataFrame, lines: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Of the (a, b) pairs of line ids, those whose shingle sets have a Jaccard similarity of
-    at least `percent` in a hundred. The lines move, not their shingles, which are counted
-    where the pair is."""
+    at least `percent` in a hundred. The lines move, not their shingles, whose sets are made
+    and compared in the row of the pair."""
     pairs = materialise(pairs)
     one = pairs.join(lines.withColumnRenamed("id", "a"), "a").withColumnRenamed("line", "first")
     both = one.join(lines.withColumnRenamed("id", "b"), "b")
-    sides = F.explode(F.array(*[F.struct(F.lit(side).alias("side"), F.col(c).alias("line")) for side, c in ((1, "first"), (2, "line"))]))
-    each = _shingles(both.select("a", "b", sides.alias("s")).select("a", "b", "s.*"), "a", "b", "side", size=size)
-    items = each.groupBy("a", "b", "h").agg(F.bit_or("side").alias("sides"))
-    counts = items.groupBy("a", "b").agg(F.count("*").alias("n"), F.count_if(F.col("sides") == 3).alias("both"))
-    return counts.where(F.col("both") * 100 >= percent * F.col("n")).select("a", "b")
+    sets = F.array(F.struct(_shingle_set("first", size).alias("x"), _shingle_set("line", size).alias("y")))
+    counts = F.transform(sets, lambda s: F.struct(F.size(F.array_intersect(s["x"], s["y"])).alias("both"), (F.size(s["x"]) + F.size(s["y"])).alias("sizes")))
+    near = F.exists(counts, lambda n: (n["sizes"] > 0) & (n["both"].cast("long") * (100 + percent) >= percent * n["sizes"].cast("long")))
+    return both.where(near).select("a", "b")
 
 
 def line_places(own: DataFrame) -> DataFrame:

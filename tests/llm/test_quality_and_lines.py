@@ -109,3 +109,20 @@ def test_lines_that_repeat_themselves_meet(spark):
     want = brute_lines(rows)
     assert got == {i: want[(i, line)] for i, line in rows}
     assert all(got[2 * i] == pair[0] and got[2 * i + 1] == "" for i, pair in enumerate(pairs))
+
+
+def test_similar_lines_compares_sets_in_the_row_of_the_pair(spark):
+    texts = ["", "short", "a" * 12, "a" * 40, "the quick brown fox jumps over", "the quick brown fox jumps over x", "é😀" * 9 + "the tail", "é😀" * 9 + "the tails"]
+    lines = spark.createDataFrame(list(enumerate(texts)), "id long, line string")
+    pairs = [(a, b) for a in range(len(texts)) for b in range(a + 1, len(texts))]
+    met = line_dedup.similar_lines(spark.createDataFrame(pairs, "a long, b long"), lines)
+
+    def shingles(text):
+        units = text.encode("utf-16-be")
+        return {units[i : i + 24] for i in range(0, len(units) - 23, 2)}
+
+    sets = [shingles(text) for text in texts]
+    expected = {(a, b) for a, b in pairs if sets[a] | sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+    assert {tuple(row) for row in met.collect()} == expected and {(2, 3), (4, 5), (6, 7)} <= expected
+    plan = met._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "Aggregate" not in plan
