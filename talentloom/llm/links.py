@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from talentloom.llm.common import checked_broadcast
@@ -104,10 +104,21 @@ def similar_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def shared_items(rows: DataFrame) -> DataFrame:
-    """Of item rows (id, ..., item), those of items that n > 1 sets have, with n."""
+    """Of item rows (id, ..., item), those of items that n > 1 sets have, with n and the
+    size of the set."""
     rows = materialise(rows)
     counts = rows.groupBy("item").agg(F.count("*").alias("n")).where("n > 1")
-    return materialise(rows.join(counts, "item"))
+    sizes = rows.groupBy("id").agg(F.count("*").alias("size"))
+    return materialise(rows.join(counts, "item").join(sizes, "id"))
+
+
+def rarest_items(items: DataFrame, percent: int) -> DataFrame:
+    """Of shared item rows, those that can be the rarest common item of a set with another
+    that is similar by `percent` in a hundred: so many of its shared items must be common
+    that the rarest of them cannot come later."""
+    mine = Window.partitionBy("id")
+    ranked = items.withColumn("_at", F.row_number().over(mine.orderBy("n", "item"))).withColumn("_held", F.count("*").over(mine))
+    return ranked.where((F.col("_held") - F.col("_at") + 1) * 100 >= F.col("size") * percent).drop("_at", "_held")
 
 
 def shared_postings(postings: DataFrame) -> DataFrame:
@@ -136,8 +147,8 @@ def linked_components(
     inside a component are not tried. Keys with the same members count once. Up to `large`
     members, a key's pairs across components are taken if the outlines leave them, the nearest
     ones first. Above, a
-    link either has an item that at most `large` sets share, by which it is found, or its
-    intersection consists of more frequent items, whose number bounds it. No way misses a
+    link either has an item that at most `large` sets share, by the rarest of which it is
+    found, or its intersection consists of more frequent items, whose number bounds it. No way misses a
     link.
     """
     stars = materialise(held.where("id <> hub").groupBy(F.col("hub").alias("a"), F.col("id").alias("b")).agg(F.count("*").alias("keys")))
@@ -168,7 +179,7 @@ def linked_components(
     if not big.isEmpty():
         placed = materialise(big.select("id", "component").distinct())
         items = shared_items(item_rows(placed))
-        own = items.where(F.col("n") <= large)
+        own = materialise(rarest_items(items, percent).where(F.col("n") <= large))
         one = own.select("item", F.col("id").alias("a"), F.col("component").alias("ca"))
         other = own.select("item", F.col("id").alias("b"), F.col("component").alias("cb"))
         found = one.join(other, "item").where("ca < cb").select("a", "b").distinct()

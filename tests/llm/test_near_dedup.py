@@ -121,3 +121,18 @@ def test_pipeline_keeps_documents_without_an_id(spark):
     mixed = corpus_pipeline.mixing_stage(spark, got, "").select("text").distinct().count()
     assert mixed == len({t for _, t in kept})
     assert corpus_pipeline.near_stage(spark, empty(spark), "").count() == 0
+
+
+def test_rarest_items_hold_the_rarest_common_item_of_every_link(spark):
+    base = list(range(100))
+    sets = [set(base[: 60 + k]) | {1000 * k + j for j in range(k % 4)} for k in range(12)]
+    sets += [set(base[k : k + 40]) for k in range(0, 50, 7)]
+    rows = spark.createDataFrame([(i, item) for i, items in enumerate(sets) for item in items], "id long, item long")
+    shared = links.shared_items(rows)
+    rare = links.rarest_items(shared, 75)
+    one, other = rare.select("item", F.col("id").alias("a")), rare.select("item", F.col("id").alias("b"))
+    met = {tuple(r) for r in one.join(other, "item").where("a < b").select("a", "b").distinct().collect()}
+    pairs = [(a, b) for b in range(len(sets)) for a in range(b)]
+    alike = {(a, b) for a, b in pairs if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+    assert alike and alike <= met
+    assert rare.count() * 2 < shared.count()
