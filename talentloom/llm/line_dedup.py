@@ -21,7 +21,7 @@ import random
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from talentloom.llm.common import checked_broadcast
+from talentloom.llm.common import checked_broadcast, width
 from talentloom.llm.links import WORDS, bitmap, linked_components, shared_postings
 from talentloom.session import discard, materialise
 
@@ -57,11 +57,11 @@ def band_postings(lines: DataFrame, size: int = SHINGLE, bands: int = BANDS, row
 
 
 def outlines(lines: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """(id, low, high, bits): bounds of the number of distinct shingles of each line (id,
-    line), and their bitmap; lines shorter than a shingle have none."""
-    each = _shingles(lines, "id", size=size).groupBy("id").agg(F.count("*").alias("high"), *bitmap(F.col("h")))
-    bits = each.select("id", "high", F.array(*[f"b{w}" for w in range(WORDS)]).alias("bits"))
-    return bits.select("id", sum(F.bit_count(F.col("bits")[w]) for w in range(WORDS)).cast("long").alias("low"), "high", "bits")
+    """(id, low, high, bits): the number of distinct shingles of each line (id, line), as both
+    bounds, and their bitmap; lines shorter than a shingle have none."""
+    items = lines.select("id", F.explode(_shingle_set("line", size)).alias("h"))
+    each = items.groupBy("id").agg(F.count("*").alias("low"), *bitmap(F.col("h")))
+    return each.select("id", "low", F.col("low").alias("high"), F.array(*[f"b{w}" for w in range(WORDS)]).alias("bits"))
 
 
 def _shingle_set(line: str, size: int) -> Column:
@@ -119,7 +119,9 @@ def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     lines = materialise(read(texts.join(near, "doc", "left_semi"), among).select("id", "line"), "zstd")
 
     def item_rows(active: DataFrame) -> DataFrame:
-        return _shingles(lines.join(active, "id"), "id", "component", size=size).withColumnRenamed("h", "item").distinct()
+        held = lines.join(active, "id").repartition(width(lines), "id")  # dealt evenly, as a row gives many
+        sets = held.select("id", "component", _shingle_set("line", size).alias("items"))
+        return sets.select("id", "component", F.size("items").alias("size"), F.explode("items").alias("item"))
 
     outlined = materialise(outlines(lines, size))
     labels = linked_components(held, outlined, percent, lambda pairs: similar_lines(pairs, lines, size, percent), item_rows)

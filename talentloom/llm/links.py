@@ -51,15 +51,17 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def bitmap(item: Column, words: int = WORDS) -> list[Column]:
-    """Aggregates b0, b1, ...: a presence bitmap of the items of a group, in longs. An item
-    that comes twice sets the same bit again."""
+    """Aggregates b0, b1, ...: a parity bitmap of the distinct items of a group, in longs. Each
+    item turns its bit over, so that of two groups only what one of them has alone shows, however
+    full the bitmaps are. An item must not come twice."""
     word, bit = F.shiftrightunsigned(item, 6).bitwiseAND(F.lit(words - 1)), F.call_function("shiftleft", F.lit(1).cast("long"), item.bitwiseAND(F.lit(63)).cast("int"))
-    return [F.bit_or(F.when(word == w, bit).otherwise(F.lit(0))).alias(f"b{w}") for w in range(words)]
+    return [F.bit_xor(F.when(word == w, bit).otherwise(F.lit(0))).alias(f"b{w}") for w in range(words)]
 
 
 def distance(one: str = "_a", other: str = "_b", words: int = WORDS) -> Column:
     """A lower bound of the items that only one of two sets has, as a share of their sizes:
-    each bit that differs in their bitmaps stands for one, at least."""
+    items that both have turn over the same bits in both, so each bit that differs in their
+    parity bitmaps stands for one that they do not share, at least."""
     apart = sum(F.bit_count(F.col(f"bits{one}")[w].bitwiseXOR(F.col(f"bits{other}")[w])) for w in range(words))
     return apart / (F.col(f"high{one}") + F.col(f"high{other}"))
 
@@ -105,11 +107,13 @@ def similar_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def shared_items(rows: DataFrame) -> DataFrame:
     """Of item rows (id, ..., item), those of items that n > 1 sets have, with n and the
-    size of the set."""
+    size of the set, which is counted if the rows do not bring it."""
     rows = materialise(rows)
     counts = rows.groupBy("item").agg(F.count("*").alias("n")).where("n > 1")
-    sizes = rows.groupBy("id").agg(F.count("*").alias("size"))
-    return materialise(rows.join(counts, "item").join(sizes, "id"))
+    shared = rows.join(counts, "item")
+    if "size" not in rows.columns:
+        shared = shared.join(rows.groupBy("id").agg(F.count("*").alias("size")), "id")
+    return materialise(shared)
 
 
 def rarest_items(items: DataFrame, percent: int) -> DataFrame:
@@ -143,8 +147,8 @@ def linked_components(
 
     `outlines` (id, low, high, bits) bound the sizes of the sets and hold their bitmaps; ids
     without one have no links. `confirm` keeps the links of (a, b) pairs that the outlines
-    leave, exactly; `item_rows` adds a row per distinct item to rows (id, component). Pairs
-    inside a component are not tried. Keys with the same members count once. Up to `large`
+    leave, exactly; `item_rows` makes a row per distinct item of rows (id, component), and may add
+    the size of the set. Pairs inside a component are not tried. Keys with the same members count once. Up to `large`
     members, a key's pairs across components are taken if the outlines leave them, the nearest
     ones first. Above, a
     link either has an item that at most `large` sets share, by the rarest of which it is

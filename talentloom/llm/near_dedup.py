@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talentloom.llm.common import checked_broadcast, lower_words, own_columns, per_row, utf8
+from talentloom.llm.common import checked_broadcast, lower_words, own_columns, per_row, utf8, width
 from talentloom.llm.links import WORDS, linked_components, shared_postings, similar_pairs
 from talentloom.session import materialise
 
@@ -104,7 +104,7 @@ def signed(docs: DataFrame, size: int = 5, coordinates: int = COORDINATES) -> Da
 
 
 def item_sets(docs: DataFrame, size: int = 5, words: int = WORDS) -> DataFrame:
-    """(id, items, bits): the full shingle set of each document and its bitmap."""
+    """(id, items, bits): the full shingle set of each document and its parity bitmap."""
     longs = pa.list_(pa.int64())
     schema = pa.schema([("id", pa.int64()), ("items", longs), ("bits", longs)])
 
@@ -113,7 +113,7 @@ def item_sets(docs: DataFrame, size: int = 5, words: int = WORDS) -> DataFrame:
 
         def handle(key, text):
             items, bits = shingler.shingles(text), np.zeros(words, np.uint64)
-            np.bitwise_or.at(bits, ((items >> np.uint64(6)) & np.uint64(words - 1)).astype(int), np.uint64(1) << (items & np.uint64(63)))
+            np.bitwise_xor.at(bits, ((items >> np.uint64(6)) & np.uint64(words - 1)).astype(int), np.uint64(1) << (items & np.uint64(63)))
             return key, items.view(np.int64), bits.view(np.int64)
 
         return handle
@@ -161,7 +161,8 @@ def near_duplicates(
         return pairs.join(one, "a").join(other, "b").where(F.size(F.array_intersect("x", "y")) >= least).select("a", "b")
 
     def item_rows(active: DataFrame) -> DataFrame:
-        return sets.join(active, "id").select("id", "component", F.explode("items").alias("item"))
+        held = sets.join(active, "id").repartition(width(sets), "id")  # dealt evenly, as a row gives many
+        return held.select("id", "component", "size", F.explode("items").alias("item"))
 
     outlined = sets.select("id", F.col("size").alias("low"), F.col("size").alias("high"), "bits")
     labels = linked_components(held, outlined, percent, lambda pairs: similar_pairs(agree(pairs), sets, percent), item_rows)

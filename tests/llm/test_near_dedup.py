@@ -136,3 +136,19 @@ def test_rarest_items_hold_the_rarest_common_item_of_every_link(spark):
     alike = {(a, b) for a, b in pairs if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
     assert alike and alike <= met
     assert rare.count() * 2 < shared.count()
+
+
+def test_outlines_tell_near_misses_apart(spark):
+    """Pairs of long lines at a similarity of about 0.6 are left out by their outlines alone,
+    though most bits of both are set."""
+    source = random.Random(8)
+    text = lambda n: "".join(source.choice("abcdefghijklmnop ") for _ in range(n))
+    base = text(900)
+    lines = [base[:k] + text(225) + base[k + 225 :] for k in range(0, 600, 60)]  # 675 characters of the base each
+    frame = spark.createDataFrame(list(enumerate([base, *lines, base[:850]])), "id long, line string")
+    pairs = spark.createDataFrame(list(itertools.combinations(range(len(lines) + 2), 2)), "a long, b long")
+    outlines = line_dedup.outlines(frame)
+    left = {(r.a, r.b) for r in links.possible_pairs(pairs, outlines, 75).collect()}
+    assert left == {tuple(r) for r in line_dedup.similar_lines(pairs, frame).collect()} == {(0, 11)}
+    sizes = {r.id: (r.low, r.high) for r in outlines.collect()}
+    assert sizes == {i: (len({s[k : k + 12] for k in range(len(s) - 11)}),) * 2 for i, s in enumerate([base, *lines, base[:850]])}
