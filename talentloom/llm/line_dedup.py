@@ -58,7 +58,7 @@ def band_postings(lines: DataFrame, size: int = SHINGLE, bands: int = BANDS, row
 
 def outlines(lines: DataFrame, size: int = SHINGLE) -> DataFrame:
     """(id, low, high, bits): the number of distinct shingles of each line (id, line), as both
-    bounds, and their bitmap; lines shorter than a shingle have none."""
+    bounds, and their bitmap; lines shorter than a shingle have none. An id must not come twice."""
     items = lines.select("id", F.explode(_shingle_set("line", size)).alias("h"))
     each = items.groupBy("id").agg(F.count("*").alias("low"), *bitmap(F.col("h")))
     return each.select("id", "low", F.col("low").alias("high"), F.array(*[f"b{w}" for w in range(WORDS)]).alias("bits"))
@@ -116,7 +116,8 @@ def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     among = materialise(firsts.join(checked_broadcast(met, 8), "id", "left_semi").select("id", "doc", "at"))
     discard(postings)
     near = checked_broadcast(materialise(among.select("doc").distinct()), 8)
-    lines = materialise(read(texts.join(near, "doc", "left_semi"), among).select("id", "line"), "zstd")
+    # Rows that come twice give their lines twice, but a bitmap wants every item once.
+    lines = materialise(read(texts.join(near, "doc", "left_semi"), among).select("id", "line").dropDuplicates(["id"]), "zstd")
 
     def item_rows(active: DataFrame) -> DataFrame:
         held = lines.join(active, "id").repartition(width(lines), "id")  # dealt evenly, as a row gives many

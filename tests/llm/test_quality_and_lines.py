@@ -126,3 +126,10 @@ def test_similar_lines_compares_sets_in_the_row_of_the_pair(spark):
     assert {tuple(row) for row in met.collect()} == expected and {(2, 3), (4, 5), (6, 7)} <= expected
     plan = met._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate" not in plan and "Aggregate" not in plan
+
+
+def test_lines_of_repeated_rows_are_still_compared(spark):
+    base = [prose(200 + i, 30).replace("\n", " ") for i in range(4)]
+    rows = [(1, base[0]), (1, base[0]), (2, base[0] + " more"), (2, base[0] + " more"), (3, base[1]), (4, base[1] + " x"), (4, base[1] + " x"), (5, base[2]), (5, base[2]), (6, base[2][4:]), (7, base[3])]
+    got = {(r.doc_id, r.text, r.n_removed) for r in line_dedup.dedup_lines(documents(spark, rows)).collect()}
+    assert got == {(1, base[0], 0), (2, "", 1), (3, base[1], 0), (4, "", 1), (5, base[2], 0), (6, "", 1), (7, base[3], 0)}
