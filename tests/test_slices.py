@@ -1,6 +1,6 @@
 """The plan cut into slices of candidates gives what it gives in one piece."""
 
-import glob
+import os
 from collections import Counter
 
 import pytest
@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from talentloom.operators import evaluation, scoring
 from talentloom.plans import properties, screening
-from talentloom.session import shared_folder
 
 SKILLS = ["python", "java", "go", "sql", "node.js", "react", "docker", "Teamwork"]
 
@@ -75,12 +74,19 @@ def test_slices_give_the_same_rows(whole, cut, name):
     assert cut.slices > 1 and want and got == want
 
 
-def test_slices_leave_only_results_behind(spark, cut):
-    folders = lambda: set(glob.glob(f"{shared_folder(spark).removeprefix('file:')}/talentloom-*"))
+def test_slices_leave_only_results_behind(cut, monkeypatch):
     assert cut.sums
-    before, kept = folders(), len(cut.scratch)
+    written, kept, write = [], len(cut.scratch), screening.materialise
+
+    def recorded(df):
+        made = write(df)
+        written.extend({file.removeprefix("file:").rsplit("/", 1)[0] for file in made.inputFiles()})
+        return made
+
+    monkeypatch.setattr(screening, "materialise", recorded)
     cut.sliced(lambda s: s.sums, ("classes", "hot"))
-    assert len(folders() - before) == len(cut.scratch) - kept == cut.slices
+    left = [folder for folder in written if os.path.isdir(folder)]
+    assert len(written) > len(left) == len(cut.scratch) - kept == cut.slices
 
 
 def test_properties_hold_in_slices(spark, monkeypatch):
